@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .language import op5_language_id
 from .mixing import op2_mixing
+from .neardup import op10_minhash_near_dedup
 from .packing import op6_packing
 from .vectors import op7_nearest_neighbours, op9_embedding_near_dedup
 
@@ -10,9 +12,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_mixing,
+        op5_language_id,
         op6_packing,
         op7_nearest_neighbours,
         op9_embedding_near_dedup,
+        op10_minhash_near_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
