@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .language import op5_language_id
+from .lines import OP1_SQL, op1_line_dedup
 from .mixing import op2_mixing
 from .neardup import op10_minhash_near_dedup
 from .packing import op6_packing
+from .privacy import op3_pii
 from .vectors import op7_nearest_neighbours, op9_embedding_near_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_mixing,
+        op3_pii,
         op5_language_id,
         op6_packing,
         op7_nearest_neighbours,
@@ -19,4 +23,4 @@ QUERIES = {
         op10_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_line_dedup": OP1_SQL}
