@@ -8,6 +8,7 @@ from .mixing import op2_mixing
 from .neardup import op10_minhash_near_dedup
 from .packing import op6_packing
 from .privacy import op3_pii
+from .quality import op8_quality_resampling
 from .vectors import op7_nearest_neighbours, op9_embedding_near_dedup
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
         op5_language_id,
         op6_packing,
         op7_nearest_neighbours,
+        op8_quality_resampling,
         op9_embedding_near_dedup,
         op10_minhash_near_dedup,
     )
