@@ -1,13 +1,67 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of `docs`.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: Language model, random rounding and packing aren't expressible in SQL; see tests/llm.
+from tidegrid.llm.language import known_language
+from tidegrid.llm.lines import without_repeats
+from tidegrid.llm.mixing import mixed_documents
+from tidegrid.llm.neardup import one_of_each
+from tidegrid.llm.packing import packed_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters, whose language can't be told, go."""
+    return known_language(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of lines that occurred before go, and documents that they were all of."""
+    return without_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences: doc_id, piece, start, length, ids, sequence_id, offset."""
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+#: A trained network, random rounding and packing aren't expressible in SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`; each is written as Parquet to the shared folder and read again."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegrid-")
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
