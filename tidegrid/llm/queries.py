@@ -9,6 +9,7 @@ from .neardup import op10_minhash_near_dedup
 from .packing import op6_packing
 from .privacy import op3_pii
 from .quality import op8_quality_resampling
+from .suffixes import op4_suffix_array_dedup
 from .vectors import op7_nearest_neighbours, op9_embedding_near_dedup
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
         op1_line_dedup,
         op2_mixing,
         op3_pii,
+        op4_suffix_array_dedup,
         op5_language_id,
         op6_packing,
         op7_nearest_neighbours,
