@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         [pa.array(did[row[own]]), pa.array(th[row[own]]), pa.array(h[own].view(np.int64)), pa.array(n > 1), pa.array(lead, pa.binary())], ["did", "th", "h", "many", "lead"]
                     )
 
-    each = docs.mapInArrow(grams, "did long, th long, h long, many boolean, lead binary")
+    each = docs.where(F.octet_length("text") >= length).mapInArrow(grams, "did long, th long, h long, many boolean, lead binary")
     seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).where("n > 1 OR many").select("h")
     shared = each.join(seen, "h")
     wanted = saved(shared.groupBy("did", "th").agg(F.collect_set("h").alias("hs"), F.max("lead").alias("lead")))
@@ -270,6 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys = [some.column(c).combine_chunks().values.to_numpy()[item] for c in ("did", "th")]
             yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(lo_), pa.array(lo_ + np.repeat(size, n))], ["did", "th", "lo", "hi"])
 
+    # the texts are moved by the same keys and columns as in without_repeated_bytes(), so Spark moves them once
     rows = docs.join(wanted.select("did", "th", "hs"), ["did", "th"]).mapInArrow(suffixes, ROW)
     return rows.repartition(buckets, "bucket").mapInArrow(compared, "did long, th long, lo long, hi long")
 
@@ -283,7 +284,7 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     empty result; other columns aren't read.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("did"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(keyed.where(F.octet_length("text") >= length), length)
+    spans = repeated_spans(keyed, length)
     spans = spans.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
