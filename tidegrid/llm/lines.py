@@ -40,30 +40,35 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     anything but white space, stay. Null text stays null with 0 lines; empty text is one empty line. Other
     columns pass through; n_lines and n_removed replace columns of that name.
     """
-    text, did = F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    base = docs.select(did.alias("did"), F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
-    each = base.withColumn("lines", F.split("text", "\n")).where("size(lines) > 1").select("did", "th", F.explode(chunks("lines")).alias("c"))
-    each = saved(each.select("did", "th", "c.*").where("n > 1"))
-    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("did").alias("d0")).where("times > 1")
-    some = each.join(seen, "h").withColumn("first", F.col("own") & (F.col("did") == F.col("d0")))
-    some = some.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "n", "h", "first")).alias("found"))
-    found = base.join(some, ["did", "th"]).select("did", "th", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
-    found = found.select("did", "th", "f.*", F.expr("array_join(slice(lines, f.lo + 1, f.n), '\n')").alias("chunk")).where(F.col("chunk").rlike(MARK))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    base = docs.select(*columns).withColumns({"_did": did, "_th": F.xxhash64("text")})
+    each = base.where("text IS NOT NULL").select("_did", "_th", F.split("text", "\n").alias("lines"))
+    each = each.where("size(lines) > 1").select("_did", "_th", F.explode(chunks("lines")).alias("c"))
+    each = saved(each.select("_did", "_th", "c.*").where("n > 1"))
+    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("_did").alias("d0")).where("times > 1")
+    some = each.join(seen, "h").withColumn("first", F.col("own") & (F.col("_did") == F.col("d0")))
+    some = some.groupBy("_did", "_th").agg(F.collect_set(F.struct("lo", "n", "h", "first")).alias("found"))
+    # Both joins of the texts read all columns, so that Spark moves the texts once and reads that exchange twice.
+    every = F.hash("found", *columns) >= -(1 << 31)
+    some = some.select(F.col("_did").alias("_d"), F.col("_th").alias("_t"), "found")
+    found = base.join(some, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_t")) & every)
+    found = found.select("_did", "_th", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
+    found = found.select("_did", "_th", "f.*", F.expr("array_join(slice(lines, f.lo + 1, f.n), '\n')").alias("chunk")).where(F.col("chunk").rlike(MARK))
     kept = found.where("first").groupBy("h").agg(F.min("chunk").alias("same"))
     gone = found.where("NOT first").join(kept, "h").where("chunk = same")
-    gone = gone.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "n")).alias("gone"))
-    gone = gone.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    rows = docs.drop("n_lines", "n_removed").withColumns({"_d": did, "_t": F.xxhash64("text"), "_lines": F.split("text", "\n")})
-    rows = rows.join(gone, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")), "left")
+    gone = gone.groupBy("_did", "_th").agg(F.collect_set(F.struct("lo", "n")).alias("_gone"))
+    gone = gone.select(F.col("_did").alias("_d"), F.col("_th").alias("_t"), "_gone")
+    rows = base.join(gone, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", F.split("text", "\n"))
     rest = F.expr("array_join(filter(_lines, (l, i) -> NOT exists(_gone, g -> i >= g.lo AND i < g.lo + g.n)), '\n')")
     removed = F.coalesce(F.expr("aggregate(_gone, 0L, (s, g) -> s + g.n)"), F.lit(0)).cast("long")
-    columns = [F.when(F.col("_gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return rows.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text")
+    return rows.select(*(left if c == "text" else F.col(c) for c in columns), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what deduplicated() leaves of their text; those of which nothing is left go."""
-    left = deduplicated(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(MARK))
+    left = deduplicated(docs.drop("n_chars")).where((F.col("n_removed") == 0) | F.col("text").rlike(MARK))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
