@@ -6,6 +6,7 @@ from .language import op5_language_id
 from .lines import OP1_SQL, op1_line_dedup
 from .mixing import op2_mixing
 from .neardup import op10_minhash_near_dedup
+from .oracles import OP9_SQL, OP10_SQL
 from .packing import op6_packing
 from .privacy import op3_pii
 from .quality import op8_quality_resampling
@@ -27,4 +28,4 @@ QUERIES = {
         op10_minhash_near_dedup,
     )
 }
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
