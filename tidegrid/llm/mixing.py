@@ -84,7 +84,7 @@ def copies(sizes: DataFrame, targets: DataFrame, n_sources: int, seed: int = 7)
     targets = targets.withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
     each = sizes.join(small(targets, n_sources), same).drop("_source")
-    want = F.when(F.col("source_size") > 0, F.col("n") * F.col("target") / F.col("source_size")).otherwise(0.0)
+    want = F.when(F.col("size") > 0, F.col("n") * F.col("target") / F.col("source_size")).otherwise(0.0)
     each = each.withColumn("whole", F.floor(want)).withColumn("mass", (want - F.col("whole")) * F.col("size"))
     each = each.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
