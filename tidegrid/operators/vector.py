@@ -56,6 +56,14 @@ def profile(lines: DataFrame, n: int) -> DataFrame:
     return i.select("id", "i", at("r1", "r2").alias("row"), at("c1", "c2").alias("col"))
 
 
+def line_cells(segments: DataFrame, per_pixel: int = 4) -> DataFrame:
+    """id, row, col: pixels under segments (id, ax, ay, bx, by in pixels), from `per_pixel` places a pixel of length."""
+    n = F.greatest(F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) * per_pixel), F.lit(1)).cast("int")
+    at = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    place = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * (F.col("_i") / F.col("_n"))).cast("int")
+    return at.select("id", place("ay", "by").alias("row"), place("ax", "bx").alias("col")).distinct()
+
+
 def hull(points: DataFrame, key: str, group: int = 500) -> DataFrame:
     """Vertices (key, seq, x, y) of the convex hull of each key's points, counter-clockwise from the left.
 

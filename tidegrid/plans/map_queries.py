@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import coords
-from tidegrid.operators import costmap, raster, routes, vector
+from tidegrid.operators import change, costmap, raster, routes, vector
 
 from . import tables
 from .tables import COLS, ROWS
@@ -138,6 +138,39 @@ def heading_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(coords.heading_gap(F.col("heading"), F.col("to")).cast("int").alias("gap"), coords.compass(F.col("heading") * 45).cast("int").alias("angle")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def heat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites in bins of a tenth of a degree from the least latitude and longitude on."""
+    s = _sites(spark, sf_dir)
+    lat, lon = coords.utm_inverse(F.col("e"), F.col("n"), 31)
+    s = s.select(F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
+    low = s.agg(F.min("lat").alias("lat0"), F.min("lon").alias("lon0"))
+    at = s.crossJoin(F.broadcast(low))  # one row
+    at = at.groupBy(F.floor((F.col("lat") - F.col("lat0")) / 0.1).cast("int").alias("row"), F.floor((F.col("lon") - F.col("lon0")) / 0.1).cast("int").alias("col"))
+    return at.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _walks(spark, sf_dir)
+    nxt = w.select("run_id", (F.col("step") - 1).alias("step"), F.col("col").alias("bx"), F.col("row").alias("by"))
+    s = w.join(nxt, ["run_id", "step"])
+    return s.select(F.col("run_id").alias("id"), *((F.col(a) + 0.5).alias(b) for a, b in (("col", "ax"), ("row", "ay"), ("bx", "bx"), ("by", "by"))))
+
+
+def route_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels under each route's line, and the layer's sum over those that have data."""
+    cells = vector.line_cells(_segments(spark, sf_dir)).withColumnRenamed("id", "run_id")
+    n = cells.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(routes.mask_cost(cells, _layer(spark, sf_dir)), "run_id").withColumn("cost", F.round("cost", 6))
+
+
+def route_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean signed rate of change, over all survey pairs, at the cells of each route."""
+    rates = change.rates(change.pairs(tables.pixels(spark, sf_dir)), signed=True)
+    cell = rates.groupBy("row", "col").agg(F.sum("v").alias("s"), F.count("v").alias("k"))
+    w = _walks(spark, sf_dir).select("run_id", "row", "col").distinct().join(cell, ["row", "col"])
+    return w.groupBy("run_id").agg(F.round(F.sum("s") / F.sum("k"), 8).alias("rate"), F.sum("k").alias("n"))
+
+
 def _noisy_maps(spark: SparkSession, sf_dir: str, runs: int) -> DataFrame:
     base = costmap.filled_high(_layer(spark, sf_dir).withColumn("v", F.greatest(F.col("v"), F.lit(1.0))))
     each = base.withColumn("run_id", F.explode(F.expr(f"sequence(0L, {runs - 1}L)")))
@@ -163,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         utm_to_degrees, degrees_to_utm, parsed_degrees, grid_positions, polygon_areas, points_in_polygons, survey_hulls, clipped_routes,
-        depth_profiles, route_measures, route_frequency, turn_legality, heading_changes, noisy_routes, consensus_route,
+        depth_profiles, route_measures, route_frequency, turn_legality, heading_changes, heat_grid, route_masks, route_change, noisy_routes, consensus_route,
     )
 }
 
@@ -216,6 +249,15 @@ ORACLES = {
       r AS (SELECT t.*, o.b AS back FROM t LEFT JOIN g o ON t.run_id = o.run_id AND t.last = o.step)
       SELECT run_id, count(*) AS steps, CAST(sum(CASE WHEN gap > 0 THEN 1 ELSE 0 END) AS BIGINT) AS turns,
         CAST(sum(CASE WHEN gap > 0 AND (gap > 2 OR coalesce(step - last < 2 AND heading <> back, false)) THEN 1 ELSE 0 END) AS BIGINT) AS illegal FROM r GROUP BY run_id""",
+    "heat_grid": f"""WITH s AS (SELECT round(lat, 5) AS lat, round(lon, 5) AS lon FROM {_inverse(f"(SELECT id, e, n, 0 AS z FROM {_SITES})")}), l AS (SELECT min(lat) AS lat0, min(lon) AS lon0 FROM s)
+      SELECT CAST(floor((lat - lat0) / CAST(0.1 AS DOUBLE)) AS INT) AS row, CAST(floor((lon - lon0) / CAST(0.1 AS DOUBLE)) AS INT) AS col, count(*) AS n FROM s, l GROUP BY ALL""",
+    "route_masks": f"""WITH s AS (SELECT * FROM (SELECT run_id, col + CAST(0.5 AS DOUBLE) AS ax, row + CAST(0.5 AS DOUBLE) AS ay, lead(col) OVER w + CAST(0.5 AS DOUBLE) AS bx, lead(row) OVER w + CAST(0.5 AS DOUBLE) AS by_ FROM {_WALKS} WINDOW w AS (PARTITION BY run_id ORDER BY step)) WHERE bx IS NOT NULL),
+      n AS (SELECT *, CAST(greatest(ceil(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) * 4), 1) AS INT) AS k FROM s), i AS (SELECT *, unnest(range(k + 1)) AS j FROM n),
+      c AS (SELECT DISTINCT run_id, CAST(floor(ay + (by_ - ay) * (j / CAST(k AS DOUBLE))) AS INT) AS row, CAST(floor(ax + (bx - ax) * (j / CAST(k AS DOUBLE))) AS INT) AS col FROM i)
+      SELECT c.run_id, count(*) AS n, round(sum(v), 6) AS cost FROM c LEFT JOIN {_LAYER} l ON c.row = l.row AND c.col = l.col GROUP BY c.run_id""",
+    "route_change": f"""WITH d AS (SELECT a.cell, a.row, a.col, a.cdi AS o, b.cdi AS n, b.year - a.year AS dt, b.v - a.v AS d FROM {P} a JOIN {P} b ON a.cell = b.cell AND a.row = b.row AND a.col = b.col AND b.year > a.year),
+      r AS (SELECT row, col, (d - avg(d) OVER (PARTITION BY cell, o, n, dt)) / dt AS v FROM d), c AS (SELECT row, col, sum(v) AS s, count(v) AS k FROM r GROUP BY ALL)
+      SELECT run_id, round(sum(s) / sum(k), 8) AS rate, CAST(sum(k) AS BIGINT) AS n FROM (SELECT DISTINCT run_id, row, col FROM {_WALKS}) JOIN c USING (row, col) GROUP BY run_id""",
     "heading_changes": f"""SELECT CAST(least(abs(heading - nxt) % 8, 8 - abs(heading - nxt) % 8) AS INT) AS gap, CAST((180 - heading * 45 - 45 + 720) % 360 AS INT) AS angle, count(*) AS n
       FROM (SELECT heading, lead(heading) OVER (PARTITION BY run_id ORDER BY step) AS nxt FROM {_WALKS}) WHERE nxt IS NOT NULL GROUP BY ALL""",
 }
