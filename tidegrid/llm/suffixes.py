@@ -24,6 +24,8 @@ from .common import saved, table
 from .hashing import mix
 
 LENGTH, GRAM = 200, 32
+#: Neighbouring strings of a suffix that travel together across buckets.
+TOGETHER = 8
 #: Bytes scanned at once; suffixes of a bucket; suffixes sampled for splitters.
 BLOCK, PER_BUCKET, SAMPLED = 1 << 19, 10_000, 20_000
 NONE = -(1 << 63)
@@ -219,10 +221,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         for i in own.tolist():
                             p, a, z, o = int(at[i]), int(lo[i]), int(hi[i]), int(shift[i])
                             if data[p : p + GRAM] in edges:
-                                for s in range(a, z + 1):
-                                    name = hashlib.blake2b(data[s : s + length], digest_size=16).digest()
-                                    put = rows.setdefault((int.from_bytes(name[:4], "little") % buckets, name, -1, 0, 0), ([], [], []))
-                                    put[0].append(did[r]), put[1].append(th[r]), put[2].append(s + o)
+                                for j in range((p - z) // TOGETHER, (p - a) // TOGETHER + 1):
+                                    near, away = max(p - z, j * TOGETHER), min(p - a, (j + 1) * TOGETHER - 1)
+                                    core = data[p - j * TOGETHER : p + length - (j + 1) * TOGETHER + 1]
+                                    name = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little") % buckets
+                                    put = rows.setdefault((name, data[p - away : p - near + length], away, near, away), ([], [], []))
+                                    put[0].append(did[r]), put[1].append(th[r]), put[2].append(p + o)
                             else:
                                 at_bucket = bisect.bisect_right(splitters, data[p : z + length])
                                 put = rows.setdefault((at_bucket, data[a : z + length], p - a, p - z, p - a), ([], [], []))
@@ -243,32 +247,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if t is None or not len(t):
             return
         t = t.combine_chunks()
-        left = t.column("left").to_numpy()
-        for kind in (False, True):
-            some = t.filter(pa.array((left < 0) == kind))
-            if not len(some):
-                continue
-            data = some.column("bytes").to_pylist()
-            own = some.column("at").combine_chunks()
-            times = own.value_lengths().to_numpy()
-            if kind:
-                _, which = np.unique(np.array(data, "S16"), return_inverse=True)
-                rows = np.flatnonzero(np.bincount(which, weights=times)[which] > 1)
-                before, size = np.zeros(len(rows), np.int64), np.full(len(rows), length)
-            else:
-                at, lo, hi = (some.column(c).to_numpy() for c in ("left", "lo", "hi"))
-                found = equal_strings([d[:a] for d, a in zip(data, at)], [d[a:] for d, a in zip(data, at)], lo, hi, times, length)
-                edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-                rows, begin = np.nonzero(edge == 1)  # runs of distances, begin to end - 1
-                end = np.nonzero(edge == -1)[1]
-                before, size = end - 1, end - 1 - begin + length
-            if not len(rows):
-                continue
-            offsets, n = own.offsets.to_numpy(), times[rows]
-            item = np.repeat(offsets[rows] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            lo_ = own.values.to_numpy()[item] - np.repeat(before, n)
-            keys = [some.column(c).combine_chunks().values.to_numpy()[item] for c in ("did", "th")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(lo_), pa.array(lo_ + np.repeat(size, n))], ["did", "th", "lo", "hi"])
+        data, own = t.column("bytes").to_pylist(), t.column("at").combine_chunks()
+        times = own.value_lengths().to_numpy()
+        at, lo, hi = (t.column(c).to_numpy() for c in ("left", "lo", "hi"))
+        found = equal_strings([d[:a] for d, a in zip(data, at)], [d[a:] for d, a in zip(data, at)], lo, hi, times, length)
+        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        rows, begin = np.nonzero(edge == 1)  # runs of distances, begin to end - 1
+        end = np.nonzero(edge == -1)[1]
+        if not len(rows):
+            return
+        before, size, n = end - 1, end - 1 - begin + length, times[rows]
+        item = np.repeat(own.offsets.to_numpy()[rows] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        lo_ = own.values.to_numpy()[item] - np.repeat(before, n)
+        keys = [t.column(c).combine_chunks().values.to_numpy()[item] for c in ("did", "th")]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(lo_), pa.array(lo_ + np.repeat(size, n))], ["did", "th", "lo", "hi"])
 
     # the texts are moved by the same keys and columns as in without_repeated_bytes(), so Spark moves them once
     rows = docs.join(wanted.select("did", "th", "hs"), ["did", "th"]).mapInArrow(suffixes, ROW)
