@@ -127,21 +127,22 @@ TILE = "a_block long, a_n int, a_low array<double>, a_x binary, b_block long, b_
 
 
 def leading_axes(vectors: DataFrame, dims: int) -> np.ndarray:
-    """Leading principal axes of the unit vectors, from one row of sums a task: d rows x `dims`."""
+    """Leading principal axes of the unit vectors of the commonest length d, from a row of sums a task: d rows x `dims`."""
+    common = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if not common:
+        return np.zeros((0, 0))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total = 0.0
         for batch in batches:
             x = _unit(_matrix(batch.column(0)))
-            total[x.shape[1]] = total.get(x.shape[1], 0) + np.vstack([x.sum(axis=0), x.T @ x])
-        for d, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([t.ravel()], pa.list_(pa.float64()))], ["d", "s"])
+            total = total + np.vstack([x.sum(axis=0), x.T @ x])
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["s"])
 
-    parts = vectors.select("embedding").mapInArrow(sums, "d int, s array<double>")
-    got = parts.select("d", F.posexplode("s")).groupBy("d", "pos").agg(F.sum("col").alias("s")).orderBy("d", "pos").collect()
-    if not got:
-        return np.zeros((0, 0))
-    t = np.array([r.s for r in got]).reshape(-1, got[0].d)
+    parts = vectors.where(F.size("embedding") == common.d).select("embedding").mapInArrow(sums, "s array<double>")
+    got = parts.select(F.posexplode("s")).groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()
+    t = np.array([r.s for r in got]).reshape(-1, common.d)
     return np.linalg.eigh(t[1:])[1][:, ::-1][:, :dims]
 
 
