@@ -4,8 +4,8 @@ Every document of a source gets the same expected number of copies, target / sou
 part is taken as it is; the fractional parts, measured in words, are rounded in pairs: mass moves at
 random from one document to the other until one of them is whole, so that the words of the pair are
 kept and the expected copies of each too. Blocks of about `BLOCK` documents leave one fractional
-document each; these meet again in blocks, level by level, until a source has one left, which a coin
-decides. A source is therefore off its target by less than one document.
+document each; these meet again in blocks, level by level, until a source has one left, which is rounded
+to the nearer side. A source is therefore off its target by half a document at most.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, small, table, unit_hash
+from .common import saved, small, table
 
 BLOCK = 128
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -97,8 +97,8 @@ def copies(sizes: DataFrame, targets: DataFrame, n_sources: int, seed: int = 7)
         blocks = saved(blocks.select("room", _rounded(seed + level).alias("r")))
         done.append(blocks.select(F.explode("r.done").alias("u")).select("u.*"))
         left = blocks.where("r.cur IS NOT NULL").select(F.ceil(F.col("room") / BLOCK).alias("room"), "r.cur.*")
-    coin = F.when(unit_hash("key", seed=seed) * F.col("size") < F.col("mass"), F.col("size").cast("double")).otherwise(0.0)
-    done.append(left.withColumn("mass", coin).select(*UNIT))
+    last = F.when(F.col("mass") * 2 >= F.col("size"), F.col("size").cast("double")).otherwise(0.0)
+    done.append(left.withColumn("mass", last).select(*UNIT))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
