@@ -26,8 +26,8 @@ from .hashing import mix, shingles, word_hashes
 
 REGISTERS, BANDS, ROWS = 128, 25, 5
 SHINGLES_AT_ONCE = 400_000
-#: Pairs left, per document, up to which they are listed at once; more are worked off centre by centre.
-LISTED = 2
+#: Documents and items of a block.
+PER_BLOCK, ITEMS_PER_BLOCK = 256, 400_000
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
@@ -67,11 +67,53 @@ def _bag(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(words, n), return_counts=True)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
+def _items(words: np.ndarray, n: int) -> np.ndarray:
+    """A bag as a sorted set: the k-th copy of a shingle is an item of its own."""
+    item, count = _bag(words, n)
+    copy = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        return np.sort(np.where(copy > 0, mix(np.repeat(item, count) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(item, count)))
+
+
+def overlaps(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Numbers of common items of each set of `a` with each of `b` (sets end to end, and their sizes)."""
+    out = np.zeros((len(a_sizes), len(b_sizes)), np.float32)
+    both = np.intersect1d(a, b)
+    sides = []
+    for items, sizes in ((a, a_sizes), (b, b_sizes)):
+        at = np.minimum(np.searchsorted(both, items), max(0, len(both) - 1))
+        hit = both[at] == items if len(both) else np.zeros(len(items), bool)
+        sides.append((np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]))
+    for low in range(0, len(both), columns):
+        x, y = (np.zeros((len(sizes), columns), np.float32) for sizes in (a_sizes, b_sizes))
+        for grid, (row, at) in zip((x, y), sides):
+            own = (at >= low) & (at < low + columns)
+            grid[row[own], at[own] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def similar(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, least: float) -> np.ndarray:
+    """Pairs (rows of two numbers) of sets with a similarity of at least `least`."""
+    both = overlaps(a, a_sizes, b, b_sizes).astype(np.float64)
+    total = a_sizes[:, None] + b_sizes[None, :] - both
+    return np.argwhere((both >= least * total - 1e-9) & (total > 0))
+
+
+def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """The pairs that join two trees."""
+    parent, kept = list(range(n)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for k, (i, j) in enumerate(pairs.tolist()):
+        if (x := root(i)) != (y := root(j)):
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return pairs[kept]
 
 
 def _banded(texts: DataFrame, words: int) -> DataFrame:
@@ -123,35 +165,76 @@ def _banded(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(signed, "doc_id long, node long, bands array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose bags are at least `least` alike. texts: node, text, a row a node."""
-    for side in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
+BODY = "cluster long, block long, nodes array<long>, sizes array<long>, items binary"
+LINK = "a long, b long"
+
+
+def _blocks(texts: DataFrame, words: int, least: float, per_block: int) -> DataFrame:
+    """`texts` (cluster, node, text), sorted by cluster within ranges -> links (a, b), and the body of each block whose
+    cluster may go on in another block."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, cluster, whole = TaskContext.get().partitionId() << 32, None, False
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def block(ends_here: bool) -> pa.RecordBatch:
+            nonlocal number, nodes, sets, held
+            items, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+            pairs = similar(items, sizes, items, sizes, least) if len(sets) > 1 else np.zeros((0, 2), np.int64)
+            pairs = _forest(pairs[pairs[:, 0] < pairs[:, 1]], len(sets))
+            names = np.array(nodes)
+            out: dict[str, list] = {"cluster": [cluster] * len(pairs), "block": [None] * len(pairs), "nodes": [None] * len(pairs), "sizes": [None] * len(pairs), "items": [None] * len(pairs)}
+            out |= {"a": names[pairs[:, 0]].tolist(), "b": names[pairs[:, 1]].tolist()}
+            if not (whole and ends_here):
+                for k, v in (("cluster", cluster), ("block", number), ("nodes", nodes), ("sizes", sizes.tolist()), ("items", items.tobytes()), ("a", None), ("b", None)):
+                    out[k].append(v)
+            number, nodes, sets, held = number + 1, [], [], 0
+            longs = pa.list_(pa.int64())
+            kinds = {"cluster": pa.int64(), "block": pa.int64(), "nodes": longs, "sizes": longs, "items": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            rows: dict[int, tuple[str, int]] = {}
-            for side, nodes in (("a_text", a), ("b_text", b)):
-                for r, node in enumerate(nodes):
-                    rows.setdefault(node, (side, r))
-            good: list[bool] = []
-            bags: dict[int, tuple] = {}
-            for x, y in zip(a, b):
-                new = [n for n in {x, y} if n not in bags]
-                if len(bags) > 2000:
-                    bags, new = {}, [*{x, y}]
-                if new:
-                    hashes, ends = word_hashes([batch.column(rows[n][0])[rows[n][1]].as_py().encode() for n in new])
-                    bags |= {n: _bag(hashes[i:j], words) for n, i, j in zip(new, ends, ends[1:])}
-                n, m = (int(bags[z][1].sum()) for z in (x, y))
-                good.append(min(n, m) >= least * max(n, m) and similarity(bags[x], bags[y]) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
-
-    return saved(pairs.mapInArrow(verified, "a long, b long"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                hashes, ends = word_hashes([t.as_py().encode() for t in part.column("text")])
+                for c, node, i, j in zip(part.column("cluster").to_pylist(), part.column("node").to_pylist(), ends, ends[1:]):
+                    if sets and (c != cluster or len(sets) >= per_block or held >= ITEMS_PER_BLOCK):
+                        yield block(c != cluster)
+                        whole = c != cluster
+                    cluster = c
+                    nodes.append(node)
+                    sets.append(_items(hashes[i:j], words))
+                    held += len(sets[-1])
+        if sets:
+            yield block(False)
+
+    return texts.mapInArrow(cut, f"{BODY}, {LINK}")
+
+
+def _tiles(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links between the blocks of `pairs` (x, y: block numbers): a spanning forest of each tile."""
+    for side in "xy":
+        pairs = pairs.join(bodies.select(F.col("block").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("nodes", "sizes", "items"))), side)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (n, s, i), (m, t, j) = (
+                    (np.array(batch.column(f"{k}_nodes")[r].as_py()), np.array(batch.column(f"{k}_sizes")[r].as_py()), np.frombuffer(batch.column(f"{k}_items")[r].as_py(), np.uint64)) for k in "xy"
+                )
+                found = _forest(similar(i, s, j, t, least) + [0, len(n)], len(n) + len(m))
+                names = np.concatenate([n, m])
+                yield pa.RecordBatch.from_arrays([pa.array(names[found[:, 0]], pa.int64()), pa.array(names[found[:, 1]], pa.int64())], ["a", "b"])
+
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(pairs.repartition(tasks, "x", "y").mapInArrow(compared, LINK))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, per_block: int = PER_BLOCK) -> DataFrame:
     """Groups of `docs` (doc_id, text) reached by links of similarity >= `least`: doc_id, node, class_id, kept.
 
     A row per row of `docs`; node is a hash of the text, class_id the smallest doc_id of the group, and
@@ -159,50 +242,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     Texts with fewer than `words` words are one shingle. Null texts and texts without words are compared with nothing; each is a group
     of its own and kept. Null doc_ids are ordered last. An empty table gives an empty result.
 
-    Equal texts are one node from the start. In each bucket of a band all members are compared with one centre;
-    while members of a bucket lie in different groups, the pairs left are compared: all of them when they are
-    few, else with another centre. Buckets are never expanded into all their pairs, and none is capped.
+    Equal texts are one node from the start. Members of a band's bucket meet in a cluster; clusters are sorted and
+    cut into blocks, in which all pairs of a cluster are compared at once. Clusters of several blocks go on by tiles:
+    first their first block with the others, then those pairs of blocks that aren't in one group yet. So every pair of a bucket
+    is compared or already in one group; none is written but the links of spanning forests, and no bucket is capped.
     """
+    spark = docs.sparkSession
     has = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node"))
     rows = saved(_banded(keyed.where(has), words))
     lone = keyed.where(~has).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).where("size > 1")
-    members = saved(members.join(buckets, ["band", "key"]).select("band", "key", "node", "centre"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    wanted = wanted.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("b")).where("size > 1").drop("size")
+    shared = saved(members.join(buckets, ["band", "key"]).select("band", "key", "node", "b"))
+    # a link a node, to its smallest centre, and those that join the smallest centres of a bucket's members
+    near = shared.groupBy("node").agg(F.min("b").alias("least"))
+    meet = shared.join(near, "node").select("band", "key", "least")
+    both = meet.join(meet.groupBy("band", "key").agg(F.min("least").alias("b")), ["band", "key"])
+    both = both.where("least <> b").select(F.col("least").alias("a"), "b").distinct()
+    clusters = components(near.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(both))
+    wanted = clusters.join(nodes.select("node", "doc_id"), "node")
+    wanted = wanted.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"), F.col("root").alias("cluster"))
     same = (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    texts = saved(keyed.join(wanted, same).select("node", "text").dropDuplicates(["node"]))
-
-    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = _linked(pairs, texts, words, least)
-    limit = LISTED * max(1, rows.count())
-    while True:
-        found = components(links)
-        place = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = place.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"))
-        split = split.groupBy("band", "key").agg(
-            F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("own")
-        ).where("roots > 1")
-        # pairs with the centre are settled: a bucket of two has none left
-        split = saved(split.where("size > 2"))
-        left = split.agg(F.sum((F.col("size") * F.col("size") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
-            break
-        open_ = saved(place.join(split.select("band", "key"), ["band", "key"]).where("node <> centre").select("band", "key", "node", "root"))
-        if left <= limit:
-            o = open_.select("band", "key", F.col("node").alias("b"), F.col("root").alias("b_root"))
-            more = open_.join(o, ["band", "key"]).where("node < b AND root <> b_root").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            centres = open_.groupBy("band", "key").agg(F.min("node").alias("b"), F.min_by("root", "node").alias("b_root"))
-            more = open_.join(centres, ["band", "key"]).where("node <> b AND root <> b_root").select(F.col("node").alias("a"), "b").distinct()
-            members = saved(open_.join(centres, ["band", "key"]).select("band", "key", "node", F.col("b").alias("centre")))
-        links = saved(links.unionByName(_linked(more, texts, words, least)))
-        if left <= limit:
-            found = components(links)
-            break
+    texts = keyed.join(wanted, same).select("cluster", "node", "text").dropDuplicates(["node"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = saved(_blocks(texts.repartitionByRange(tasks, "cluster", "node").sortWithinPartitions("cluster", "node"), words, least, per_block))
+    links = found.where("a IS NOT NULL").select("a", "b")
+    bodies = found.where("block IS NOT NULL").drop("a", "b")
+    about = bodies.select("cluster", "block")
+    first = about.groupBy("cluster").agg(F.min("block").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "x")
+    star = about.join(first, "cluster").where("block <> x").select("x", F.col("block").alias("y"))
+    links = links.unionByName(_tiles(star, bodies, least))
+    groups = components(links)
+    at = bodies.select("cluster", "block", F.explode("nodes").alias("node")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = at.groupBy("cluster", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    at = saved(at.join(first, "cluster").where("block <> x").drop("x"))
+    x, y = (at.select("cluster", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi"))) for s in "xy")
+    one = (F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y"))
+    rest = x.join(y, "cluster").where((F.col("block_x") < F.col("block_y")) & ~one).select(F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+    found = components(links.unionByName(_tiles(rest, bodies, least)))
     rows = rows.select("doc_id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     heads = rows.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
