@@ -7,27 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+#: Links of a partition while they are worked on.
+PER_TASK = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """The smallest node that each linked node reaches: node, root. `links`: a, b, long.
 
-    Alternating stars: each node hands its larger neighbours to its smallest one, then its smaller ones too,
+    Alternating stars: each node hands its larger neighbours to its smallest one (or itself), then its smaller ones too,
     until nothing changes. Links are combined into a minimum per task before they are moved, and the
-    rounds grow with the logarithm of the longest chain. Null ends and loops are left out.
+    rounds grow with the logarithm of the longest chain. Each half of a round is written, so that plans stay short.
+    Null ends and loops are left out.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
+    before, parts = None, -(-edges.count() // PER_TASK) or 1
+    edges = edges.coalesce(parts)  # few links in many partitions would cost more files than rows, round after round
     while True:
-        # each node's neighbours point to the smallest of them (large star), then smaller ones too (small star)
-        both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).withColumn("m", F.least("m", "hi"))
-        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = edges.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("lo"), "m")
+        large = edges.join(least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        large = saved(large.distinct().coalesce(parts))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        edges = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
+        small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct().coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     roots = edges.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
-    return saved(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    tops = roots.select(F.col("root").alias("node"), "root").distinct()
+    return saved(roots.unionByName(tops).coalesce(parts))
