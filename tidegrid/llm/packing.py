@@ -15,9 +15,9 @@ from .common import table
 
 CAPACITY = 1024
 #: Documents that one task packs at most on average; tasks are dealt rows in turn, without a key.
-PER_TASK = 20_000
+PER_TASK = 8_000
 #: Words that a Python worker keeps the ids of.
-CACHED = 400_000
+CACHED = 200_000
 _workers: dict = {}
 
 
