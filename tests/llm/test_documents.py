@@ -145,6 +145,31 @@ def test_pseudonyms_are_a_permutation(spark):
     assert got.where("try_to_date(substr(text, 4)) IS NULL").count() == 0
 
 
+def test_secrets_in_either_case(spark):
+    low, mixed = "9233a8ecf7c5b09fe594", "9233A8ecF7c5b09Fe594"
+    rows = [(1, f'token = "{low}"', "en", "a"), (2, f'TOKEN = "{low.upper()}"', "en", "a"), (3, f"Password: {mixed}", "en", "a"), (4, "token = ABCDEFGHIJKLMNOP", "en", "a")]
+    by = {r.doc_id: r for r in privacy.pseudonymised(docs(spark, rows)).collect()}
+    assert [by[i].n_private for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
+    assert by[1].text.upper() == by[2].text != rows[1][1]
+    assert re.fullmatch(r"Password: \d{4}[A-F]\d[a-f]{2}[A-F]\d[a-f]\d[a-f]\d\d[A-F][a-f]\d{3}", by[3].text) and mixed not in by[3].text
+
+
+def test_cards_beside_numbers(spark):
+    card = "4111 1111 1111 1111"
+    whole = [card + " 12/25", "4111111111111111 123", "2 " + card, "2024 " + card + " 999", card + " 31.12.1999", card + " 10.0.0.255", "17 " + card + " 123-45-6789", card + " 5555-5555-5555-4444", "id 77 " + card + " 8x"]
+    rows = [(i, t, "en", "a") for i, t in enumerate([card, *whole, "4111 1111 1111 1112", "1234567 12345x", "1 2 3"])]
+    got = [(r.text, r.n_private) for r in sorted(privacy.pseudonymised(docs(spark, rows)).collect(), key=lambda r: r.doc_id)]
+    new = got[0][0]
+    for t, (out, n) in zip(whole, got[1:]):
+        at = re.search("4111 ?1111 ?1111 ?1111", t)
+        assert out[at.start() : at.end()].replace(" ", "") == new.replace(" ", "") and out[: at.start()] == t[: at.start()]
+        assert n == 1 + bool(re.search("1999|255|6789|4444", t)) and len(out) == len(t)
+    assert got[1][0].endswith(" 12/25") and got[2][0].endswith(" 123") and got[4][0].endswith(" 999")
+    for i in (5, 6, 7, 8):
+        assert got[i][0].split(" ")[-1] != rows[i][1].split(" ")[-1]
+    assert got[-3:] == [(r[1], 0) for r in rows[-3:]]
+
+
 # --- suffixes
 
 

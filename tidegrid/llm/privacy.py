@@ -22,13 +22,16 @@ DAY_ZERO, DAY_PARTS = "1850-01-01", (300, 365)
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "hex": r"""(?<=[=:"' ])(?<=(?:password|passwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}["']?)[0-9a-f]{12,128}(?![0-9A-Za-z])""",
+    "hex": r"""(?<=[=:"' ])(?<=(?i:password|passwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}["']?)[0-9a-fA-F]{12,128}(?![0-9A-Za-z])""",
     "phone": r"(?<![\w+])(?:\+\d{1,3} ?)?\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w-])\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+#: Numbers joined by hyphens, unless another value begins here. Cards are looked for in a whole run of these, joined by spaces.
+_NO_OTHER = "(?!" + "|".join(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ssn", "date", "ip")) + ")"
+_ONE, _JOINED = (_NO_OTHER + rf"\d++(?:-\d++){n}(?![\w-])" for n in ("*+", "++"))
+PATTERNS["card"] = rf"(?<![\w-])(?:(?=\d(?:[ -]?\d){{12}})(?:{_JOINED}(?: {_ONE})*+|{_ONE}(?: {_ONE})++)|\d{{13,19}}(?![\w-]))"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -76,18 +79,32 @@ def _luhn(digits: str) -> str:
 
 
 def pseudonym(key: str) -> str:
-    """SQL of m, a found value: its pseudonym, or m itself if it isn't valid."""
+    """SQL of m, a found value: a struct of v, its pseudonym or m itself if it isn't valid, and n, the values replaced."""
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     is_ = lambda kind: f"m RLIKE {_text('^(?:' + SHAPES[kind] + ')$')}"
     numbers = "transform(filter(split(m, ''), c -> c RLIKE '[0-9]'), c -> CAST(c AS BIGINT))"
     # the digits put back to where digits were
     into = lambda new: f"array_join(transform(filter(split(m, ''), c -> c <> ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' THEN CAST(get({new}, length(regexp_replace(substr(m, 1, i + 1), '[^0-9]', '')) - 1) AS STRING) ELSE c END), '')"
     tens = lambda n: f"array_repeat(10L, {n})"
-    card = _let(
-        "_d", numbers,
-        f"CASE WHEN {_luhn('_d')} % 10 <> 0 THEN m ELSE "
-        + _let("_p", f"concat(slice(_d, 1, 1), {_feistel('slice(_d, 2, size(_d) - 2)', tens('size(_d) - 2'), key, _text('card'))})",
-               _let("_q", f"concat(_p, array(pmod(10 - {_luhn('concat(_p, array(0L))')} % 10, 10L)))", into("_q"))) + " END",
+    listed = lambda d: f"transform(filter(split({d}, ''), x -> x <> ''), x -> CAST(x AS BIGINT))"
+    new = _let(
+        "_d", listed("c.d"),
+        _let("_p", f"concat(slice(_d, 1, 1), {_feistel('slice(_d, 2, size(_d) - 2)', tens('size(_d) - 2'), key, _text('card'))})",
+             f"array_join(transform(concat(_p, array(pmod(10 - {_luhn('concat(_p, array(0L))')} % 10, 10L))), x -> CAST(x AS STRING)), '')"),
+    )
+    # parts of the run that hold: the whole first, then those grouped as on cards, then others
+    rank = f"CASE WHEN w = size(_g) THEN 0 WHEN array_join(slice(_g, i + 1, w), ' ') RLIKE {_text(CARD_GROUPS)} THEN 2 ELSE 4 END + CASE WHEN x RLIKE '^[2-6]' THEN 0 ELSE 1 END"
+    part = f"named_struct('r', {rank}, 'i', i, 'v', -w, 'w', w, 'd', array_join(slice(_g, i + 1, w), ''))"
+    parts = f"flatten(transform(_g, (x, i) -> filter(transform(sequence(1, least(19, size(_g) - i)), w -> {part}), c -> length(c.d) BETWEEN 13 AND 19 AND {_luhn(listed('c.d'))} % 10 = 0)))"
+    chosen = "aggregate(array_sort(_w), filter(_w, c -> false), (s, c) -> CASE WHEN exists(s, o -> o.i < c.i + c.w AND c.i < o.i + o.w) THEN s ELSE concat(s, array(c)) END)"
+    own = "get(filter(_n, c -> k >= c.i AND k < c.i + c.w), 0)"
+    group = _let("_o", own, "CASE WHEN _o IS NULL THEN x ELSE substr(_o.t, 1 + length(array_join(slice(_g, _o.i + 1, k - _o.i), '')), length(x)) END")
+    cards = _let(
+        "_g", "split(m, '[ -]')",
+        _let("_w", parts,
+             _let("_n", f"transform({chosen}, c -> named_struct('i', c.i, 'w', c.w, 'd', c.d, 't', {new}))",
+                  _let("_s", "regexp_extract_all(m, '[ -]', 0)",
+                       f"named_struct('v', CASE WHEN size(_n) = 0 THEN m ELSE array_join(transform(_g, (x, k) -> concat({group}, coalesce(get(_s, k), ''))), '') END, 'n', size(filter(_n, c -> c.t <> c.d)))"))),
     )
     ip = _let("_o", _longs("split(m, '[.]')"), f"CASE WHEN exists(_o, x -> x > 255) THEN m ELSE array_join({_feistel('_o', 'array_repeat(256L, 4)', key, _text('ip'))}, '.') END")
     ssn = _let(
@@ -108,9 +125,12 @@ def pseudonym(key: str) -> str:
     phone = _let("_d", numbers, _let("_c", "CASE WHEN m LIKE '+%' THEN size(_d) - 10 ELSE 0 END", _let("_q", f"concat(slice(_d, 1, _c), {_feistel('slice(_d, _c + 1, 10)', tens('10'), key, _text('phone'))})", into("_q"))))
     email = f"concat({_characters("substring_index(m, '@', 1)", [digits, lower, upper], key, _text('email'))}, '@', substring_index(m, '@', -1))"
     secret = f"concat('AKIA', {_characters('substr(m, 5)', [digits, upper], key, _text('secret'))})"
-    hexa = _characters("m", [digits + "abcdef"], key, _text("hex"))
-    return f"""CASE WHEN instr(m, '@') > 0 THEN {email} WHEN {is_('secret')} THEN {secret} WHEN {is_('ip')} THEN {ip} WHEN {is_('ssn')} THEN {ssn}
-      WHEN {is_('date')} THEN {date} WHEN {is_('phone')} THEN {phone} WHEN {is_('card')} THEN {card} ELSE {hexa} END"""
+    # in one case throughout or in both; copies in upper case get the pseudonym in upper case
+    hexa = _let("_x", _characters("lower(m)", [digits + "abcdef"], key, _text("hex")), "CASE WHEN m RLIKE '[A-F]' THEN upper(_x) ELSE _x END")
+    hexa = f"CASE WHEN m RLIKE '[a-f]' AND m RLIKE '[A-F]' THEN {_characters('m', [digits, 'abcdef', 'ABCDEF'], key, _text('mixed'))} ELSE {hexa} END"
+    other = f"""CASE WHEN instr(m, '@') > 0 THEN {email} WHEN {is_('secret')} THEN {secret} WHEN {is_('ip')} THEN {ip} WHEN {is_('ssn')} THEN {ssn}
+      WHEN {is_('date')} THEN {date} WHEN {is_('phone')} THEN {phone} ELSE {hexa} END"""
+    return f"CASE WHEN {is_('card')} THEN {cards} ELSE {_let('_v', other, "named_struct('v', _v, 'n', CAST(m <> _v AS INT))")} END"
 
 
 #: Whole values by kind, once found.
@@ -120,14 +140,17 @@ SHAPES = {
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "phone": r"([+][0-9]{1,3} ?)?[(][0-9]{3}[)] [0-9]{3}-[0-9]{4}|[+][0-9]{1,3}[ -][0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}",
-    "card": "[0-9]([ -]?[0-9]){12,18}",
+    "card": "[0-9]{13,19}|(?![0-9]{3}-[0-9]{3}-[0-9]{4}$|[0-9]{3}-[0-9]{2}-[0-9]{4}$|[0-9]{4}-[0-9]{2}-[0-9]{2}$)[0-9]+([ -][0-9]+)+",
 }
+#: How the digits of cards are grouped.
+CARD_GROUPS = "^([0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}( [0-9]{3})?|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9])$"
 
 
 def pseudonymised(docs: DataFrame, key: str = "tidegrid") -> DataFrame:
     """`docs` with pseudonyms in text, and n_private (long), the values replaced.
 
-    Numbers that fail their check (Luhn's for cards, byte ranges for addresses, assigned parts for social
+    A card is a run of 13 to 19 digits, or a part of a run cut at spaces or hyphens; of parts that overlap, one grouped as
+    cards are comes first. Numbers that fail their check (Luhn's for cards, byte ranges for addresses, assigned parts for social
     security numbers, the calendar for dates, 1850-01-01 to 2149-10-15) stay as they are. A card keeps its first digit, a phone number
     its country code, an address of mail its domain. Null text stays null with 0. One row per row, in place: repeats get equal
     results. Other columns pass through; a column named n_private is replaced.
@@ -136,8 +159,8 @@ def pseudonymised(docs: DataFrame, key: str = "tidegrid") -> DataFrame:
     may = F.col("text").rlike("[0-9@]")
     rows = docs.drop("n_private").withColumn("_m", F.when(may, found)).withColumn("_p", F.when(F.size("_m") > 0, parts))
     rows = rows.withColumn("_n", F.expr(f"transform(_m, m -> {pseudonym(key)})"))
-    text = F.expr("CASE WHEN size(_p) > 1 THEN array_join(transform(_p, (p, i) -> concat(p, coalesce(get(_n, i), ''))), '') ELSE text END")
-    changed = F.coalesce(F.expr("CAST(size(filter(_m, (m, i) -> m <> get(_n, i))) AS BIGINT)"), F.lit(0).cast("long"))
+    text = F.expr("CASE WHEN size(_p) > 1 THEN array_join(transform(_p, (p, i) -> concat(p, coalesce(get(_n, i).v, ''))), '') ELSE text END")
+    changed = F.coalesce(F.expr("aggregate(_n, 0L, (s, x) -> s + x.n)"), F.lit(0).cast("long"))
     return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_private"), F.greatest(changed, F.lit(0)).alias("n_private"))
 
 
