@@ -50,6 +50,31 @@ def test_tile_bounds_hold():
         assert ids.tolist() == np.lexsort((np.arange(300), -s))[:7].tolist()
 
 
+def test_copies_score_alike():
+    rng = np.random.default_rng(5)
+    for n in (66, 67, 302, 303, 2500):
+        x = rng.normal(size=(40, 64)).astype(np.float32).astype(float)
+        q, copy = x[:1], x[1]
+        scores = []
+        for copies in (n, 2, 1):  # tiles with many survivors and with few
+            c = np.vstack([x[2:], np.repeat(copy[None], copies, 0)])
+            ((_, ids, score),) = vectors.tile_top(q, np.array([-1]), c, np.arange(len(c)), len(c))
+            scores += score[ids >= 38].tolist()
+            assert ids[ids >= 38].tolist() == list(range(38, 38 + copies))
+        assert len(set(scores)) == 1
+
+
+def test_copies_over_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CANDIDATES", 256)
+    rng = np.random.default_rng(6)
+    copy = rng.normal(size=64).astype(np.float32)
+    near = (copy + rng.normal(size=64) * 0.01).astype(np.float32)
+    rows = [(i, copy if i % 2 else rng.normal(size=64) * 0.1, 1) for i in range(1, 1400)] + [(5000, near, 1)]
+    df = table(spark, rows)
+    got = vectors.nearest(df.where("vec_id = 5000"), df).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 41, 2)) and len({r.score for r in got}) == 1
+
+
 @pytest.mark.parametrize("least", [0.98, 0.9])
 def test_near_vectors(spark, least):
     x = some()

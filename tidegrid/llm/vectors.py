@@ -54,7 +54,8 @@ def tile_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
         least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         for i, cut in enumerate(least):
             found = np.flatnonzero((near[i] + off[i] >= cut) & np.isfinite(near[i]))
-            score = np.array([q[at + i] @ c[j] for j in found]) if len(found) <= 64 else c[found] @ q[at + i]
+            # summed within each row, so that equal vectors score alike whatever their number
+            score = np.concatenate([(c[found[j : j + 1024]] * q[at + i]).sum(axis=1) for j in range(0, max(1, len(found)), 1024)])
             best = np.lexsort((c_ids[found], -score))[:k]
             yield int(q_ids[at + i]), c_ids[found][best], score[best]
 
