@@ -244,3 +244,13 @@ def test_surveys_arrive(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if p.name.startswith("batch="))
     got = {(r.row, r.col): r.n for r in spark.read.parquet(str(tmp_path / f"out/batch={last}")).collect()}
     assert got == {(r.row, r.col): r.n for r in arrivals.pixel_counts(df, 10.0).collect()} and last > 0
+
+
+def test_cleaned_fills_holes_before_sizes(spark):
+    ring = lambda r, c: max(abs(r - 10), abs(c - 10)) <= 6 and max(abs(r - 10), abs(c - 10)) > 3
+    bay = lambda r, c: c < 3 and r in (2, 6) or c == 3 and 2 <= r <= 6  # noqa: E731  a bay at the tile's edge stays open
+    df = spark.createDataFrame([(k, r, c, int((ring if k == 0 else bay)(r, c))) for k in (0, 1) for r in range(21) for c in range(21)], "cell int, row int, col int, v int")
+    full = labels.filled_holes(df, 21, 21, ("cell",)).where("v = 1").groupBy("cell").count().collect()
+    assert {r["cell"]: r["count"] for r in full} == {0: 169, 1: 11}
+    got = labels.cleaned(df.where("cell = 0"), 21, 21, 0.3, 0.5, 1, 160, ("cell",)).where("v = 1").count()
+    assert got == 169  # 120 pixels without the hole

@@ -117,12 +117,22 @@ def without_small(cells: DataFrame, least: int, keys: tuple[str, ...] = TILE) ->
     return r.join(big, [*keys, "region"])
 
 
+def filled_holes(mask: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
+    """Dense masks (v 0 or 1) whose 4-connected regions of 0 that don't touch the tile's edge become 1."""
+    r = regions(mask.where("v = 0"), keys)
+    edge = F.col("row").isin(0, rows - 1) | F.col("col").isin(0, cols - 1)
+    open_ = r.where(edge).select(*keys, "region").distinct()
+    holes = r.join(open_, [*keys, "region"], "left_anti").select(*keys, "row", "col", F.lit(1).alias("_h"))
+    return mask.join(holes, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("_h", "v").alias("v"))
+
+
 def cleaned(labels: DataFrame, rows: int, cols: int, sigma: float = 20.0, threshold: float = 0.35, closings: int = 2, least: int = 200, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """Dense labels (v 0, 1 or NULL) smoothed, cut, closed, without small regions: 1, 0, and -1 for no data."""
+    """Dense labels (v 0, 1 or NULL) smoothed, cut, closed, holes filled, without small regions: 1, 0, and -1 for no data."""
     s = focal.gaussian(labels, sigma, rows, cols, True, keys).withColumnRenamed("v", "s")
     m = labels.join(s, [*keys, "row", "col"]).withColumn("ok", F.col("v").isNotNull())
     cut = m.select(*keys, "row", "col", F.coalesce((F.col("ok") & (F.col("s") > threshold)).cast("int"), F.lit(0)).alias("v"))
     shut = saved(closed(cut, closings, rows, cols, keys))
+    shut = saved(filled_holes(shut, rows, cols, keys))
     kept = without_small(shut.where("v = 1"), least, keys).select(*keys, "row", "col", F.lit(1).alias("k"))
     out = m.select(*keys, "row", "col", "ok").join(kept, [*keys, "row", "col"], "left")
     return out.select(*keys, "row", "col", F.when(~F.col("ok"), -1).otherwise(F.coalesce("k", F.lit(0))).alias("v"))
