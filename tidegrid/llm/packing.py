@@ -35,7 +35,8 @@ class _Ids(dict):
 
 
 def encoder(vocabulary: str):
-    """text -> ids as little-endian 32-bit bytes, equal to those of `tokenizers` with `vocabulary`.
+    """text -> ids as little-endian 32-bit bytes, equal to those of `tokenizers` with `vocabulary` and
+    `encode_special_tokens`: text that spells a special token is plain text.
 
     In this vocabulary's pre-tokenizer a space between two other characters that aren't white space always
     begins a piece, so such texts are encoded word by word, from a bounded cache. Texts with other white
