@@ -19,7 +19,7 @@ from tidegrid.llm.packing import packed_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters, whose language can't be told, go."""
+    """Documents without text or letters go, and those that the network takes for noise without language."""
     return known_language(docs)
 
 

@@ -226,6 +226,21 @@ def test_language(spark, sf):
     assert language.known_language(docs(spark, AWKWARD)).columns == docs(spark, []).columns
 
 
+def test_noise_with_letters_goes(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").where("text IS NOT NULL")
+    odd = [t.decode() for t in language.noise(60, seed=99)] + ["a7 " * 200, "#a$ %& x!! " * 60]
+    made = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.known_language(d.unionByName(made)).collect()}
+    assert sum(-1 - i in kept for i in range(len(odd))) <= 0.2 * len(odd)
+    clean = {r.doc_id for r in d.where("text RLIKE '[a-z]+ [a-z]+ [a-z]+'").collect()}
+    assert len(clean & kept) >= 0.99 * len(clean) > 100
+
+
+def test_without_labels_texts_stay(spark):
+    rows = [(1, "the cat and the dog", None, "a"), (2, "12 34", None, "a"), (3, None, "en", "a")]
+    assert [r.doc_id for r in language.known_language(docs(spark, rows)).collect()] == [1]
+
+
 def test_fixed_point_is_the_network():
     net = language.train([b"the cat and the dog " * 9, b"der hund und die katze " * 9] * 6, ["en", "de"] * 6, epochs=3)
     x = np.concatenate([language.windows(t)[0] for t in (b"the dog", b"die katze und " * 80)])

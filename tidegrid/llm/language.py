@@ -21,6 +21,8 @@ WINDOW, WIDTHS, FILTERS, EMBEDDING = 512, (2, 3, 4), 8, 8
 #: Labelled rows that training may use, per language and in all.
 PER_LANGUAGE, TRAIN_ROWS = 400, 8000
 UNKNOWN = "und"
+#: ISO 639's code for no linguistic content, and its mean probability from which known_language() rejects a text.
+NO_LANGUAGE, NOISE = "zxx", 0.95
 
 
 @dataclass
@@ -127,11 +129,39 @@ class Predictor:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, seed: int = 3, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS) -> Network | None:
+def noise(n: int, seed: int = 3) -> list[bytes]:
+    """Texts with letters and without language: hexadecimal dumps, base64, printable characters at random."""
+    rng = np.random.default_rng(seed)
+    kinds = [b"0123456789abcdef", b"0123456789ABCDEF", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", bytes(range(33, 127))]
+    out = []
+    for i in range(n):
+        own = np.frombuffer(kinds[i % 4], np.uint8)
+        text = own[rng.integers(0, len(own), int(2 ** rng.uniform(6, 10)))].tobytes()
+        step = int(rng.choice([2, 4, 8, 16, 32, 64, 76, 2 * WINDOW]))
+        gap = b"\n" if step in (64, 76) else b" "
+        out.append(gap.join(text[a : a + step] for a in range(0, len(text), step))[: 2 * WINDOW])
+    return out
+
+
+def with_noise_inside(texts: list[bytes], seed: int = 3) -> list[bytes]:
+    """Every other text with noise in each of its pieces of 200 bytes, every other of these in upper case; the others as they are."""
+    rng = np.random.default_rng(seed)
+    out = list(texts)
+    for i, odd in zip(range(1, len(texts), 2), noise(len(texts), seed + 1)):
+        text = texts[i].decode(errors="ignore")
+        text = (text.upper() if i % 4 == 3 else text).encode()
+        n = int(rng.integers(10, 120))
+        out[i] = b" ".join(text[a : a + 200] + b" " + odd[:n] for a in range(0, len(text), 200))[: 2 * WINDOW]
+    return out
+
+
+def fit(docs: DataFrame, seed: int = 3, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROWS, with_noise: bool = False) -> Network | None:
     """Train on the rows of `docs` (doc_id, text, lang) with text and lang: at most `per_language` windows of
     each language, each from another text at a place that a hash chooses, and at most `rows` in all.
 
-    None if there are no such rows. The driver gets the sampled windows only.
+    None if there are no such rows. The driver gets the sampled windows only. With noise, `zxx` is a language
+    of its own, trained on as many made texts as the commonest one has, and half of the texts get some noise inside, so that
+    a text with a passage of noise counts as language.
     """
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     raw = F.col("text").cast("binary")
@@ -144,7 +174,12 @@ def fit(docs: DataFrame, seed: int = 3, per_language: int = PER_LANGUAGE, rows:
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, r.k))
-    return train([bytes(r.w) for r in got], [r.lang for r in got], seed=seed)
+    texts, labels = [bytes(r.w) for r in got], [r.lang for r in got]
+    if with_noise:
+        more = noise(max(map(labels.count, set(labels))), seed)
+        texts, labels = with_noise_inside(texts, seed) + more, labels + [NO_LANGUAGE] * len(more)
+        return train(texts, labels, epochs=max(14, min(100, 20_000 // len(texts))), seed=seed)  # small tables: as many steps
+    return train(texts, labels, seed=seed)
 
 
 def has_letter(text: str) -> Column:
@@ -200,9 +235,17 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents that a language is found for; those without text or letters are rejected."""
-    net = fit(docs)
-    return predict(docs, net, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """The documents that hold language; those without text or letters are rejected, and those that the network
+    takes for noise with a mean probability of NOISE at least. Nothing to train on: all with letters stay.
+    """
+    some = docs.where(has_letter("text"))
+    net = fit(docs, with_noise=True)
+    if not net:
+        return some
+    inner = some.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)}).withColumn("text", F.col(f"_{docs.columns.index('text')}"))
+    judged = predict(inner, net, tuple(f"_{i}" for i in range(len(docs.columns))))
+    judged = judged.where((F.col("lang_pred") != NO_LANGUAGE) | (F.col("score") < NOISE))
+    return judged.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
