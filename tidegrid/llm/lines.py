@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import numbered, saved, small, table
 
 LAST = (1 << 63) - 1
 MARK = "[^\\x09-\\x0D\\x20]"
@@ -26,7 +26,7 @@ def chunks(lines: str) -> Column:
     rolled = "transform(_h, (h, i) -> CASE WHEN i = 0 THEN '' ELSE md5(concat(get(_h, i - 1), h)) END)"
     starts = "concat(array(0), filter(CASE WHEN size(_r) > 3 THEN sequence(2, size(_r) - 2) ELSE CAST(array() AS array<int>) END, i -> get(_r, i) < get(_r, i - 1) AND get(_r, i) <= get(_r, i + 1)))"
     spans = f"transform(_s, (lo, k) -> struct(lo AS lo, coalesce(get(_s, k + 1), size({lines})) - lo AS n))"
-    full = f"transform(_c, c -> struct(c.lo AS lo, c.n AS n, CASE WHEN c.n > 1 THEN xxhash64(array_join(slice({lines}, c.lo + 1, c.n), '\n')) END AS h))"
+    full = f"transform(_c, c -> struct(c.lo AS lo, c.n AS n, CASE WHEN c.n > 1 THEN unhex(md5(array_join(slice({lines}, c.lo + 1, c.n), '\n'))) END AS h))"
     own = "transform(_f, (c, k) -> struct(c.lo AS lo, c.n AS n, c.h AS h, array_position(transform(_f, x -> x.h), c.h) = k + 1 AS own))"
     step = lambda name, value, rest: f"element_at(transform(array({value}), {name} -> {rest}), 1)"
     return F.expr(step("_h", f"transform({lines}, l -> md5(l))", step("_r", rolled, step("_s", starts, step("_c", spans, step("_f", full, own))))))
@@ -35,31 +35,46 @@ def chunks(lines: str) -> Column:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` with text less its repeated chunks, and n_lines, n_removed (both long).
 
-    The first of equal chunks is the one of the smallest doc_id, and there the earliest. Rows that share a
-    doc_id count as one document, as do rows without one, which come last. Chunks of one line, or without
-    anything but white space, stay. Null text stays null with 0 lines; empty text is one empty line. Other
-    columns pass through; n_lines and n_removed replace columns of that name.
+    The first of equal chunks stays: the earliest in the row of the smallest doc_id, rows without one coming last and rows
+    that share one in the order of their texts' MD5; of rows alike in both, one counts as the first. Chunks of one line, or
+    without anything but white space, stay. Null text stays null with 0 lines; empty text is one empty line. An empty table
+    gives an empty result. Other columns pass through; n_lines and n_removed replace columns of that name.
+
+    Chunks travel as hashes; texts are moved once, and only the chunks whose hash occurs again are read out of them.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    base = docs.select(*columns).withColumns({"_did": did, "_th": F.xxhash64("text")})
+    base = docs.select(*columns).withColumns({"_did": did, "_th": F.unhex(F.md5("text"))})
     each = base.where("text IS NOT NULL").select("_did", "_th", F.split("text", "\n").alias("lines"))
     each = each.where("size(lines) > 1").select("_did", "_th", F.explode(chunks("lines")).alias("c"))
     each = saved(each.select("_did", "_th", "c.*").where("n > 1"))
-    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("_did").alias("d0")).where("times > 1")
-    some = each.join(seen, "h").withColumn("first", F.col("own") & (F.col("_did") == F.col("d0")))
-    some = some.groupBy("_did", "_th").agg(F.collect_set(F.struct("lo", "n", "h", "first")).alias("found"))
+    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_did", "_th")).alias("d0")).where("times > 1").drop("times")
+    # written, so that Spark may split the other side of its join by size: a chunk may be in a third of all rows
+    seen = saved(seen)
+    first = F.col("own") & (F.col("_did") == F.col("d0._did")) & (F.col("_th") == F.col("d0._th"))
+    some = each.join(small(seen, seen.count()), "h").withColumn("first", first).groupBy("_did", "_th")
+    some = some.agg(F.collect_set(F.struct("lo", "n", "h", "first")).alias("found"), F.count(F.lit(1)).alias("alike"))
+    alike = (F.col("alike") / F.size("found")).cast("long").alias("alike")
+    some = saved(some.select(F.col("_did").alias("_d"), F.col("_th").alias("_t"), "found", alike))
     # Both joins of the texts read all columns, so that Spark moves the texts once and reads that exchange twice.
-    every = F.hash("found", *columns) >= -(1 << 31)
-    some = some.select(F.col("_did").alias("_d"), F.col("_th").alias("_t"), "found")
-    found = base.join(some, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_t")) & every)
-    found = found.select("_did", "_th", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
-    found = found.select("_did", "_th", "f.*", F.expr("array_join(slice(lines, f.lo + 1, f.n), '\n')").alias("chunk")).where(F.col("chunk").rlike(MARK))
-    kept = found.where("first").groupBy("h").agg(F.min("chunk").alias("same"))
-    gone = found.where("NOT first").join(kept, "h").where("chunk = same")
-    gone = gone.groupBy("_did", "_th").agg(F.collect_set(F.struct("lo", "n")).alias("_gone"))
+    same = (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_t"))
+    found = base.join(some, same & (F.hash("found", *columns) >= -(1 << 31)))
+    found = found.select("_did", "_th", "alike", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
+    found = found.select("_did", "_th", "alike", "f.*", F.expr("array_join(slice(lines, f.lo + 1, f.n), '\n')").alias("chunk")).where(F.col("chunk").rlike(MARK))
+    # by hash and text, not by hash alone, so that the join's own exchange follows and can be split by size
+    kept = found.where("first").select("h", F.col("chunk").alias("same")).distinct()
+    gone = found.where("NOT first OR alike > 1").join(kept, "h").where("chunk = same")
+    gone = gone.groupBy("_did", "_th").agg(F.collect_set(F.struct("lo", "n", "first")).alias("_gone"))
     gone = gone.select(F.col("_did").alias("_d"), F.col("_th").alias("_t"), "_gone")
-    rows = base.join(gone, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", F.split("text", "\n"))
+    if some.where("alike > 1").limit(1).count():  # of rows alike in doc_id and text, the one numbered 1 keeps what occurs here first
+        twins = some.where("alike > 1").select("_d", "_t")
+        rows = base.join(twins, same, "left_anti").join(gone, same, "left")
+        more = numbered(base.join(twins, same).drop("_d", "_t"), ["_did", "_th"]).join(gone, same, "left")
+        left = F.when(F.col("_nth") == 1, F.filter("_gone", lambda g: ~g["first"])).otherwise(F.col("_gone"))
+        rows = rows.unionByName(more.withColumn("_gone", left).drop("_nth"))
+    else:
+        rows = base.join(gone, same, "left")
+    rows = rows.withColumn("_gone", F.when(F.size("_gone") > 0, F.col("_gone"))).withColumn("_lines", F.split("text", "\n"))
     rest = F.expr("array_join(filter(_lines, (l, i) -> NOT exists(_gone, g -> i >= g.lo AND i < g.lo + g.n)), '\n')")
     removed = F.coalesce(F.expr("aggregate(_gone, 0L, (s, g) -> s + g.n)"), F.lit(0)).cast("long")
     left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text")
@@ -86,11 +101,14 @@ h AS (SELECT *, CASE WHEN i = 0 THEN '' ELSE md5(concat(md5(lag(line) OVER w), m
 b AS (SELECT *, (i = 0 OR (i BETWEEN 2 AND n - 2 AND r < lag(r) OVER w AND r <= lead(r) OVER w)) AS cut FROM h WINDOW w AS (PARTITION BY did, text ORDER BY i)),
 k AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY did, text ORDER BY i) AS part FROM b),
 c AS (SELECT did, text, part, min(i) AS lo, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY ALL),
-m AS (SELECT *, row_number() OVER (PARTITION BY did, text, chunk ORDER BY lo) AS nth, min(did) OVER (PARTITION BY chunk) AS d0 FROM c WHERE n > 1 AND regexp_matches(chunk, '[^\x09-\x0D\x20]')),
-g AS (SELECT did, text, lo, n FROM m WHERE NOT (did = d0 AND nth = 1)),
-x AS (SELECT l.did, l.text, count(g.lo) AS n_removed, string_agg(CASE WHEN g.lo IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS kept
-      FROM l LEFT JOIN g ON l.did = g.did AND l.text = g.text AND l.i >= g.lo AND l.i < g.lo + g.n GROUP BY ALL)
+a AS (SELECT did, text, unnest(range(count(*))) AS twin FROM d WHERE text IS NOT NULL GROUP BY did, text),
+m AS (SELECT c.*, twin, row_number() OVER (PARTITION BY chunk ORDER BY c.did, md5(c.text), twin, lo) AS nth
+      FROM c JOIN a ON c.did = a.did AND c.text = a.text WHERE n > 1 AND regexp_matches(chunk, '[^\x09-\x0D\x20]')),
+g AS (SELECT did, text, twin, lo, n FROM m WHERE nth > 1),
+x AS (SELECT l.did, l.text, a.twin, count(g.lo) AS n_removed, string_agg(CASE WHEN g.lo IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS kept
+      FROM l JOIN a ON l.did = a.did AND l.text = a.text LEFT JOIN g ON l.did = g.did AND l.text = g.text AND g.twin = a.twin AND l.i >= g.lo AND l.i < g.lo + g.n GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY did, text) - 1 AS twin FROM d)
 SELECT d.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.n_removed, 0) AS BIGINT) AS n_removed,
        CASE WHEN coalesce(x.n_removed, 0) = 0 THEN d.text ELSE coalesce(x.kept, '') END AS text
-FROM d LEFT JOIN x ON d.did = x.did AND d.text = x.text
+FROM e d LEFT JOIN x ON d.did = x.did AND d.text = x.text AND d.twin = x.twin
 """
