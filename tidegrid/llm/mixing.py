@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, small, table
+from .common import numbered, repeated, saved, small, table
 
 BLOCK = 128
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -123,20 +123,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    plan = mix(docs, **how).withColumn("_k", F.xxhash64("doc_id", "source", "size"))
+    plan = saved(mix(docs, **how)).withColumn("_k", F.xxhash64("doc_id", "source", "size"))
     keys = {"_d": F.col("doc_id").cast("long"), "_s": F.col("source").cast("string"), "_n": word_count("text")}
     rows = docs.withColumns(keys).withColumn("_k", F.xxhash64("_d", "_s", "_n"))
     plan = plan.select("_k", *(F.col(c).alias(f"_p_{c}") for c in ("doc_id", "source", "size", "n", "copies")))
     same = (rows._d.eqNullSafe(plan._p_doc_id)) & (rows._s.eqNullSafe(plan._p_source)) & (rows._n == plan._p_size)
     both = rows.join(plan, (rows._k == plan._k) & same).drop(plan._k)
-    at = F.row_number().over(Window.partitionBy("_k", "_d", "_s", "_n").orderBy("text"))
-    both = both.withColumn("_times", F.floor(F.col("_p_copies") / F.col("_p_n")) + F.when(at <= F.col("_p_copies") % F.col("_p_n"), 1).otherwise(0))
-    both = both.where("_times > 0").withColumn("_i", F.explode(F.expr("sequence(1, _times)")))
-    return both.select(*docs.columns)
+    # rows alike whose copies don't divide evenly are numbered; nearly all rows stand alone and aren't
+    odd = F.col("_p_copies") % F.col("_p_n") > 0
+    even = both.where(~odd).withColumn("_times", F.floor(F.col("_p_copies") / F.col("_p_n")).cast("long"))
+    if plan.where(F.col("_p_copies") % F.col("_p_n") > 0).limit(1).count():
+        some = numbered(both.where(odd).withColumn("_key", F.struct("_d", "_s", "_n")), ["_key"]).drop("_key")
+        times = F.floor(F.col("_p_copies") / F.col("_p_n")) + F.when(F.col("_nth") <= F.col("_p_copies") % F.col("_p_n"), 1).otherwise(0)
+        even = even.unionByName(some.withColumn("_times", times.cast("long")).drop("_nth"))
+    return repeated(even.where("_times > 0"), "_times").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: the words that the mix takes of it."""
-    found = mix(table(spark, sf_dir, "documents")).withColumn("i", F.explode(F.expr("sequence(1L, n)")))
-    times = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("i") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    found = repeated(mix(table(spark, sf_dir, "documents")), "n")
+    times = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("_i") <= F.col("copies") % F.col("n"), 1).otherwise(0)
     return found.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
