@@ -15,24 +15,23 @@ def components(links: DataFrame) -> DataFrame:
     """The smallest node that each linked node reaches: node, root. `links`: a, b, long.
 
     Alternating stars: each node hands its larger neighbours to its smallest one (or itself), then its smaller ones too,
-    until nothing changes. Links are combined into a minimum per task before they are moved, and the
-    rounds grow with the logarithm of the longest chain. Each half of a round is written, so that plans stay short.
-    Null ends and loops are left out.
+    until every link is one of a node with its root: no link leads to a node that has a smaller neighbour, and no node has two.
+    Links are combined into a minimum per task before they are moved. The minima are written, and so is each half of a round:
+    plans stay short, and as both sides of a join are tables then, Spark splits what belongs to a node with very many links.
+    The rounds grow with the logarithm of the longest chain. Null ends and loops are left out.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before, parts = None, -(-edges.count() // PER_TASK) or 1
+    parts = -(-edges.count() // PER_TASK) or 1
     edges = edges.coalesce(parts)  # few links in many partitions would cost more files than rows, round after round
     while True:
-        least = edges.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("lo"), "m")
-        large = edges.join(least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        large = saved(large.distinct().coalesce(parts))
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct().coalesce(parts))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before:
+        least = saved(edges.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("_lo"), "m").coalesce(parts))
+        large = edges.join(least, F.col("lo") == F.col("_lo"), "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved"))
+        large = saved(large.groupBy("hi", "lo").agg(F.max("moved").alias("moved")).coalesce(parts))
+        down = saved(large.groupBy("hi").agg(F.min("lo").alias("m"), F.max("moved").alias("moved"), F.count(F.lit(1)).alias("n")).coalesce(parts))
+        if not down.where("moved OR n > 1").limit(1).count():
             break
-        before = now
-    roots = edges.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
+        small = large.select("hi", "lo").join(down.select("hi", "m"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct().coalesce(parts))
+    roots = down.select(F.col("hi").alias("node"), F.col("m").alias("root"))
     tops = roots.select(F.col("root").alias("node"), "root").distinct()
     return saved(roots.unionByName(tops).coalesce(parts))

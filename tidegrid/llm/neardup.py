@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import saved, table
+from .common import bounded_batches, forest, numbered, repeated, saved, table
 from .components import components
 from .hashing import mix, shingles, word_hashes
 
@@ -28,6 +27,7 @@ REGISTERS, BANDS, ROWS = 128, 25, 5
 SHINGLES_AT_ONCE = 400_000
 #: Documents and items of a block.
 PER_BLOCK, ITEMS_PER_BLOCK = 256, 400_000
+LAST = (1 << 63) - 1
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
@@ -100,29 +100,13 @@ def similar(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarr
     return np.argwhere((both >= least * total - 1e-9) & (total > 0))
 
 
-def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
-    """The pairs that join two trees."""
-    parent, kept = list(range(n)), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for k, (i, j) in enumerate(pairs.tolist()):
-        if (x := root(i)) != (y := root(j)):
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return pairs[kept]
-
-
 def _banded(texts: DataFrame, words: int) -> DataFrame:
-    """node, doc_id, text -> doc_id, node, bands: a hash of each band's registers; none for a text without words."""
+    """th, doc_id, text -> doc_id, th, bands: a hash of each band's registers; none for a text without words."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            _, first, again = np.unique(node, return_index=True, return_inverse=True)
+            th = np.frombuffer(b"".join(batch.column("th").to_pylist()), "V16")
+            _, first, again = np.unique(th, return_index=True, return_inverse=True)
             column = batch.column("text")
             bands: list[np.ndarray | None] = [None] * len(first)
             bags, at, held, raw, ids = [], [], 0, [], []
@@ -160,9 +144,9 @@ def _banded(texts: DataFrame, words: int) -> DataFrame:
                     size = 0
             bag()
             sign()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([bands[i] for i in again], pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([bands[i] for i in again], pa.list_(pa.int64()))], ["doc_id", "th", "bands"])
 
-    return texts.mapInArrow(signed, "doc_id long, node long, bands array<long>")
+    return texts.select("doc_id", "th", "text").mapInArrow(signed, "doc_id long, th binary, bands array<long>")
 
 
 BODY = "cluster long, block long, nodes array<long>, sizes array<long>, items binary"
@@ -185,7 +169,8 @@ def _blocks(texts: DataFrame, words: int, least: float, per_block: int) -> DataF
             nonlocal number, nodes, sets, held
             items, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
             pairs = similar(items, sizes, items, sizes, least) if len(sets) > 1 else np.zeros((0, 2), np.int64)
-            pairs = _forest(pairs[pairs[:, 0] < pairs[:, 1]], len(sets))
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+            pairs = pairs[forest(pairs, len(sets))]
             names = np.array(nodes)
             out: dict[str, list] = {"cluster": [cluster] * len(pairs), "block": [None] * len(pairs), "nodes": [None] * len(pairs), "sizes": [None] * len(pairs), "items": [None] * len(pairs)}
             out |= {"a": names[pairs[:, 0]].tolist(), "b": names[pairs[:, 1]].tolist()}
@@ -226,7 +211,8 @@ def _tiles(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
                 (n, s, i), (m, t, j) = (
                     (np.array(batch.column(f"{k}_nodes")[r].as_py()), np.array(batch.column(f"{k}_sizes")[r].as_py()), np.frombuffer(batch.column(f"{k}_items")[r].as_py(), np.uint64)) for k in "xy"
                 )
-                found = _forest(similar(i, s, j, t, least) + [0, len(n)], len(n) + len(m))
+                found = similar(i, s, j, t, least) + [0, len(n)]
+                found = found[forest(found, len(n) + len(m))]
                 names = np.concatenate([n, m])
                 yield pa.RecordBatch.from_arrays([pa.array(names[found[:, 0]], pa.int64()), pa.array(names[found[:, 1]], pa.int64())], ["a", "b"])
 
@@ -235,24 +221,26 @@ def _tiles(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, per_block: int = PER_BLOCK) -> DataFrame:
-    """Groups of `docs` (doc_id, text) reached by links of similarity >= `least`: doc_id, node, class_id, kept.
+    """Groups of `docs` (doc_id, text) reached by links of similarity >= `least`: doc_id, th, class_id, kept.
 
-    A row per row of `docs`; node is a hash of the text, class_id the smallest doc_id of the group, and
-    one row of each group is kept: with that doc_id, of the smallest node; of rows alike in both, one.
+    A row per row of `docs`; th is the MD5 of the text, class_id the smallest doc_id of the group, and
+    one row of each group is kept: with that doc_id, of the smallest th; of rows alike in both, one.
     Texts with fewer than `words` words are one shingle. Null texts and texts without words are compared with nothing; each is a group
     of its own and kept. Null doc_ids are ordered last. An empty table gives an empty result.
 
-    Equal texts are one node from the start. Members of a band's bucket meet in a cluster; clusters are sorted and
+    Texts of one MD5 are one node from the start. Members of a band's bucket meet in a cluster; clusters are sorted and
     cut into blocks, in which all pairs of a cluster are compared at once. Clusters of several blocks go on by tiles:
     first their first block with the others, then those pairs of blocks that aren't in one group yet. So every pair of a bucket
     is compared or already in one group; none is written but the links of spanning forests, and no bucket is capped.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     has = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("th"))
     rows = saved(_banded(keyed.where(has), words))
-    lone = keyed.where(~has).select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    lone = keyed.where(~has).select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))  # written: the numbers stay
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("b")).where("size > 1").drop("size")
     shared = saved(members.join(buckets, ["band", "key"]).select("band", "key", "node", "b"))
@@ -262,9 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, per_blo
     both = meet.join(meet.groupBy("band", "key").agg(F.min("least").alias("b")), ["band", "key"])
     both = both.where("least <> b").select(F.col("least").alias("a"), "b").distinct()
     clusters = components(near.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(both))
-    wanted = clusters.join(nodes.select("node", "doc_id"), "node")
-    wanted = wanted.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"), F.col("root").alias("cluster"))
-    same = (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    wanted = clusters.join(nodes.select("node", "th", "doc_id"), "node")
+    wanted = wanted.select("node", F.col("th").alias("_th"), F.col("doc_id").alias("_d"), F.col("root").alias("cluster"))
+    same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     texts = keyed.join(wanted, same).select("cluster", "node", "text").dropDuplicates(["node"])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = saved(_blocks(texts.repartitionByRange(tasks, "cluster", "node").sortWithinPartitions("cluster", "node"), words, least, per_block))
@@ -281,27 +269,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, per_blo
     x, y = (at.select("cluster", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi"))) for s in "xy")
     one = (F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y"))
     rest = x.join(y, "cluster").where((F.col("block_x") < F.col("block_y")) & ~one).select(F.col("block_x").alias("x"), F.col("block_y").alias("y"))
-    found = components(links.unionByName(_tiles(rest, bodies, least)))
-    rows = rows.select("doc_id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    heads = rows.join(first, "root").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    heads = heads.groupBy("root").agg(F.min("node").alias("head"))
-    out = rows.join(first, "root").join(heads, "root")
-    chief = (F.col("node") == F.col("head")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    nth = F.row_number().over(Window.partitionBy("root", "node", "doc_id").orderBy(F.lit(1)))
-    chiefs = out.where(chief).withColumn("kept", nth == 1)
-    out = out.where(~chief).withColumn("kept", F.lit(False)).unionByName(chiefs)
-    return out.select("doc_id", "node", "class_id", "kept").unionByName(lone)
+    more = _tiles(rest, bodies, least)
+    if more.limit(1).count():  # else the groups stand as they are
+        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    # what a group is called is found over its distinct texts; the rows are joined last
+    named = nodes.select("th", "doc_id", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chief = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("doc_id").isNull().alias("none"), "th"))
+    heads = named.groupBy("root").agg(chief.alias("c"))
+    named = saved(named.join(heads, "root").select(F.col("th").alias("_th"), F.when(~F.col("c.none"), F.col("c.d")).alias("class_id"), (F.col("th") == F.col("c.th")).alias("head")))
+    rows = rows.select("doc_id", "th").join(named, F.col("th") == F.col("_th")).drop("_th")
+    chief = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    alike = rows.where(chief).groupBy("doc_id", "th", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.where(~chief).select("doc_id", "th", "class_id", F.lit(False).alias("kept"))
+    out = out.unionByName(repeated(alike, "n").select("doc_id", "th", "class_id", (F.col("_i") == 1).alias("kept")))
+    return out.unionByName(lone)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents without near duplicates: one row of each group."""
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
-    kept = kept.withColumn("_k", F.xxhash64("_d", "_n")).groupBy("_k", "_d", "_n").agg(F.count(F.lit(1)).alias("_times"))
-    rows = docs.withColumn("_h", F.xxhash64("text")).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_h"))
-    rows = rows.join(kept, (F.col("_key") == F.col("_k")) & (F.col("_h") == F.col("_n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")))
-    nth = F.row_number().over(Window.partitionBy("_key", "_h", "_d").orderBy(F.xxhash64(*docs.columns)))
-    return rows.withColumn("_i", nth).where("_i <= _times").select(*docs.columns)
+    of_each = near_duplicates(docs, **how).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_th"))
+    kept = of_each.agg(F.sum(F.col("kept").cast("long")).alias("_times"), F.count(F.lit(1)).alias("_alike")).where("_times > 0")
+    kept = saved(kept.withColumn("_k", F.xxhash64("_d", "_th")))
+    rows = docs.withColumn("_h", F.unhex(F.md5("text"))).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_h"))
+    same = (F.col("_key") == F.col("_k")) & F.col("_h").eqNullSafe(F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+    out = rows.join(kept.where("_times = _alike"), same).select(*docs.columns)
+    some = kept.where("_times < _alike")
+    if some.limit(1).count():  # rows alike in doc_id and text, of which one is kept
+        which = numbered(rows.join(some, same).withColumn("_of", F.struct("_d", "_th")), ["_of"])
+        out = out.unionByName(which.where("_nth <= _times").select(*docs.columns))
+    return out
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
