@@ -5,12 +5,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegrid.llm.common import shared_folder
 from tidegrid.llm.language import known_language
 from tidegrid.llm.lines import without_repeats
 from tidegrid.llm.mixing import mixed_documents
@@ -56,9 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each is written as Parquet to the shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegrid-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
