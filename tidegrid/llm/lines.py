@@ -44,7 +44,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    base = docs.select(*columns).withColumns({"_did": did, "_th": F.unhex(F.md5("text"))})
+    base = docs.select(*columns).withColumns({"_did": did, "_th": F.coalesce(F.unhex(F.md5("text")), F.lit(bytearray()))})
     each = base.where("text IS NOT NULL").select("_did", "_th", F.split("text", "\n").alias("lines"))
     each = each.where("size(lines) > 1").select("_did", "_th", F.explode(chunks("lines")).alias("c"))
     each = saved(each.select("_did", "_th", "c.*").where("n > 1"))
@@ -61,8 +61,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = base.join(some, same & (F.hash("found", *columns) >= -(1 << 31)))
     found = found.select("_did", "_th", "alike", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
     found = found.select("_did", "_th", "alike", "f.*", F.expr("array_join(slice(lines, f.lo + 1, f.n), '\n')").alias("chunk")).where(F.col("chunk").rlike(MARK))
-    # by hash and text, not by hash alone, so that the join's own exchange follows and can be split by size
-    kept = found.where("first").select("h", F.col("chunk").alias("same")).distinct()
+    # told apart by more than the join's keys, so that the join moves both sides itself and Spark can split them by size
+    kept = found.where("first").select("h", F.col("chunk").alias("same"), F.hash("h").alias("_z")).distinct().drop("_z")
     gone = found.where("NOT first OR alike > 1").join(kept, "h").where("chunk = same")
     gone = gone.groupBy("_did", "_th").agg(F.collect_set(F.struct("lo", "n", "first")).alias("_gone"))
     gone = gone.select(F.col("_did").alias("_d"), F.col("_th").alias("_t"), "_gone")
