@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, forest, numbered, repeated, saved, table
@@ -233,12 +233,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, per_blo
     first their first block with the others, then those pairs of blocks that aren't in one group yet. So every pair of a bucket
     is compared or already in one group; none is written but the links of spanning forests, and no bucket is capped.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    has = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("th"))
-    rows = saved(_banded(keyed.where(has), words))
-    lone = keyed.where(~has).select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    rows, heads = _grouped(keyed, words, least, per_block)
+    lone = keyed.where(~has_words("text")).select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    chief = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    rows = rows.withColumn("kept", chief).drop("head")
+    twins = heads.where("n > 1")
+    if twins.limit(1).count():  # rows alike in doc_id and text: one of them stays
+        rows = rows.where("NOT kept").unionByName(heads.where("n = 1").select("doc_id", "th", "class_id", F.lit(True).alias("kept")))
+        rows = rows.unionByName(repeated(twins, "n").select("doc_id", "th", "class_id", (F.col("_i") == 1).alias("kept")))
+    return rows.unionByName(lone)
+
+
+def has_words(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+
+
+def _grouped(keyed: DataFrame, words: int, least: float, per_block: int) -> tuple[DataFrame, DataFrame]:
+    """`keyed` (doc_id, text, th) -> its rows with words, as doc_id, th, class_id, head (whether th is the group's smallest with class_id),
+    and of those to keep doc_id, th, class_id and n, the rows alike."""
+    spark = keyed.sparkSession
+    bounded_batches(spark)
+    rows = saved(_banded(keyed.where(has_words("text")), words))
     nodes = rows.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))  # written: the numbers stay
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -279,24 +295,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, per_blo
     named = saved(named.join(heads, "root").select(F.col("th").alias("_th"), F.when(~F.col("c.none"), F.col("c.d")).alias("class_id"), (F.col("th") == F.col("c.th")).alias("head")))
     rows = rows.select("doc_id", "th").join(named, F.col("th") == F.col("_th")).drop("_th")
     chief = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    alike = rows.where(chief).groupBy("doc_id", "th", "class_id").agg(F.count(F.lit(1)).alias("n"))
-    out = rows.where(~chief).select("doc_id", "th", "class_id", F.lit(False).alias("kept"))
-    out = out.unionByName(repeated(alike, "n").select("doc_id", "th", "class_id", (F.col("_i") == 1).alias("kept")))
-    return out.unionByName(lone)
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near duplicates: one row of each group."""
-    of_each = near_duplicates(docs, **how).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_th"))
-    kept = of_each.agg(F.sum(F.col("kept").cast("long")).alias("_times"), F.count(F.lit(1)).alias("_alike")).where("_times > 0")
-    kept = saved(kept.withColumn("_k", F.xxhash64("_d", "_th")))
-    rows = docs.withColumn("_h", F.unhex(F.md5("text"))).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_h"))
-    same = (F.col("_key") == F.col("_k")) & F.col("_h").eqNullSafe(F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-    out = rows.join(kept.where("_times = _alike"), same).select(*docs.columns)
-    some = kept.where("_times < _alike")
-    if some.limit(1).count():  # rows alike in doc_id and text, of which one is kept
-        which = numbered(rows.join(some, same).withColumn("_of", F.struct("_d", "_th")), ["_of"])
-        out = out.unionByName(which.where("_nth <= _times").select(*docs.columns))
+    return rows, saved(rows.where(chief).groupBy("doc_id", "th", "class_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, per_block: int = PER_BLOCK) -> DataFrame:
+    """The documents without near duplicates: one row of each group, as near_duplicates() keeps them."""
+    th, did = F.unhex(F.md5("text")), F.col("doc_id").cast("long")
+    _, heads = _grouped(docs.select(did.alias("doc_id"), "text", th.alias("th")), words, least, per_block)
+    heads = heads.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("n").alias("_alike"))
+    rows = docs.where(has_words("text")).withColumn("_h", th)
+    same = (F.col("_h") == F.col("_th")) & did.eqNullSafe(F.col("_d"))
+    out = docs.where(~has_words("text")).unionByName(rows.join(heads.where("_alike = 1"), same).select(*docs.columns))
+    twins = heads.where("_alike > 1")
+    if twins.limit(1).count():  # rows alike in doc_id and text, of which one is kept
+        which = numbered(rows.join(twins, same).withColumn("_of", F.struct("_d", "_th")), ["_of"])
+        out = out.unionByName(which.where("_nth = 1").select(*docs.columns))
     return out
 
 
