@@ -25,8 +25,28 @@ BAD = [(900, None, 1), (901, [], 1), (902, [0.0] * 12, 1), (903, [None] + [1.0]
 
 def test_nearest(spark):
     x = some()
-    rows = [(i, v, i % 3) for i, v in enumerate(x)] + BAD + [(7, x[7], 1)]
+    # rows that share an id: 7 and 40 twice alike, 60 with another vector
+    rows = [(i, v, i % 3) for i, v in enumerate(x)] + BAD + [(7, x[7], 1), (40, x[40], 1), (60, x[61], 1)]
     df = table(spark, rows)
+    every = [(i, np.asarray(v, np.float32).astype(float)) for i, v, _ in rows if i is not None and v is not None and len(v) == 12 and all(t is not None and np.isfinite(t) for t in v) and any(v)]
+    ids, xs = np.array([i for i, _ in every]), np.array([v for _, v in every])
+    want = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = (xs * xs[at]).sum(1)
+        s[at] = -np.inf
+        order = np.lexsort((ids, -s))[:20]
+        want.append((int(ids[at]), ids[order].tolist(), pytest.approx(s[order].tolist(), rel=1e-12)))
+    got = {}
+    for r in vectors.nearest(df.where("vec_id % 20 = 0"), df).orderBy("query", "rank").collect():
+        got.setdefault((r.query, r.query_id), []).append((r["rank"], r.vec_id, r.score))
+    have = [(q, [i for _, i, _ in v], [s for *_, s in v]) for (_, q), v in got.items() if [r for r, *_ in v] == list(range(1, 21))]
+    key = lambda t: (t[0], t[1])
+    assert sorted(have, key=key) == sorted(want, key=key) and len(have) == 22
+
+
+def test_nearest_of_unique_rows(spark):
+    x = some()
+    df = table(spark, [(i, v, i % 3) for i, v in enumerate(x)] + BAD)
     got = {}
     for r in vectors.nearest(df.where("vec_id % 20 = 0"), df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -75,8 +95,24 @@ def test_copies_over_several_tiles(spark, monkeypatch):
     assert [r.vec_id for r in got] == list(range(1, 41, 2)) and len({r.score for r in got}) == 1
 
 
-@pytest.mark.parametrize("least", [0.98, 0.9])
-def test_near_vectors(spark, least):
+@pytest.mark.parametrize("width", [2, 8])
+def test_near_blocks(spark, width):
+    rng = np.random.default_rng(8)
+    low = np.sort(rng.uniform(0, 9, (37, 2)), axis=0)
+    high = low + rng.uniform(0, 0.7, (37, 2))
+    label = np.sort(rng.integers(0, 3, 37))
+    rows = [(i, f"l{label[i]}", low[i].tolist(), high[i].tolist()) for i in range(37)]
+    about = spark.createDataFrame(rows, "block long, label string, low array<double>, high array<double>")
+    gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
+    near = ((gap**2).sum(-1) <= 0.25) & (label[:, None] == label[None])
+    got = {(r.a, r.b) for r in vectors.near_blocks(about, 37, 2, 0.5, width).collect()}
+    assert got == {(i, j) for i, j in np.argwhere(near).tolist() if i <= j}
+    assert vectors.near_blocks(about.limit(0), 0, 2, 0.5).count() == 0
+
+
+@pytest.mark.parametrize("least, block", [(0.98, 1024), (0.9, 1024), (0.9, 16)])
+def test_near_vectors(spark, monkeypatch, least, block):
+    monkeypatch.setattr(vectors, "ROWS", block)
     x = some()
     rows = [(i, v * (1 + i % 4), i % 2 if i < 350 else None) for i, v in enumerate(x)] + BAD + [(7, x[7], 1)]
     got = sorted((r.vec_id is None, r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(table(spark, rows), least).collect() if r.vec_id is not None)

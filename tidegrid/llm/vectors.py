@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, valid_vector
+from .common import forest, saved, table, valid_vector
 from .components import components
 
 QUERIES, CANDIDATES = 4096, 8192
+#: Query rows alike that one entry stands for at most.
+COPIES = 1000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -34,22 +36,28 @@ def _int8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return near.astype(np.float32), scale, np.linalg.norm(x - near * scale, axis=1), np.linalg.norm(near * scale, axis=1)
 
 
-def tile_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k nearest of the candidates: (query id, ids, exact inner products).
+def tile_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, rows: int = 256, times: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k nearest of the candidates: (place of the query, ids, exact inner products).
 
-    Products of the int8 forms bound the true ones: by Cauchy-Schwarz they are off by no more than
-    |q| |c - c8| + |q - q8| |c8|. Candidates whose upper bound is below the k-th largest lower bound
-    can't be among the k nearest; the others are computed in double precision.
+    A candidate stands for `times` rows (1 each by default); a query is itself one of those alike in id and vector. Products of
+    the int8 forms bound the true ones: by Cauchy-Schwarz they are off by no more than |q| |c - c8| + |q - q8| |c8|. Candidates
+    whose upper bound is below the k-th largest lower bound can't be among the k nearest; the others are computed in double precision.
     """
     q8, qs, q_off, _ = _int8(q)
     c8, cs, c_off, c_norm = _int8(c)
+    times = np.ones(len(c), np.int64) if times is None else times
     exact = q.shape[1] <= 1024  # sums of products of int8 fit a float32's 24 bits
     for at in range(0, len(q), rows):
         part = slice(at, at + rows)
         near = (q8[part] @ c8.T if exact else q8[part].astype(np.float64) @ c8.T.astype(np.float64)) * qs[part] * cs.T
         off = np.outer(np.linalg.norm(q[part], axis=1), c_off) + np.outer(q_off[part], c_norm)
         off += 1e-5 * (np.abs(near) + off) + 1e-300
-        near[q_ids[part, None] == c_ids[None, :]] = -np.inf
+        i, j = np.nonzero(q_ids[part, None] == c_ids[None, :])
+        own = (q[at + i] == c[j]).all(axis=1)
+        own = dict(zip(i[own].tolist(), j[own].tolist()))
+        for i, j in own.items():
+            if times[j] == 1:
+                near[i, j] = -np.inf
         low = near - off
         least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         for i, cut in enumerate(least):
@@ -57,74 +65,102 @@ def tile_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
             # summed within each row, so that equal vectors score alike whatever their number
             score = np.concatenate([(c[found[j : j + 1024]] * q[at + i]).sum(axis=1) for j in range(0, max(1, len(found)), 1024)])
             best = np.lexsort((c_ids[found], -score))[:k]
-            yield int(q_ids[at + i]), c_ids[found][best], score[best]
+            n = np.minimum(times[found[best]] - (found[best] == own.get(i, -1)), k)
+            best = np.repeat(best, n)[:k]
+            yield at + i, c_ids[found][best], score[best]
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
-    """The k nearest candidates of each query by inner product: query_id, rank from 1, vec_id, score.
+    """The k nearest candidates of each query by inner product: query_id, rank from 1, vec_id, score, query.
 
-    Both tables: vec_id long, embedding. A row is no candidate of a query with its own vec_id; ties go to the
-    smaller vec_id. Rows alike in both columns count once. Vectors that are null, empty, zero or hold null or
-    non-finite components, and rows without vec_id, take no part; vectors meet only those of their length.
+    Both tables: vec_id long, embedding. Each row of `queries` is a query, also where rows share a vec_id: `query` numbers them.
+    Each row of `candidates` is a candidate, but for one alike in vec_id and embedding, which is the query itself; rows with its
+    vec_id and another embedding, and further copies of it, are others. Ties go to the smaller vec_id. Vectors that are null, empty,
+    zero or hold null or non-finite components, and rows without vec_id, take no part; vectors meet only those of their length.
     An empty table gives an empty result.
 
-    Queries and candidates are dealt to blocks by a hash, so that a tile is one block of each, and every tile
-    returns at most k candidates a query. Work and rows moved follow queries x candidates.
+    Rows alike are computed once and counted. Queries and candidates are dealt to blocks by a hash, so that a tile is one block of
+    each, and every tile returns at most k candidates a query. Work and rows moved follow queries x candidates.
     """
 
     def ready(df: DataFrame) -> DataFrame:
         df = df.where(valid_vector("embedding") & F.col("vec_id").isNotNull())
-        return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim")).dropDuplicates(["vec_id", "embedding"])
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").groupBy("vec_id", "embedding")
+        return df.agg(F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("embedding"))
 
     q, c = ready(queries), ready(candidates)
-    n_q, n_c = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERIES), (candidates, CANDIDATES)))
+    # a query entry stands for COPIES rows at most
+    q = q.withColumn("_b", F.explode(F.expr(f"sequence(0L, (times - 1) div {COPIES})")))
+    q = q.withColumn("times", F.expr(f"least(times - _b * {COPIES}, {COPIES}L)")).withColumn("query", F.monotonically_increasing_id()).drop("_b")
+    q = saved(q)  # written: the numbers stay
+    n_q, n_c = (max(1, -(-df.count() // n)) for df, n in ((q, QUERIES), (candidates, CANDIDATES)))
     block = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    q = q.select("*", block(n_q).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("j"))
+    q = q.select("*", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("j"))
     c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), block(n_c).alias("j"))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         rows = []
         if len(a) and len(b):
-            ids = (x.column("vec_id").to_numpy() for x in (a, b))
-            rows = list(tile_top(_matrix(a.column("embedding")), next(ids), _matrix(b.column("embedding")), next(ids), k))
+            ids, times = (x.column("vec_id").to_numpy() for x in (a, b)), b.column("times").to_numpy()
+            rows = list(tile_top(_matrix(a.column("embedding")), next(ids), _matrix(b.column("embedding")), next(ids), k, times=times))
+        own = a.take(pa.array([r[0] for r in rows], pa.int64()))
         return pa.table(
-            {"query_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "scores": pa.array([r[2] for r in rows], pa.list_(pa.float64()))}
-        )
+            {
+                "query": own.column("query"), "query_id": own.column("vec_id"), "times": own.column("times"),
+                "ids": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "scores": pa.array([r[2] for r in rows], pa.list_(pa.float64())),
+            }
+        )
 
-    found = q.groupBy("dim", "i", "j").cogroup(c.groupBy("dim", "i", "j")).applyInArrow(tile, "query_id long, ids array<long>, scores array<double>")
+    found = q.groupBy("dim", "i", "j").cogroup(c.groupBy("dim", "i", "j")).applyInArrow(tile, "query long, query_id long, times long, ids array<long>, scores array<double>")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        """Rows sorted by query: a heap for one query at a time."""
+        now, about, heap = None, (0, 0), []
+        out: list[tuple] = []
+
+        def close() -> None:
+            heap.sort(reverse=True)
+            for copy in range(about[1] if now is not None else 0):
+                out.extend((about[0], rank, -x, s, now * COPIES + copy) for rank, (s, x) in enumerate(heap, 1))
+            heap.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = {"query_id": pa.int64(), "rank": pa.int32(), "vec_id": pa.int64(), "score": pa.float64(), "query": pa.int64()}
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds.values())], list(kinds))
+            out.clear()
+            return batch
+
         for batch in batches:
-            for query, ids, scores in zip(*(batch.column(x).to_pylist() for x in range(3))):
-                heap = heaps.setdefault(query, [])
+            for query, query_id, times, ids, scores in zip(*(batch.column(x).to_pylist() for x in range(5))):
+                if query != now:
+                    close()
+                    if len(out) > 20_000:
+                        yield batch_of()
+                    now, about = query, (query_id, times)
                 for item in zip(scores, (-x for x in ids)):
                     if len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
                         heapq.heapreplace(heap, item)
-        for query, heap in heaps.items():
-            heap.sort(reverse=True)
-            n = len(heap)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([query] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array([-x for _, x in heap], pa.int64()), pa.array([s for s, _ in heap], pa.float64())],
-                ["query_id", "rank", "vec_id", "score"],
-            )
+        close()
+        if out:
+            yield batch_of()
 
-    return found.repartition("query_id").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
+    tasks = max(n_q, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return found.repartition(tasks, "query").sortWithinPartitions("query").mapInArrow(merged, "query_id long, rank int, vec_id long, score double, query long")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nearest(vectors.where("vec_id % 20 = 0"), vectors)
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors).drop("query")
 
 
 # --- near-duplicate vectors -------------------------------------------------------------------------
 
 #: Vectors of a block, vectors of the smallest interval, leading dimensions with a grid.
 ROWS, LEAF, LEADING = 1024, 128, 6
-BLOCK = "block long, label string, n int, low array<double>, high array<double>, x binary"
-TILE = "a_block long, a_n int, a_low array<double>, a_x binary, b_block long, b_n int, b_x binary"
+#: Parts of an interval of blocks.
+WIDTH = 8
 
 
 def leading_axes(vectors: DataFrame, dims: int) -> np.ndarray:
@@ -178,20 +214,30 @@ def interval_links(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
             todo += [(a, b, c, (c + d) // 2), (a, b, (c + d) // 2, d)]
 
 
-def _forest(pairs: np.ndarray, n: int) -> list[int]:
-    """Which of the pairs join two trees."""
-    parent, kept = list(range(n)), []
+def near_blocks(about: DataFrame, total: int, dims: int, far: float, width: int = WIDTH) -> DataFrame:
+    """Pairs of blocks, a <= b, that hold vectors at most `far` apart, as their labels and boxes tell. `about`: block, numbered
+    without gaps in the sequence's order, label, low, high (corners in `dims` dimensions).
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for k, (i, j) in enumerate(pairs.tolist()):
-        if (a := root(i)) != (b := root(j)):
-            parent[max(a, b)] = min(a, b)
-            kept.append(k)
-    return kept
+    Joins the sequence with itself by intervals: an interval has the labels and the box of its blocks. From the whole sequence down,
+    each pair of intervals that may hold a link is split into the pairs of their `width` parts; the others go at once. A pair is
+    a row, so a label or a region that holds very many blocks is spread like any other.
+    """
+    levels = 0
+    while width**levels < total:
+        levels += 1
+    pairs = about.sparkSession.range(1 if total else 0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    corner = lambda f, c: F.array(*(f(F.col(c)[d]) for d in range(dims)))
+    apart = "aggregate(zip_with(zip_with(x.low, y.high, (s, t) -> s - t), zip_with(y.low, x.high, (s, t) -> s - t), (s, t) -> greatest(s, t, 0.0D)), 0.0D, (s, t) -> s + t * t)"
+    for level in range(levels - 1, -1, -1):
+        boxes = about.groupBy(F.floor(F.col("block") / width**level).alias("node"))
+        boxes = boxes.agg(F.min("label").alias("first"), F.max("label").alias("last"), corner(F.min, "low").alias("low"), corner(F.max, "high").alias("high"))
+        parts = boxes.groupBy(F.floor(F.col("node") / width).alias("of")).agg(F.collect_list(F.struct("node", "first", "last", "low", "high")).alias("parts"))
+        for side, part in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(parts.select(F.col("of").alias(side), F.col("parts").alias(f"{part}s")), side)
+        pairs = pairs.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+        pairs = pairs.where(f"x.node <= y.node AND x.first <= y.last AND y.first <= x.last AND {apart} <= {far * far}")
+        pairs = saved(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return pairs
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -203,8 +249,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     nor do vectors of different length. An empty table gives an empty result.
 
     Vectors are sorted by label and grid cells, of a width that no linked pair exceeds, on the leading principal
-    dimensions, dealt by sampled ranges and cut into blocks. Block pairs whose boxes are near enough are
-    joined by halving; a tile returns a count per vector and a spanning forest, never all its links.
+    dimensions, dealt by sampled ranges and cut into blocks. The sequence of blocks is joined with itself by intervals, see
+    near_blocks(), and each pair of blocks left by halving; a tile returns a count per vector and a spanning forest, never all its links.
     """
     dims = LEADING
     far = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + 1e-9) + 1e-9
@@ -262,10 +308,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             yield block()
 
     made = saved(spread.mapInArrow(blocks, "block long, label string, n int, low array<double>, high array<double>, x binary, ids array<long>, p binary"))
-    about, body = made.select("block", "label", "low", "high"), made.select("block", "n", "x", "p")
-    a, b = (about.select(*(F.col(c).alias(f"{s}_{c}") for c in about.columns)) for s in "ab")
-    box = "aggregate(zip_with(zip_with(a_low, b_high, (s, t) -> s - t), zip_with(b_low, a_high, (s, t) -> s - t), (s, t) -> greatest(s, t, 0.0D)), 0.0D, (s, t) -> s + t * t)"
-    pairs = a.join(b, (F.col("a_label") == F.col("b_label")) & (F.col("a_block") <= F.col("b_block"))).where(f"{box} <= {far * far}").select("a_block", "b_block")
+    # blocks numbered without gaps in the order of the sequence: a count a partition tells where its numbers begin
+    sizes = {r.p: r.n for r in made.groupBy(F.shiftright("block", 32).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    begins, total = [], 0
+    for part in sorted(sizes):
+        begins.append((part, total))
+        total += sizes[part]
+    begins = made.sparkSession.createDataFrame(begins, "_p long, _begin long")  # a row a partition
+    made = made.join(F.broadcast(begins), F.shiftright("block", 32) == F.col("_p")).withColumn("block", F.col("block") % (1 << 32) + F.col("_begin")).drop("_p", "_begin")
+    body = made.select("block", "n", "x", "p")
+    pairs = near_blocks(made.select("block", "label", "low", "high"), total, dims, far)
+    pairs = pairs.select(F.col("a").alias("a_block"), F.col("b").alias("b_block"))
     for s in "ab":
         pairs = pairs.join(body.select(*(F.col(c).alias(f"{s}_{c}") for c in body.columns)), f"{s}_block")
 
@@ -282,9 +335,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                     counts[i : i + len(links)] += links.sum(1)
                     counts[shift + j : shift + j + links.shape[1]] += links.sum(0)
                     at = np.argwhere(links) + [i, shift + j]
-                    edges.append(at[_forest(at, len(counts))])
+                    edges.append(at[forest(at, len(counts))])
                 at = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-                at = at[_forest(at, len(counts))]
+                at = at[forest(at, len(counts))]
                 name = np.concatenate([row["a_block"] * ROWS + np.arange(len(x)), row["b_block"] * ROWS + np.arange(len(counts) - shift if not same else 0)])
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays(
