@@ -184,8 +184,8 @@ def spans_by_hand(texts, length):
     return out
 
 
-@pytest.mark.parametrize("parts", ["2", "60"])
-def test_suffixes(spark, parts):
+@pytest.mark.parametrize("parts, crowd", [("2", 10_000), ("60", 10_000), ("5", 20), ("5", 1)])
+def test_suffixes(spark, parts, crowd):
     hot, long = words(5, 80), words(6, 300)
     rows = AWKWARD[:-3] + [(20, "a" * 900, "en", "a"), (21, "ü" * 150 + long, "en", "a"), (22, long[40:900] + " end", "en", "a"), (23, "ab" * 101, "en", "a"), (24, long[:199], "en", "a"), (25, long[300:501], "en", "a")]
     rows += [(30 + i, words(100 + i, 20) + " " + hot + " " + words(200 + i, 20), "en", "a") for i in range(60)]
@@ -193,7 +193,7 @@ def test_suffixes(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = suffixes.without_repeated_bytes(docs(spark, rows)).collect()
+        got = suffixes.without_repeated_bytes(docs(spark, rows), hot=crowd).collect()
         assert suffixes.without_repeated_bytes(docs(spark, [])).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -201,6 +201,33 @@ def test_suffixes(spark, parts):
     assert sorted((r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in got) == sorted(want)
 
 
+def test_many_rows_alike(spark):
+    text = words(41, 400)
+    df = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"'{text}' AS text")
+    got = suffixes.without_repeated_bytes(df).selectExpr("n_bytes", "length(kept) AS n", "size(spans) AS s").groupBy("n_bytes", "n", "s").count().collect()
+    assert [tuple(r) for r in got] == [(len(text), 0, 1, 20_000)]
+
+
+def test_ranges_split_by_leading_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLED", 8)
+    rows = [(i, words(i % 40, 150 + i % 3), "en", "a") for i in range(80)]
+    got = suffixes.without_repeated_bytes(docs(spark, rows)).collect()
+    assert sorted((r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in got) == sorted(spans_by_hand([r[1] for r in rows], 200))
+
+
+def test_blocks_hold_their_places():
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (524_280, 700_000, 90)]
+    by = {}
+    for row, data, at, h, lo, hi, shift in suffixes.scanned(texts):
+        assert len(data) <= 1 << 20
+        for r, a, s in zip(row.tolist(), at.tolist(), shift.tolist()):
+            by.setdefault(r, set()).add(a + s)
+    for i, t in enumerate(texts[:2]):
+        (alone,) = [set((at + shift).tolist()) for _, _, at, _, _, _, shift in suffixes.scanned([t])] if len(t) < 1 << 19 else [set().union(*((at + shift).tolist() for _, _, at, _, _, _, shift in suffixes.scanned([t])))]
+        assert by[i] == alone
+
+
 def test_multikey_order():
     x = np.random.default_rng(0).integers(0, 3, (5000, 7)).astype(np.uint64)
     assert (x[suffixes.multikey_order(x)] == x[np.lexsort(x.T[::-1])]).all()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import bounded_batches, saved, table
 from .hashing import mix
 
 LENGTH, GRAM = 200, 32
@@ -28,6 +28,8 @@ LENGTH, GRAM = 200, 32
 TOGETHER = 8
 #: Bytes scanned at once; suffixes of a bucket; suffixes sampled for splitters.
 BLOCK, PER_BUCKET, SAMPLED = 1 << 19, 10_000, 20_000
+#: Places in a block, which anchors() numbers in 20 bits; texts with an anchor's leading bytes from which on its strings travel one by one.
+PLACES, HOT = 1 << 20, 10_000
 NONE = -(1 << 63)
 
 
@@ -90,8 +92,12 @@ def scanned(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
 
     for i, t in enumerate(texts):
         for o in range(0, max(1, len(t) - length + 1), BLOCK):
-            rows.append((i, o, t[o : o + BLOCK + length - 1]))
-            held += len(rows[-1][2])
+            part = t[o : o + BLOCK + length - 1]
+            if held + len(part) > PLACES:
+                yield block()
+                rows, held = [], 0
+            rows.append((i, o, part))
+            held += len(part)
             if held >= BLOCK:
                 yield block()
                 rows, held = [], 0
@@ -169,12 +175,24 @@ def equal_strings(left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.
     return found
 
 
-ROW = "bucket int, bytes binary, left int, lo int, hi int, did array<long>, th array<long>, at array<long>"
+ROW = "bucket int, bytes binary, left int, lo int, hi int, times long, did array<long>, th array<long>, at array<long>"
+SPAN = "did long, th long, lo long, hi long"
+
 
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], [c.split()[0] for c in SPAN.split(", ")])
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """did, th, lo, hi: spans of bytes of `docs` (did long, th long, text) covered by strings that start elsewhere too."""
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """did, th, lo, hi: spans of bytes of `docs` (did long, th long, text) covered by strings that start elsewhere too.
+
+    What surrounds an anchor, and so all strings judged there, is sent to a bucket with its places. Equal surroundings that
+    meet, in a task that reads texts or in a bucket, are settled at once: their strings start in two places at least. So no
+    task holds more places than distinct surroundings, one each. An anchor whose leading bytes are in more than `hot` texts
+    sends its strings one by one: those that very many texts share meet as one, whatever is around them.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(docs.sparkSession)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,40 +215,58 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     )
 
     each = docs.where(F.octet_length("text") >= length).mapInArrow(grams, "did long, th long, h long, many boolean, lead binary")
-    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).where("n > 1 OR many").select("h")
+    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).where("n > 1 OR many").select("h", (F.col("n") > hot).alias("hot"))
     shared = each.join(seen, "h")
-    wanted = saved(shared.groupBy("did", "th").agg(F.collect_set("h").alias("hs"), F.max("lead").alias("lead")))
+    wanted = saved(shared.groupBy("did", "th").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"), F.max("lead").alias("lead"), F.count(F.lit(1)).alias("n")))
+    wanted = wanted.withColumn("alike", (F.col("n") / F.size("hs")).cast("long"))  # rows with this doc_id and text
     total, leads = wanted.agg(F.sum(F.size("hs").cast("long")), F.count("lead")).first()
-    buckets = max(parts, -(-(total or 0) // PER_BUCKET))
+    # ranges between splitters, whose number the driver bounds, and each range in parts by its suffixes' leading bytes
+    ranges = max(parts, -(-(total or 0) // PER_BUCKET))
+    ranges, split = min(ranges, SAMPLED // 4), -(-ranges // (SAMPLED // 4))
+    buckets = ranges * split
     sample = wanted.where(F.col("lead").isNotNull() & (F.pmod(F.xxhash64("lead", "did"), F.lit(1 << 20)) < (1 << 20) * SAMPLED // max(1, leads)))
     sample = sorted(bytes(r.lead) for r in sample.select("lead").collect())
-    splitters = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
+    splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     edges = {s[:GRAM] for s in splitters}
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th = (batch.column(c).to_numpy() for c in ("did", "th"))
-            hs = batch.column("hs")
+            hs, hot_, alike = batch.column("hs"), batch.column("hot"), batch.column("alike").to_numpy() > 1
+            again = np.append(False, (did[1:] == did[:-1]) & (th[1:] == th[:-1]))
+
+            def noted(put: list, r: int, at: int) -> None:
+                put[3] += 2 if alike[r] else 1
+                if not alike[r]:
+                    put[0].append(did[r]), put[1].append(th[r]), put[2].append(at)
+
             for first, texts in _blocks(batch):
-                rows: dict[tuple, tuple[list, list, list]] = {}
+                rows: dict[tuple, list] = {}
+                for i, t in enumerate(texts):
+                    if alike[first + i]:  # all of it occurs twice; it is read once, for the others' sake
+                        if not again[first + i]:
+                            rows[0, None, first + i] = [[did[first + i]], [th[first + i]], [0], 0, len(t)]
+                        else:
+                            texts[i] = b""
                 for row, data, at, h, lo, hi, shift in scanned(texts, length):
                     row, h = first + row, h.view(np.int64)
                     for r in np.unique(row):
                         own = np.flatnonzero(row == r) if len(texts) == 1 else np.arange(*np.searchsorted(row, [r, r + 1]))
                         own = own[np.isin(h[own], hs[int(r)].values.to_numpy())]
-                        for i in own.tolist():
+                        crowded = np.isin(h[own], hot_[int(r)].values.to_numpy()).tolist()
+                        for i, many in zip(own.tolist(), crowded):
                             p, a, z, o = int(at[i]), int(lo[i]), int(hi[i]), int(shift[i])
-                            if data[p : p + GRAM] in edges:
-                                for j in range((p - z) // TOGETHER, (p - a) // TOGETHER + 1):
-                                    near, away = max(p - z, j * TOGETHER), min(p - a, (j + 1) * TOGETHER - 1)
-                                    core = data[p - j * TOGETHER : p + length - (j + 1) * TOGETHER + 1]
+                            if many or data[p : p + GRAM] in edges:
+                                size = 1 if many else TOGETHER
+                                for j in range((p - z) // size, (p - a) // size + 1):
+                                    near, away = max(p - z, j * size), min(p - a, (j + 1) * size - 1)
+                                    core = data[p - j * size : p + length - (j + 1) * size + 1]
                                     name = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little") % buckets
-                                    put = rows.setdefault((name, data[p - away : p - near + length], away, near, away), ([], [], []))
-                                    put[0].append(did[r]), put[1].append(th[r]), put[2].append(p + o)
+                                    put = rows.setdefault((name, data[p - away : p - near + length], away, near, away), [[], [], [], 0])
+                                    noted(put, r, p + o)
                             else:
-                                at_bucket = bisect.bisect_right(splitters, data[p : z + length])
-                                put = rows.setdefault((at_bucket, data[a : z + length], p - a, p - z, p - a), ([], [], []))
-                                put[0].append(did[r]), put[1].append(th[r]), put[2].append(p + o)
+                                at_bucket = bisect.bisect_right(splitters, data[p : z + length]) * split + int(h[i]) % split
+                                noted(rows.setdefault((at_bucket, data[a : z + length], p - a, p - z, p - a), [[], [], [], 0]), r, p + o)
                     if len(rows) > 20_000:
                         yield _suffix_batch(rows)
                         rows = {}
@@ -238,36 +274,55 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield _suffix_batch(rows)
 
     def _suffix_batch(rows: dict) -> pa.RecordBatch:
-        k, v = list(zip(*rows)), list(zip(*rows.values()))
-        kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*k, *v], kinds)], [c.split()[0] for c in ROW.split(", ")])
+        """Surroundings and their places. What has several is settled here: its places go to any bucket, without the bytes."""
+        out = []
+        for k, (did, th, at, times, *whole) in rows.items():
+            if whole:
+                out.append((int(did[0]) % buckets, None, 0, length - whole[0], 0, 0, did, th, at))
+                continue
+            out.append((*k, times, *((did, th, at) if times == 1 else ([], [], []))))
+            if times > 1 and did:
+                out.append((int(did[0]) % buckets, None, *k[2:], 0, did, th, at))
+        kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], [c.split()[0] for c in ROW.split(", ")])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-        if t is None or not len(t):
+        place: dict[tuple, tuple | None] = {}  # of surroundings met once so far
+        settled: list[tuple] = []
+        for batch in batches:
+            for data, left, lo, hi, times, *at in zip(*(batch.column(c).to_pylist() for c in ("bytes", "left", "lo", "hi", "times", "did", "th", "at"))):
+                own = list(zip(*at))
+                if data is not None:
+                    before = place.get(key := (data, left, lo, hi))
+                    alone = key not in place and times == 1
+                    place[key] = own[0] if alone else None
+                    own = [] if alone else own + [before] * (before is not None)
+                settled += [(d, t, p - hi, p - lo + length) for d, t, p in own]
+                if len(settled) > 20_000:
+                    yield _spans(settled)
+                    settled = []
+        if settled:
+            yield _spans(settled)
+        if not place:
             return
-        t = t.combine_chunks()
-        data, own = t.column("bytes").to_pylist(), t.column("at").combine_chunks()
-        times = own.value_lengths().to_numpy()
-        at, lo, hi = (t.column(c).to_numpy() for c in ("left", "lo", "hi"))
-        found = equal_strings([d[:a] for d, a in zip(data, at)], [d[a:] for d, a in zip(data, at)], lo, hi, times, length)
+        keys = list(place)
+        data, at, lo, hi = zip(*keys)
+        times = np.array([1 if place[k] else 2 for k in keys])
+        found = equal_strings([d[:a] for d, a in zip(data, at)], [d[a:] for d, a in zip(data, at)], np.array(lo), np.array(hi), times, length)
+        found[times > 1] = False
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         rows, begin = np.nonzero(edge == 1)  # runs of distances, begin to end - 1
         end = np.nonzero(edge == -1)[1]
-        if not len(rows):
-            return
-        before, size, n = end - 1, end - 1 - begin + length, times[rows]
-        item = np.repeat(own.offsets.to_numpy()[rows] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        lo_ = own.values.to_numpy()[item] - np.repeat(before, n)
-        keys = [t.column(c).combine_chunks().values.to_numpy()[item] for c in ("did", "th")]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(lo_), pa.array(lo_ + np.repeat(size, n))], ["did", "th", "lo", "hi"])
+        if len(rows):
+            own = [place[keys[r]] for r in rows.tolist()]
+            yield _spans([(d, t, p - e + 1, p - b + length) for (d, t, p), b, e in zip(own, begin.tolist(), end.tolist())])
 
     # the texts are moved by the same keys and columns as in without_repeated_bytes(), so Spark moves them once
-    rows = docs.join(wanted.select("did", "th", "hs"), ["did", "th"]).mapInArrow(suffixes, ROW)
-    return rows.repartition(buckets, "bucket").mapInArrow(compared, "did long, th long, lo long, hi long")
+    rows = docs.join(wanted.select("did", "th", "hs", "hot", "alike"), ["did", "th"]).mapInArrow(suffixes, ROW)
+    return rows.repartition(buckets, "bucket").mapInArrow(compared, SPAN)
 
 
-def without_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, kept (the remaining bytes), spans (array of lo, hi: maximal removed runs), n_bytes.
 
     Each byte of the UTF-8 text goes that a string of `length` bytes covers which also starts anywhere else, in
@@ -276,8 +331,8 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     empty result; other columns aren't read.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("did"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(keyed, length)
-    spans = spans.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(keyed, length, hot)
+    spans = spans.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # rows alike have the same ones
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
