@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small, table, unit_hash
+from .common import bounded_batches, saved, small, table, unit_hash
 from .hashing import mix, word_hashes
 
 BUCKETS = 1 << 14
@@ -93,16 +93,17 @@ def kth_largest(scores: DataFrame, k: int) -> tuple[float, int]:
         low, high = r.a, r.b
 
 
-def resampled(docs: DataFrame, target: DataFrame, share: float = 0.9, buckets: int = BUCKETS, seed: int = 11) -> DataFrame:
-    """doc_id, n_grams, log_weight, score, selected: a row per row of `docs` (doc_id, text).
+def resampled(docs: DataFrame, target: DataFrame, share: float = 0.9, buckets: int = BUCKETS, seed: int = 11, power: float = 0.0) -> DataFrame:
+    """doc_id, n_grams, log_ratio, log_weight, score, selected: a row per row of `docs` (doc_id, text).
 
-    `target` (doc_id): the documents to resemble. log_weight is the mean log-ratio of the two models over a
-    text's n-grams times their number's square root, so that long texts don't rule by length alone; score
-    adds Gumbel noise from a hash of doc_id and text. The `share` of the rows with the largest scores is
+    `target` (doc_id): the documents to resemble. log_ratio is the sum of the log-ratios of the two models over a text's
+    n-grams; log_weight is that sum over the `power` of their number: with 0 it is the importance weight itself, with 0.5 long
+    texts don't rule by length alone. score adds Gumbel noise from a hash of doc_id and text. The `share` of the rows with the largest scores is
     selected; of rows tied at the edge, all. Texts that are null or have no words are never selected:
     their log_weight is null and they don't count. Repeated rows get equal results. With no target, or an
     empty table, weights are those of equal models, 0.
     """
+    bounded_batches(docs.sparkSession)
     wanted = target.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_t")).distinct()
     wanted = small(wanted, wanted.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -117,11 +118,11 @@ def resampled(docs: DataFrame, target: DataFrame, share: float = 0.9, buckets: i
                 b, t = ngram_buckets(*word_hashes(some), buckets)
                 n[first : first + len(some)] = np.bincount(t, minlength=len(some))
                 total[first : first + len(some)] = np.bincount(t, weights=ratio[b], minlength=len(some))
-            weight = pa.array(total / np.sqrt(np.maximum(n, 1)), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("u"), pa.array(n), weight], ["doc_id", "u", "n_grams", "log_weight"])
+            ratios, weights = (pa.array(x, mask=n == 0) for x in (total, total / np.maximum(n, 1) ** power))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("u"), pa.array(n), ratios, weights], ["doc_id", "u", "n_grams", "log_ratio", "log_weight"])
 
-    rows = texts.select("doc_id", unit_hash("doc_id", "text", seed=seed).alias("u"), "text").mapInArrow(weighed, "doc_id long, u double, n_grams long, log_weight double")
-    rows = saved(rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + gumbel(F.col("u"))).alias("score")))
+    rows = texts.select("doc_id", unit_hash("doc_id", "text", seed=seed).alias("u"), "text").mapInArrow(weighed, "doc_id long, u double, n_grams long, log_ratio double, log_weight double")
+    rows = saved(rows.select("doc_id", "n_grams", "log_ratio", "log_weight", (F.col("log_weight") + gumbel(F.col("u"))).alias("score")))
     usable = rows.where("score IS NOT NULL").select("score")
     least, _ = kth_largest(usable, math.ceil(usable.count() * share))
     return rows.withColumn("selected", F.coalesce(F.col("score") >= least, F.lit(False)))
