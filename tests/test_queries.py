@@ -8,8 +8,6 @@ import pytest
 
 from tidegrid.plans import catalog
 
-SLOW = {"noisy_routes", "consensus_route", "cleaned_labels", "fill_parameters", "destriped"}
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -43,6 +41,6 @@ def test_against_sql(spark, duck, sf, name):
             assert a[c].astype(str).tolist() == b[c].astype(str).tolist(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_without_sql(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0

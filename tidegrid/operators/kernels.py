@@ -34,7 +34,7 @@ def on_tiles(tiles: DataFrame, f: Callable[..., np.ndarray], keys: tuple[str, ..
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), data)], [*names, "data"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", data array<double>"
-    return tiles.select(*names, "data", *extra).mapInArrow(mapped, schema)
+    return tiles.select(*names, "data", *(c for c in extra if c not in names)).mapInArrow(mapped, schema)
 
 
 def smooth(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
@@ -46,19 +46,52 @@ def smooth(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
 
 
 def nearest(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance to the nearest valid pixel, and its flat index; exact, first along rows, then over the rows."""
+    """Distance to the nearest valid pixel, and its flat index; exact, first along rows, then over the rows, one column at a time."""
     h, w = valid.shape
     cols = np.arange(w)
     before = np.maximum.accumulate(np.where(valid, cols, -(10**6)), axis=1)
     after = np.minimum.accumulate(np.where(valid, cols, 10**6)[:, ::-1], axis=1)[:, ::-1]
     col = np.where(cols - before <= after - cols, before, after)
     gap = (col - cols).astype(float) ** 2
-    d2 = (np.arange(h)[:, None, None] - np.arange(h)[None, :, None]) ** 2 + gap[None]
-    row = d2.argmin(axis=1)
-    at = np.take_along_axis(d2, row[:, None], 1)[:, 0]
+    apart = (np.arange(h)[:, None] - np.arange(h)[None, :]).astype(float) ** 2
+    row, at = np.empty((h, w), np.int64), np.empty((h, w))
+    for c in range(w):
+        d2 = apart + gap[None, :, c]
+        row[:, c] = d2.argmin(axis=1)
+        at[:, c] = d2.min(axis=1)
     return np.sqrt(at), row * w + np.clip(col[row, cols[None, :]], 0, w - 1)
 
 
+def filled_gaps(a: np.ndarray, most: int) -> np.ndarray:
+    """Missing pixels in 4-connected gaps of at most `most` pixels get the nearest value; blocked pixels are values too. Larger gaps stay."""
+    ok = np.isfinite(a)
+    if not ok.any() or ok.all():
+        return a
+    _, at = nearest(ok)
+    label = components4(~ok)
+    size = np.bincount(label[~ok], minlength=a.size)
+    return np.where(~ok & (size[label] <= most), a.ravel()[at], a)
+
+
+def components4(mask: np.ndarray) -> np.ndarray:
+    """The flat index of the first pixel of each pixel's 4-connected region of true pixels (its own elsewhere)."""
+    n = mask.size
+    label = np.arange(n)
+    index = label.reshape(mask.shape)
+    pairs = [(index[:, :-1][m], index[:, 1:][m]) for m in [mask[:, :-1] & mask[:, 1:]]]
+    pairs += [(index[:-1][m], index[1:][m]) for m in [mask[:-1] & mask[1:]]]
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label.reshape(mask.shape)
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def surface(a: np.ndarray, degree: int) -> np.ndarray:
     """Least-squares polynomial in centred and scaled row and column."""
     y, x = (np.linspace(-1, 1, n) if n > 1 else np.zeros(1) for n in a.shape)

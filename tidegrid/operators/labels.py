@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 from . import focal
+from .kernels import components4
 
 TILE = ("cell", "cdi")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own only where none is set."""
+    """Cut the lineage in the folder of spark.checkpoint.dir; one of our own only where none is set, and only with a local master."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidegrid-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidegrid-"))
     return df.checkpoint()
 
 
@@ -76,38 +83,33 @@ def _among_largest(df: DataFrame, v: str, order: list[str], k: int):
 
 
 def closed(mask: DataFrame, times: int, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """Dense masks (v 0 or 1) dilated and then eroded `times` with a 3 x 3 square; beyond the edge is 0 for the
-    first and 1 for the second. Repeats of a square are one larger square."""
+    """Dense masks (v 0 or 1) dilated and then eroded `times` with a 3 x 3 square; beyond the edge is 1 for both, so gaps
+    between a region and the edge close. Repeats of a square are one larger square."""
     size = 2 * times + 1
-    return focal.extreme(focal.extreme(mask, size, "max", keys), size, "min", keys)
+    inner = F.col("row").between(times, rows - 1 - times) & F.col("col").between(times, cols - 1 - times)
+    wide = focal.extreme(mask, size, "max", keys).withColumn("v", F.when(inner, F.col("v")).otherwise(1))
+    return focal.extreme(wide, size, "min", keys)
 
 
 def regions(cells: DataFrame, keys: tuple[str, ...] = TILE) -> DataFrame:
     """`cells` (keys, row, col) with region: the first pixel, row * 65536 + col, of its 4-connected region.
 
-    Runs of a row are found by a window; runs that touch are merged by rounds of smallest neighbours, each
-    jumping to its neighbour's region, until nothing changes.
+    A tile's cells are one group: regions end with their tile, and a tile has a bounded number of pixels.
     """
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*keys, "row").orderBy("col")
-    run = F.sum(F.when(F.col("col") - F.lag("col").over(w) == 1, 0).otherwise(1)).over(w)
-    p = cells.select(*keys, "row", "col").withColumn("_run", run)
-    p = p.withColumn("_id", (F.col("row").cast("long") * 65536 + F.min("col").over(Window.partitionBy(*keys, "row", "_run"))))
-    p = saved(p.select(*keys, "row", "col", "_id"))
-    down = p.select(*keys, (F.col("row") + 1).alias("row"), "col", F.col("_id").alias("_up"))
-    links = p.join(down, [*keys, "row", "col"]).select(*keys, F.col("_id").alias("a"), F.col("_up").alias("b")).distinct()
-    links = saved(links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = saved(p.select(*keys, F.col("_id").alias("a")).distinct().withColumn("root", F.col("a")))
-    while True:
-        near = links.join(label.select(*keys, F.col("a").alias("b"), F.col("root").alias("_r")), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("_r").alias("_r"))
-        new = label.join(near, [*keys, "a"], "left").withColumn("_n", F.least("root", "_r"))
-        jump = label.select(*keys, F.col("a").alias("_n"), F.col("root").alias("_j"))
-        new = saved(new.join(jump, [*keys, "_n"]).select(*keys, "a", F.col("_j").alias("root"), (F.col("_j") < F.col("root")).alias("_new")))
-        label = new.drop("_new")
-        if not new.where("_new").limit(1).count():
-            break
-    return p.join(label.select(*keys, F.col("a").alias("_id"), F.col("root").alias("region")), [*keys, "_id"]).drop("_id")
+    names = [*keys, "row", "col"]
+
+    def labelled(t: pa.Table) -> pa.Table:
+        row, col = (t.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        mask = np.zeros((row.max() - row.min() + 1, col.max() - col.min() + 1), bool)
+        y, x = row - row.min(), col - col.min()
+        mask[y, x] = True
+        first = components4(mask)[y, x]
+        region = (first // mask.shape[1] + row.min()) * 65536 + first % mask.shape[1] + col.min()
+        return t.select(names).append_column("region", pa.array(region))
+
+    kinds = dict(cells.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", region long"
+    return cells.select(*names).groupBy(*keys).applyInArrow(labelled, schema)
 
 
 def without_small(cells: DataFrame, least: int, keys: tuple[str, ...] = TILE) -> DataFrame:
@@ -129,10 +131,10 @@ def filled_holes(mask: DataFrame, rows: int, cols: int, keys: tuple[str, ...] =
 def cleaned(labels: DataFrame, rows: int, cols: int, sigma: float = 20.0, threshold: float = 0.35, closings: int = 2, least: int = 200, keys: tuple[str, ...] = TILE) -> DataFrame:
     """Dense labels (v 0, 1 or NULL) smoothed, cut, closed, holes filled, without small regions: 1, 0, and -1 for no data."""
     s = focal.gaussian(labels, sigma, rows, cols, True, keys).withColumnRenamed("v", "s")
-    m = labels.join(s, [*keys, "row", "col"]).withColumn("ok", F.col("v").isNotNull())
+    m = saved(labels.join(s, [*keys, "row", "col"]).withColumn("ok", F.col("v").isNotNull()))
     cut = m.select(*keys, "row", "col", F.coalesce((F.col("ok") & (F.col("s") > threshold)).cast("int"), F.lit(0)).alias("v"))
     shut = saved(closed(cut, closings, rows, cols, keys))
-    shut = saved(filled_holes(shut, rows, cols, keys))
+    shut = filled_holes(shut, rows, cols, keys)
     kept = without_small(shut.where("v = 1"), least, keys).select(*keys, "row", "col", F.lit(1).alias("k"))
     out = m.select(*keys, "row", "col", "ok").join(kept, [*keys, "row", "col"], "left")
     return out.select(*keys, "row", "col", F.when(~F.col("ok"), -1).otherwise(F.coalesce("k", F.lit(0))).alias("v"))

@@ -22,46 +22,58 @@ def turn_allowed(heading: int, wait: int, before: int, new: int, turn: int = 1)
     return min(d, 8 - d) <= turn and (new == heading or wait == 0 or new == before)
 
 
-def cheapest(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], turn: int = 1, momentum: int = 1, goal_heading: int | None = None, weight: float = 1.0) -> list[tuple[int, int, int, float]]:
-    """A* over (row, col, heading, wait, heading before); cells that aren't positive and finite block.
+def cheapest(
+    cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], turn: int = 1, momentum: int = 1, goal_heading: int | None = None, weight: float = 1.0, start_heading: int | None = None
+) -> list[tuple[int, int, int, float]]:
+    """The cheapest way from start to goal, as (row, col, heading, cost so far); [] if there is none.
 
-    A step costs its length times the cost of where it goes. After a turn, `momentum` - 1 straight steps must
-    pass, unless the route turns to the heading it had before; once they have, that heading no longer matters and
-    is left out of the state. The heading at the start is free. [] if there is no way.
+    Cells that aren't positive and finite block. A step costs its length times the cost of where it goes. After a turn,
+    `momentum` - 1 straight steps must pass, unless the route turns to the heading it had before. The heading at the start is free
+    unless given. A weight over 1 searches towards the goal more greedily.
+
+    A state is a place, a mode (heading, steps to wait, heading before) and its least cost, held in one array for each mode; the
+    moves between modes are listed once, so that a state is settled by looking at its mode's few moves.
     """
     rows, cols = cost.shape
-    ok = np.isfinite(cost) & (cost > 0)
-    if not (ok[start] and ok[goal]):
+    grid = np.where(np.isfinite(cost) & (cost > 0), cost, np.inf)
+    if not np.isfinite(grid[start] + grid[goal]):
         return []
-    least = float(cost[ok].min()) * weight
-    far = lambda r, c: least * hypot(r - goal[0], c - goal[1])
-    heap = [(far(*start), 0.0, (*start, h, 0, h)) for h in range(8)]
-    best = {s: 0.0 for _, _, s in heap}
-    came: dict[tuple, tuple | None] = {s: None for _, _, s in heap}
-    while heap:
-        _, g, state = heapq.heappop(heap)
-        if g > best[state]:
+    headings = [start_heading] if start_heading is not None else range(len(STEPS))
+    modes: dict[tuple, int] = {(h, 0, h): i for i, h in enumerate(headings)}
+    moves: list[list[tuple[int, int]]] = []  # of each mode: (heading, next mode)
+    for h, wait, before in (queue := list(modes)):
+        own = []
+        for new in (n for n in range(len(STEPS)) if turn_allowed(h, wait, before, n, turn)):
+            left = momentum - 1 if new != h else max(0, wait - 1)
+            to = (new, left, (h if new != h else before) if left else new)
+            if to not in modes:
+                modes[to] = len(modes)
+                queue.append(to)
+            own.append((new, modes[to]))
+        moves.append(own)
+    y, x = np.mgrid[:rows, :cols]
+    ahead = np.hypot(y - goal[0], x - goal[1]) * grid.min() * weight
+    reached = np.full((len(modes), rows, cols), np.inf)
+    reached[: len(headings), start[0], start[1]] = 0.0
+    back = np.full((len(modes), rows, cols), -1, np.int32)
+    names, open_ = list(modes), [(ahead[start], i, *start) for i in range(len(headings))]
+    while open_:
+        estimate, mode, r, c = heapq.heappop(open_)
+        so_far = reached[mode, r, c]
+        if estimate > so_far + ahead[r, c]:
             continue
-        r, c, h, wait, before = state
-        if (r, c) == goal and goal_heading in (None, h):
-            path: list = []
-            at: tuple | None = state
-            while at:
-                path.append((*at[:3], best[at]))
-                at = came[at]
-            return path[::-1]
-        for new in range(8):
-            if not turn_allowed(h, wait, before, new, turn):
-                continue
-            rr, cc = r + STEPS[new][0], c + STEPS[new][1]
-            if not (0 <= rr < rows and 0 <= cc < cols and ok[rr, cc]):
-                continue
-            left = max(0, wait - 1) if new == h else momentum - 1
-            to = (rr, cc, new, left, (before if new == h else h) if left else new)
-            total = g + hypot(*STEPS[new]) * float(cost[rr, cc])
-            if total < best.get(to, np.inf):
-                best[to], came[to] = total, state
-                heapq.heappush(heap, (total + far(rr, cc), total, to))
+        if (r, c) == goal and goal_heading in (None, names[mode][0]):
+            way = []
+            while mode >= 0:
+                heading = names[mode][0]
+                way.append((r, c, heading, float(reached[mode, r, c])))
+                mode, (r, c) = int(back[mode, r, c]), (r - STEPS[heading][0], c - STEPS[heading][1])
+            return way[::-1]
+        for heading, to in moves[mode]:
+            v, u = r + STEPS[heading][0], c + STEPS[heading][1]
+            if 0 <= v < rows and 0 <= u < cols and (total := so_far + hypot(*STEPS[heading]) * grid[v, u]) < reached[to, v, u]:
+                reached[to, v, u], back[to, v, u] = total, mode
+                heapq.heappush(open_, (total + ahead[v, u], to, v, u))
     return []
 
 
@@ -88,7 +100,8 @@ def frequency(paths: DataFrame) -> DataFrame:
 def consensus_cost(layer: DataFrame, paths: DataFrame, runs: int) -> DataFrame:
     """(runs + 1) / (frequency + 1) where the layer has data; without data the largest value."""
     f = frequency(paths)
-    return layer.join(f, ["row", "col"], "left").select("row", "col", (F.lit(runs + 1.0) / (F.coalesce("n", F.lit(0)) + 1)).alias("v"))
+    v = F.when(F.col("v").isNotNull(), F.lit(runs + 1.0) / (F.coalesce("n", F.lit(0)) + 1)).otherwise(F.lit(runs + 1.0))
+    return layer.join(f, ["row", "col"], "left").select("row", "col", v.alias("v"))
 
 
 def legality(paths: DataFrame, turn: int = 1, momentum: int = 1) -> DataFrame:

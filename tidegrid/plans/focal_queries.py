@@ -182,7 +182,7 @@ ORACLES = {
       SELECT cell, cdi, count(*) AS regions, max(n) AS largest, CAST(sum(n * n) AS BIGINT) AS squares FROM r GROUP BY ALL""",
     "closed_labels": f"""WITH m AS (SELECT cell, cdi, row, col, CASE WHEN v > 70 THEN 1 ELSE 0 END AS v FROM {_DENSE}),
       a AS (SELECT cell, cdi, row, col, max(v) OVER (PARTITION BY cell, cdi, col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM m),
-      b AS (SELECT cell, cdi, row, col, max(v) OVER (PARTITION BY cell, cdi, row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM a),
+      b AS (SELECT cell, cdi, row, col, CASE WHEN row NOT BETWEEN 2 AND 47 OR col NOT BETWEEN 2 AND 47 THEN 1 ELSE max(v) OVER (PARTITION BY cell, cdi, row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS v FROM a),
       c AS (SELECT cell, cdi, row, col, min(v) OVER (PARTITION BY cell, cdi, col ORDER BY row RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM b),
       d AS (SELECT cell, cdi, row, col, min(v) OVER (PARTITION BY cell, cdi, row ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM c)
       SELECT cell, cdi, before, after FROM (SELECT cell, cdi, CAST(sum(v) AS BIGINT) AS before FROM m GROUP BY ALL) JOIN (SELECT cell, cdi, CAST(sum(v) AS BIGINT) AS after FROM d GROUP BY ALL) USING (cell, cdi)""",

@@ -172,7 +172,8 @@ def route_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _noisy_maps(spark: SparkSession, sf_dir: str, runs: int) -> DataFrame:
-    base = costmap.filled_high(_layer(spark, sf_dir).withColumn("v", F.greatest(F.col("v"), F.lit(1.0))))
+    layer = raster.dense(_layer(spark, sf_dir).withColumn("cell", F.lit(0)), ROWS, COLS, ("cell",)).drop("cell")
+    base = costmap.filled_high(layer.withColumn("v", F.when(F.col("v") < 1, 1.0).otherwise(F.col("v"))))
     each = base.withColumn("run_id", F.explode(F.expr(f"sequence(0L, {runs - 1}L)")))
     return costmap.noisy(each, 0.5, 5).withColumn("v", F.greatest("v", F.lit(0.5)))
 
@@ -189,7 +190,7 @@ def consensus_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = _noisy_maps(spark, sf_dir, 12)
     found = routes.routes(maps, ROWS, COLS, (2, 2), (46, 45), turn=1, momentum=2)
     shared = routes.consensus_cost(maps.where("run_id = 0"), found, 12).withColumn("run_id", F.lit(0).cast("long"))
-    return routes.routes(shared, ROWS, COLS, (2, 2), (46, 45), turn=1, momentum=2).select("step", "row", "col", "heading", F.round("g", 6).alias("g"))
+    return routes.routes(shared, ROWS, COLS, (2, 2), (46, 45), turn=1, momentum=2, start_heading=4, goal_heading=2).select("step", "row", "col", "heading", F.round("g", 6).alias("g"))
 
 
 QUERIES = {

@@ -9,7 +9,7 @@ from tidegrid.operators import raster
 ORDER = ("k1", "k2", "k3", "k4")
 SIZE, ROWS, COLS = 20.0, 50, 50
 
-SOUNDINGS = """SELECT CAST(l_orderkey % 12 AS INT) AS cell, CAST(l_suppkey % 4 AS BIGINT) AS cdi, CAST(2000 + 3 * (l_suppkey % 4) AS INT) AS year,
+SOUNDINGS = """SELECT CAST(floor(l_orderkey / 1250) AS INT) AS cell, CAST(l_suppkey % 4 AS BIGINT) AS cdi, CAST(2000 + 3 * (l_suppkey % 4) AS INT) AS year,
   CAST((l_partkey * 11 + l_linenumber * 5 + l_suppkey * 3) % 5000 AS DOUBLE) / 5 AS e,
   CAST((l_orderkey * 7 + l_linenumber * 13) % 5000 AS DOUBLE) / 5 AS n,
   l_extendedprice / 1000 AS depth, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4 FROM {lineitem}"""
@@ -36,7 +36,7 @@ def soundings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, cdi, year, row, col, v: twelve cells of 50 x 50 pixels and four surveys."""
+    """cell, cdi, year, row, col, v: cells of 50 x 50 pixels, as many as there are ranges of 1250 orders, and four surveys."""
     return raster.rasterise(soundings(spark, sf_dir), ORDER, SIZE, ROWS, COLS, keys=("cell", "cdi", "year"))
 
 
