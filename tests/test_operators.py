@@ -254,3 +254,28 @@ def test_cleaned_fills_holes_before_sizes(spark):
     assert {r["cell"]: r["count"] for r in full} == {0: 169, 1: 11}
     got = labels.cleaned(df.where("cell = 0"), 21, 21, 0.3, 0.5, 1, 160, ("cell",)).where("v = 1").count()
     assert got == 169  # 120 pixels without the hole
+
+
+def test_regions_and_limited_gaps_by_flood_fill():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (1, 9), (13, 11), (30, 30)):
+        mask = rng.random(shape) < 0.55
+        want = np.arange(mask.size).reshape(shape)
+        seen = np.zeros(shape, bool)
+        for r, c in zip(*np.nonzero(mask)):
+            todo, first = [(r, c)], want[r, c]
+            while todo:
+                y, x = todo.pop()
+                if 0 <= y < shape[0] and 0 <= x < shape[1] and mask[y, x] and not seen[y, x]:
+                    seen[y, x], want[y, x] = True, first
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        assert (kernels.components4(mask) == want).all()
+        a = np.where(mask, np.nan, rng.random(shape))
+        size = np.bincount(want[mask], minlength=mask.size)
+        got = kernels.filled_gaps(a, 3)
+        if not mask.all():
+            assert (np.isnan(got) == (mask & (size[want] > 3))).all()
+            assert (got[~mask] == a[~mask]).all()
+            for y, x in zip(*np.nonzero(mask & (size[want] <= 3))):
+                d = (np.arange(shape[0])[:, None] - y) ** 2 + (np.arange(shape[1])[None] - x) ** 2
+                assert got[y, x] in a[~mask & (d == d[~mask].min())]
