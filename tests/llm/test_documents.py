@@ -392,3 +392,10 @@ def test_signatures_are_unbiased():
     s = neardup.signatures([(item, a), (item[:200], b[:200])], 1 << 14)
     b[200:] = 0
     assert (s[0] == s[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.02)
+
+
+def test_word_hashes_stand_alone():
+    alone = np.concatenate([hashing.word_hashes([t])[0] for t in (b"the cat", b"y" * 5000, b"y" * 9000 + b" the", b"")])
+    together, ends = hashing.word_hashes([b"the cat", b"y" * 5000, b"y" * 9000 + b" the", b""])
+    assert (alone == together).all() and ends.tolist() == [0, 2, 3, 5, 5]
+    assert together[0] == together[4] and len(set(together.tolist())) == 4

@@ -21,7 +21,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GAMMA)
 with np.errstate(over="ignore"):
     _POWER = np.multiply.accumulate(np.full(4096, _P))
-    _FAR = np.multiply.accumulate(np.full(4096, mix(np.array([7], np.uint64))[0] | np.uint64(1)))
+    # 1 for the first 4096 bytes of a word: long words beside it don't change a word's hash
+    _FAR = np.append(np.uint64(1), np.multiply.accumulate(np.full(4095, mix(np.array([7], np.uint64))[0] | np.uint64(1))))
 
 
 def _block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
