@@ -6,6 +6,9 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,15 @@ def two_means(df: DataFrame, columns: list[str], order: list[str], least: float
     return scored.withColumn("label", F.col("label") if small else 1 - F.col("label")).drop("_gap")
 
 
+def plain_clusters(df: DataFrame, columns: list[str], seed: int = 1) -> DataFrame:
+    """`df` with cluster (0 or 1) by plain k-means, 0 having the smaller centre in the first column; rows with a missing feature go."""
+    given = saved(df.dropna(subset=columns))
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), KMeans(k=2, seed=seed, featuresCol="_x", predictionCol="cluster")]).fit(given)
+    first = [c[0] for c in model.stages[-1].clusterCenters()]
+    swap = len(first) == 2 and first[1] < first[0]
+    return model.transform(given).drop("_x").withColumn("cluster", 1 - F.col("cluster") if swap else F.col("cluster"))
+
+
 def _among_largest(df: DataFrame, v: str, order: list[str], k: int):
     """Condition for the k rows with the largest v, ties by `order`, by narrowing the range that holds the k-th."""
     above, low, high = 0, *df.agg(F.min(v), F.max(v)).first()

@@ -92,6 +92,21 @@ def to_pixels(tiles: DataFrame, keys: tuple[str, ...] = TILE) -> DataFrame:
     return at.select(*keys, F.floor(F.col("i") / F.col("w")).cast("int").alias("row"), (F.col("i") % F.col("w")).cast("int").alias("col"), "v")
 
 
+def zoomed(pixels: DataFrame, k: int, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
+    """Rasters k times as large by bilinear interpolation, corner pixels on corner pixels; missing pixels count as 0, and what
+    only they make up is missing. Each pixel is sent to the places that it has weight in."""
+    def places(axis: str, n: int) -> tuple[Column, Column]:
+        scale = (n * k - 1) / max(1, n - 1)
+        at = F.sequence(F.greatest(F.ceil((F.col(axis) - 1) * scale), F.lit(0)).cast("int"), F.least(F.floor((F.col(axis) + 1) * scale), F.lit(n * k - 1)).cast("int"))
+        return at, 1 - F.abs(F.col("_at") * (max(1, n - 1) / (n * k - 1)) - F.col(axis))
+
+    out = pixels.where("v IS NOT NULL")
+    for axis, n in (("row", rows), ("col", cols)):
+        at, weight = places(axis, n)
+        out = out.withColumn("_at", F.explode(at)).withColumn("v", F.col("v") * weight).where("v <> 0").drop(axis).withColumnRenamed("_at", axis)
+    return out.groupBy(*keys, "row", "col").agg(F.sum("v").alias("v"))
+
+
 def flipped(pixels: DataFrame, rows: int) -> DataFrame:
     return pixels.withColumn("row", F.lit(rows - 1) - F.col("row"))
 

@@ -23,13 +23,14 @@ def turn_allowed(heading: int, wait: int, before: int, new: int, turn: int = 1)
 
 
 def cheapest(
-    cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], turn: int = 1, momentum: int = 1, goal_heading: int | None = None, weight: float = 1.0, start_heading: int | None = None
+    cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], turn: int = 1, momentum: int = 1, goal_heading: int | None = None, weight: float = 1.0, start_heading: int | None = None,
+    settled: list | None = None,
 ) -> list[tuple[int, int, int, float]]:
     """The cheapest way from start to goal, as (row, col, heading, cost so far); [] if there is none.
 
     Cells that aren't positive and finite block. A step costs its length times the cost of where it goes. After a turn,
     `momentum` - 1 straight steps must pass, unless the route turns to the heading it had before. The heading at the start is free
-    unless given. A weight over 1 searches towards the goal more greedily.
+    unless given. A weight over 1 searches towards the goal more greedily. `settled` receives (row, col, heading, cost) of each state as it is settled.
 
     A state is a place, a mode (heading, steps to wait, heading before) and its least cost, held in one array for each mode; the
     moves between modes are listed once, so that a state is settled by looking at its mode's few moves.
@@ -62,6 +63,8 @@ def cheapest(
         so_far = reached[mode, r, c]
         if estimate > so_far + ahead[r, c]:
             continue
+        if settled is not None:
+            settled.append((r, c, names[mode][0], float(so_far)))
         if (r, c) == goal and goal_heading in (None, names[mode][0]):
             way = []
             while mode >= 0:
@@ -80,11 +83,25 @@ def cheapest(
 def routes(costs: DataFrame, rows: int, cols: int, start: tuple[int, int], goal: tuple[int, int], **how) -> DataFrame:
     """run_id, step, row, col, heading, g: the cheapest route of each run's map (run_id, row, col, v). A task solves
     one map at a time; maps are spread by run."""
+    return _solved(costs, rows, cols, lambda grid: cheapest(grid, start, goal, **how))
 
+
+def searches(costs: DataFrame, rows: int, cols: int, start: tuple[int, int], goal: tuple[int, int], **how) -> DataFrame:
+    """The states of each run's search in the order in which they are settled, with the columns of routes()."""
+
+    def recorded(grid: np.ndarray) -> list:
+        states: list = []
+        cheapest(grid, start, goal, settled=states, **how)
+        return states
+
+    return _solved(costs, rows, cols, recorded)
+
+
+def _solved(costs: DataFrame, rows: int, cols: int, f) -> DataFrame:
     def solve(t: pa.Table) -> pa.Table:
         grid = np.full((rows, cols), np.nan)
         grid[t.column("row").to_numpy(), t.column("col").to_numpy()] = t.column("v").to_numpy(zero_copy_only=False).astype(float)
-        path = cheapest(grid, start, goal, **how)
+        path = f(grid)
         r, c, h, g = zip(*path) if path else ((), (), (), ())
         return pa.table({"run_id": pa.array([t.column("run_id")[0].as_py()] * len(path), pa.int64()), "step": pa.array(range(len(path)), pa.int32()), "row": pa.array(r, pa.int32()), "col": pa.array(c, pa.int32()), "heading": pa.array(h, pa.int32()), "g": pa.array(g, pa.float64())})
 
@@ -92,6 +109,39 @@ def routes(costs: DataFrame, rows: int, cols: int, start: tuple[int, int], goal:
     return maps.groupBy("run_id").applyInArrow(solve, "run_id long, step int, row int, col int, heading int, g double")
 
 
+def trace(cells: np.ndarray, start: tuple[int, int], goal: tuple[int, int]) -> list[tuple[int, int]]:
+    """A shortest way over `cells` (row, col), each next to the last on a side or corner, between those nearest to start and goal; [] if
+    there is none. Of equally near cells the first by row and column is taken, and of equally short ways the one with such cells, from
+    the goal back."""
+    cells = np.unique(cells.reshape(-1, 2), axis=0)
+    if not len(cells):
+        return []
+    first, last = (tuple(int(x) for x in cells[((cells - p) ** 2).sum(axis=1).argmin()]) for p in (start, goal))
+    left, layers = set(map(tuple, cells.tolist())) - {first}, [{first}]
+    while last not in layers[-1]:
+        layer = {(r + dr, c + dc) for r, c in layers[-1] for dr, dc in STEPS} & left
+        if not layer:
+            return []
+        left -= layer
+        layers.append(layer)
+    way = [last]
+    for layer in layers[-2::-1]:
+        r, c = way[-1]
+        way.append(min(layer & {(r + dr, c + dc) for dr, dc in STEPS}))
+    return way[::-1]
+
+
+def traced(masks: DataFrame, start: tuple[int, int], goal: tuple[int, int]) -> DataFrame:
+    """run_id, step, row, col: trace() of each run's cells (run_id, row, col); no rows where they don't connect."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        way = trace(np.column_stack([t.column(c).to_numpy() for c in ("row", "col")]), start, goal)
+        r, c = zip(*way) if way else ((), ())
+        return pa.table({"run_id": pa.array([t.column("run_id")[0].as_py()] * len(way), pa.int64()), "step": pa.array(range(len(way)), pa.int32()), "row": pa.array(r, pa.int32()), "col": pa.array(c, pa.int32())})
+
+    return masks.select(F.col("run_id").cast("long").alias("run_id"), "row", "col").groupBy("run_id").applyInArrow(solve, "run_id long, step int, row int, col int")
+
+
 def frequency(paths: DataFrame) -> DataFrame:
     """row, col, n: how many runs pass a cell."""
     return paths.select("run_id", "row", "col").distinct().groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
