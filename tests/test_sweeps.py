@@ -162,3 +162,16 @@ def test_scenarios(spark, sf):
     proposed = sum(a[i, i] for i in range(3, 46)) * 2**0.5 + a[46, 45]
     assert got[(1, 0)].proposed == pytest.approx(proposed, abs=1e-5)
     assert got[(1, 0)].reduction == pytest.approx(100 * (1 - got[(1, 0)].cost / proposed), abs=1e-4)
+
+
+def test_tiles_from_few_and_many_pixels(spark):
+    whole, sparse = np.random.default_rng(1).normal(size=(7, 9)), np.full((7, 9), np.nan)
+    first, last = sparse.copy(), sparse.copy()
+    first[0, 0], last[6, 8], sparse[3, 4], sparse[3, 5] = 1.0, 2.0, 3.0, 4.0
+    given = [whole, first, last, sparse, holey(9, (7, 9))]
+    df = pixels(spark, given[0])
+    for i, a in enumerate(given[1:], 1):
+        df = df.union(pixels(spark, a, cell=i))
+    for r in raster.to_tiles(df, 7, 9).collect():
+        got = np.array([np.nan if v is None else v for v in r.data]).reshape(r.h, r.w)
+        assert np.array_equal(got, given[r.cell], equal_nan=True)

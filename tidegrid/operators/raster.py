@@ -80,10 +80,18 @@ def dense(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE)
 
 
 def to_tiles(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """keys, h, w, data: a row a tile, row by row, NULL where there is no value."""
-    at = F.map_from_entries(F.collect_list(F.struct((F.col("row") * cols + F.col("col")).alias("k"), "v")))
-    tiles = pixels.where("v IS NOT NULL").groupBy(*keys).agg(at.alias("_m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.try_element_at("_m", i))
+    """keys, h, w, data: a row a tile, row by row, NULL where there is no value; `pixels` has each place of a tile once.
+
+    Tiles are spread over all shuffle partitions, as what follows takes long for the bytes of a tile. The array is put together from
+    the sorted values and the gaps after each, in one pass.
+    """
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast(dict(pixels.dtypes)["v"])
+    place = (F.col("row") * cols + F.col("col")).cast("int").alias("k")
+    tiles = pixels.where("v IS NOT NULL").repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place, "v"))).alias("_s"))
+    after = lambda i: F.coalesce(F.get("_s", i + 1)["k"], F.lit(rows * cols))
+    parts = F.transform("_s", lambda x, i: F.concat(F.array(x["v"]), F.array_repeat(none, after(i) - x["k"] - 1)))
+    data = F.flatten(F.concat(F.array(F.array_repeat(none, F.get("_s", F.lit(0))["k"])), parts))
     return tiles.select(*keys, F.lit(rows).alias("h"), F.lit(cols).alias("w"), data.alias("data"))
 
 
