@@ -12,6 +12,7 @@ from .privacy import op3_pii
 from .quality import op8_quality_resampling
 from .suffixes import op4_suffix_array_dedup
 from .topk import OP13_SQL, op13_exact_top_k
+from .variants import OP12_SQL, op12_spelling_variants
 from .vectors import op7_nearest_neighbours, op9_embedding_near_dedup
 
 QUERIES = {
@@ -27,7 +28,8 @@ QUERIES = {
         op8_quality_resampling,
         op9_embedding_near_dedup,
         op10_minhash_near_dedup,
+        op12_spelling_variants,
         op13_exact_top_k,
     )
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op13_exact_top_k": OP13_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_top_k": OP13_SQL}
