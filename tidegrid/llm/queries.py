@@ -8,6 +8,7 @@ from .mixing import op2_mixing
 from .neardup import op10_minhash_near_dedup
 from .oracles import OP9_SQL, OP10_SQL
 from .packing import op6_packing
+from .phrases import OP11_SQL, op11_phrase_mining
 from .privacy import op3_pii
 from .quality import op8_quality_resampling
 from .suffixes import op4_suffix_array_dedup
@@ -28,8 +29,12 @@ QUERIES = {
         op8_quality_resampling,
         op9_embedding_near_dedup,
         op10_minhash_near_dedup,
+        op11_phrase_mining,
         op12_spelling_variants,
         op13_exact_top_k,
     )
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_top_k": OP13_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_phrase_mining": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL, "op13_exact_top_k": OP13_SQL,
+}
