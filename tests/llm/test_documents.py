@@ -201,6 +201,39 @@ def test_suffixes(spark, parts, crowd):
     assert sorted((r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in got) == sorted(want)
 
 
+def removed_by_hand(texts, length):
+    """As spans_by_hand(), for long texts: strings told apart by 64-bit hashes."""
+    starts = [np.array([hash(t[s : s + length]) for s in range(len(t) - length + 1)], np.int64) for t in texts]
+    values, n = np.unique(np.concatenate(starts), return_counts=True)
+    out = []
+    for t, h in zip(texts, starts):
+        edge = np.zeros(len(t) + 1, np.int64)
+        at = np.flatnonzero(n[np.searchsorted(values, h)] > 1)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        out.append((len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out)
+
+
+def noise(seed, n):
+    return bytes(np.random.default_rng(seed).integers(97, 123, n).astype(np.uint8)).decode()
+
+
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_suffixes_of_long_texts(spark, hot):
+    """Texts of several blocks: without repeats, with a passage in two blocks and in another text, over a seam, alike, periodic."""
+    block, passage, other = suffixes.BLOCK, noise(1, 1000), noise(2, 700)
+    million = noise(3, 200_000) + passage + noise(4, 500_000) + passage + noise(5, 347_576)
+    assert len(million) > 2 * block
+    seam = noise(6, block - 300) + other + noise(7, 50_000)  # over the seam
+    third = noise(8, 3_000_000)
+    texts = [noise(9, 520_000), noise(10, 525_000), noise(11, block + 199), noise(12, block + 200), million, seam, "x" + other + "y", third, third[1_048_000:1_049_500], noise(13, 530_000), noise(13, 530_000), noise(14, 5000) + "ab" * 300_000, noise(14, 5000)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(9, texts[9], "en", "a")]
+    got = suffixes.without_repeated_bytes(docs(spark, rows), hot=hot).selectExpr("n_bytes", "n_bytes - length(kept) AS r", "size(spans) AS s", "sha2(kept, 256) AS h").collect()
+    assert sorted(map(tuple, got)) == removed_by_hand([r[1].encode() for r in rows], 200)
+
+
 def test_many_rows_alike(spark):
     text = words(41, 400)
     df = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"'{text}' AS text")

@@ -105,6 +105,16 @@ def scanned(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
         yield block()
 
 
+def text_anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, place and hash of anchors, all of a text together: those of a text of several blocks are put together first."""
+    long = [i for i, t in enumerate(texts) if len(t) - length + 1 > BLOCK]
+    for row, _, at, h, _, _, shift in scanned([b"" if i in long else t for i, t in enumerate(texts)] if long else texts, length):
+        yield row, at + shift, h
+    for i in long:
+        at, h = map(np.concatenate, zip(*((at + shift, h) for _, _, at, h, _, _, shift in scanned([texts[i]], length))))
+        yield np.full(len(at), i), at, h
+
+
 def _blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
     first, texts, held = 0, [], 0
     for i, t in enumerate(batch.column(column)):
@@ -198,20 +208,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         for batch in batches:
             did, th = (batch.column(c).to_numpy() for c in ("did", "th"))
             for first, texts in _blocks(batch):
-                for row, data, at, h, _, _, shift in scanned(texts, length):
-                    row = first + row
-                    by = np.lexsort((at, h, row))  # an anchor's string counts once a text, with a mark if there are more
-                    new = np.diff(row[by], prepend=-1).astype(bool) | (np.diff(h[by].view(np.int64), prepend=0) != 0)
+                for row, at, h in text_anchors(texts, length):
+                    by = np.lexsort((at, h, row))  # an anchor's string counts once a text, with a mark if it is at several places
+                    row, at, h = row[by], at[by], h[by]
+                    new = np.diff(row, prepend=-1).astype(bool) | (np.diff(h.view(np.int64), prepend=0) != 0)
                     if not len(by):
                         continue
                     new[0] = True
                     heads = np.flatnonzero(new)
-                    n = np.diff(np.append(heads, len(by)))
-                    own = by[heads]
-                    some = mix(h[own] ^ did[row[own]].view(np.uint64)) % np.uint64(32) == 0
-                    lead = [data[a : a + length] if s else None for a, s in zip(at[own].tolist(), some.tolist())]
+                    places = np.add.reduceat(new | (np.diff(at, prepend=-1) != 0), heads)  # one seen from two blocks is one
+                    row, at, h = row[heads], at[heads], h[heads]
+                    some = mix(h ^ did[first + row].view(np.uint64)) % np.uint64(32) == 0
+                    lead = [texts[r][a : a + length] if s else None for r, a, s in zip(row.tolist(), at.tolist(), some.tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(did[row[own]]), pa.array(th[row[own]]), pa.array(h[own].view(np.int64)), pa.array(n > 1), pa.array(lead, pa.binary())], ["did", "th", "h", "many", "lead"]
+                        [pa.array(did[first + row]), pa.array(th[first + row]), pa.array(h.view(np.int64)), pa.array(places > 1), pa.array(lead, pa.binary())], ["did", "th", "h", "many", "lead"]
                     )
 
     each = docs.where(F.octet_length("text") >= length).mapInArrow(grams, "did long, th long, h long, many boolean, lead binary")
