@@ -47,6 +47,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def aside(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, Column]]:
+    """`df` with all columns but `own` renamed by their place, other0 on, so that none clashes with an operator's inner ones; and, by
+    name, what selects the columns back."""
+    names = [c if c in own else f"other{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), {c: F.col(n).alias(c) for n, c in zip(names, df.columns)}
+
+
 def repeated(df: DataFrame, times: str) -> DataFrame:
     """Each row of `df` as often as its column `times` (long) says, with _i from 1. Rows that occur very often are dealt out in
     blocks first, so neither an array nor a task grows with the number."""

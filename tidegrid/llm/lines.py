@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, saved, small, table
+from .common import aside, numbered, saved, small, table
 
 LAST = (1 << 63) - 1
 MARK = "[^\\x09-\\x0D\\x20]"
 
 
 def chunks(lines: str) -> Column:
-    """Chunks of an array of lines as (lo, n, h, own): first line, lines, hash of the text, first of its kind here.
+    """Chunks of an array of lines as (lo, n, h): first line, lines, hash of the text.
 
     With h_i the hash of line i and r_i that of (h_i-1, h_i), line i > 1 begins a chunk if r_i < r_i-1 and
     r_i <= r_i+1.
@@ -27,9 +27,8 @@ def chunks(lines: str) -> Column:
     starts = "concat(array(0), filter(CASE WHEN size(_r) > 3 THEN sequence(2, size(_r) - 2) ELSE CAST(array() AS array<int>) END, i -> get(_r, i) < get(_r, i - 1) AND get(_r, i) <= get(_r, i + 1)))"
     spans = f"transform(_s, (lo, k) -> struct(lo AS lo, coalesce(get(_s, k + 1), size({lines})) - lo AS n))"
     full = f"transform(_c, c -> struct(c.lo AS lo, c.n AS n, CASE WHEN c.n > 1 THEN unhex(md5(array_join(slice({lines}, c.lo + 1, c.n), '\n'))) END AS h))"
-    own = "transform(_f, (c, k) -> struct(c.lo AS lo, c.n AS n, c.h AS h, array_position(transform(_f, x -> x.h), c.h) = k + 1 AS own))"
     step = lambda name, value, rest: f"element_at(transform(array({value}), {name} -> {rest}), 1)"
-    return F.expr(step("_h", f"transform({lines}, l -> md5(l))", step("_r", rolled, step("_s", starts, step("_c", spans, step("_f", full, own))))))
+    return F.expr(step("_h", f"transform({lines}, l -> md5(l))", step("_r", rolled, step("_s", starts, step("_c", spans, full)))))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -42,16 +41,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Chunks travel as hashes; texts are moved once, and only the chunks whose hash occurs again are read out of them.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs, back = aside(docs.drop("n_lines", "n_removed"), "doc_id", "text")
+    columns = docs.columns
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     base = docs.select(*columns).withColumns({"_did": did, "_th": F.coalesce(F.unhex(F.md5("text")), F.lit(bytearray()))})
     each = base.where("text IS NOT NULL").select("_did", "_th", F.split("text", "\n").alias("lines"))
     each = each.where("size(lines) > 1").select("_did", "_th", F.explode(chunks("lines")).alias("c"))
     each = saved(each.select("_did", "_th", "c.*").where("n > 1"))
-    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_did", "_th")).alias("d0")).where("times > 1").drop("times")
+    seen = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_did", "_th", "lo")).alias("d0")).where("times > 1").drop("times")
     # written, so that Spark may split the other side of its join by size: a chunk may be in a third of all rows
     seen = saved(seen)
-    first = F.col("own") & (F.col("_did") == F.col("d0._did")) & (F.col("_th") == F.col("d0._th"))
+    first = (F.col("_did") == F.col("d0._did")) & (F.col("_th") == F.col("d0._th")) & (F.col("lo") == F.col("d0.lo"))
     some = each.join(small(seen, seen.count()), "h").withColumn("first", first).groupBy("_did", "_th")
     some = some.agg(F.collect_set(F.struct("lo", "n", "h", "first")).alias("found"), F.count(F.lit(1)).alias("alike"))
     alike = (F.col("alike") / F.size("found")).cast("long").alias("alike")
@@ -59,8 +59,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # Both joins of the texts read all columns, so that Spark moves the texts once and reads that exchange twice.
     same = (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_t"))
     found = base.join(some, same & (F.hash("found", *columns) >= -(1 << 31)))
-    found = found.select("_did", "_th", "alike", F.split("text", "\n").alias("lines"), F.explode("found").alias("f"))
-    found = found.select("_did", "_th", "alike", "f.*", F.expr("array_join(slice(lines, f.lo + 1, f.n), '\n')").alias("chunk")).where(F.col("chunk").rlike(MARK))
+    # the chunks alone leave a text, whose lines are cut once
+    read = "element_at(transform(array(split(text, '\n')), _l -> transform(found, f -> struct(f.lo, f.n, f.h, f.first, array_join(slice(_l, f.lo + 1, f.n), '\n') AS chunk))), 1)"
+    found = found.select("_did", "_th", "alike", F.explode(F.expr(read)).alias("f")).select("_did", "_th", "alike", "f.*").where(F.col("chunk").rlike(MARK))
     # told apart by more than the join's keys, so that the join moves both sides itself and Spark can split them by size
     kept = found.where("first").select("h", F.col("chunk").alias("same"), F.hash("h").alias("_z")).distinct().drop("_z")
     gone = found.where("NOT first OR alike > 1").join(kept, "h").where("chunk = same")
@@ -74,11 +75,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         rows = rows.unionByName(more.withColumn("_gone", left).drop("_nth"))
     else:
         rows = base.join(gone, same, "left")
-    rows = rows.withColumn("_gone", F.when(F.size("_gone") > 0, F.col("_gone"))).withColumn("_lines", F.split("text", "\n"))
-    rest = F.expr("array_join(filter(_lines, (l, i) -> NOT exists(_gone, g -> i >= g.lo AND i < g.lo + g.n)), '\n')")
+    rows = rows.withColumn("_gone", F.when(F.size("_gone") > 0, F.sort_array("_gone"))).withColumn("_lines", F.split("text", "\n"))
+    # the lines between the chunks that go
+    begin, end = "coalesce(get(_gone, k - 1).lo + get(_gone, k - 1).n, 0)", "coalesce(get(_gone, k).lo, size(_lines))"
+    rest = F.expr(f"array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_lines, {begin} + 1, {end} - {begin}))), '\n')")
     removed = F.coalesce(F.expr("aggregate(_gone, 0L, (s, g) -> s + g.n)"), F.lit(0)).cast("long")
     left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias("text")
-    return rows.select(*(left if c == "text" else F.col(c) for c in columns), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"))
+    return rows.select(*(left if c == "text" else own for c, own in back.items()), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, repeated, saved, small, table
+from .common import aside, numbered, repeated, saved, small, table
 
 BLOCK = 128
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
+    docs, back = aside(docs, "doc_id", "text", "source")
     plan = saved(mix(docs, **how)).withColumn("_k", F.xxhash64("doc_id", "source", "size"))
     keys = {"_d": F.col("doc_id").cast("long"), "_s": F.col("source").cast("string"), "_n": word_count("text")}
     rows = docs.withColumns(keys).withColumn("_k", F.xxhash64("_d", "_s", "_n"))
@@ -136,7 +137,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
         some = numbered(both.where(odd).withColumn("_key", F.struct("_d", "_s", "_n")), ["_key"]).drop("_key")
         times = F.floor(F.col("_p_copies") / F.col("_p_n")) + F.when(F.col("_nth") <= F.col("_p_copies") % F.col("_p_n"), 1).otherwise(0)
         even = even.unionByName(some.withColumn("_times", times.cast("long")).drop("_nth"))
-    return repeated(even.where("_times > 0"), "_times").select(*docs.columns)
+    return repeated(even.where("_times > 0"), "_times").select(*back.values())
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forest, numbered, repeated, saved, table
+from .common import aside, bounded_batches, forest, numbered, repeated, saved, table
 from .components import components
 from .hashing import mix, shingles, word_hashes
 
@@ -300,6 +300,7 @@ def _grouped(keyed: DataFrame, words: int, least: float, per_block: int) -> tupl
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, per_block: int = PER_BLOCK) -> DataFrame:
     """The documents without near duplicates: one row of each group, as near_duplicates() keeps them."""
+    docs, back = aside(docs, "doc_id", "text")
     th, did = F.unhex(F.md5("text")), F.col("doc_id").cast("long")
     _, heads = _grouped(docs.select(did.alias("doc_id"), "text", th.alias("th")), words, least, per_block)
     heads = heads.select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("n").alias("_alike"))
@@ -310,7 +311,7 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, per_block:
     if twins.limit(1).count():  # rows alike in doc_id and text, of which one is kept
         which = numbered(rows.join(twins, same).withColumn("_of", F.struct("_d", "_th")), ["_of"])
         out = out.unionByName(which.where("_nth = 1").select(*docs.columns))
-    return out
+    return out.select(*back.values())
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, small, table, unit_hash
+from .common import bounded_batches, numbered, saved, small, table, unit_hash
 from .hashing import mix, word_hashes
 
 BUCKETS = 1 << 14
@@ -99,8 +99,8 @@ def resampled(docs: DataFrame, target: DataFrame, share: float = 0.9, buckets: i
     `target` (doc_id): the documents to resemble. log_ratio is the sum of the log-ratios of the two models over a text's
     n-grams; log_weight is that sum over the `power` of their number: with 0 it is the importance weight itself, with 0.5 long
     texts don't rule by length alone. score adds Gumbel noise from a hash of doc_id and text. The `share` of the rows with the largest scores is
-    selected; of rows tied at the edge, all. Texts that are null or have no words are never selected:
-    their log_weight is null and they don't count. Repeated rows get equal results. With no target, or an
+    selected, rounded up, not one more: of rows tied at the edge, such as repeated ones, as many as are wanted. Texts that are null or have no words are never selected:
+    their log_weight is null and they don't count. Repeated rows get equal scores. With no target, or an
     empty table, weights are those of equal models, 0.
     """
     bounded_batches(docs.sparkSession)
@@ -124,8 +124,14 @@ def resampled(docs: DataFrame, target: DataFrame, share: float = 0.9, buckets: i
     rows = texts.select("doc_id", unit_hash("doc_id", "text", seed=seed).alias("u"), "text").mapInArrow(weighed, "doc_id long, u double, n_grams long, log_ratio double, log_weight double")
     rows = saved(rows.select("doc_id", "n_grams", "log_ratio", "log_weight", (F.col("log_weight") + gumbel(F.col("u"))).alias("score")))
     usable = rows.where("score IS NOT NULL").select("score")
-    least, _ = kth_largest(usable, math.ceil(usable.count() * share))
-    return rows.withColumn("selected", F.coalesce(F.col("score") >= least, F.lit(False)))
+    k = math.ceil(usable.count() * share)
+    least, above = kth_largest(usable, k)
+    tied = usable.where(F.col("score") == least).count() if k else 0
+    if above + tied <= k:
+        return rows.withColumn("selected", F.coalesce(F.col("score") >= least, F.lit(False)))
+    edge = numbered(rows.where(F.col("score") == least), ["score"]).withColumn("selected", F.col("_nth") <= k - above).drop("_nth")
+    rest = rows.where(~F.col("score").eqNullSafe(F.lit(least)))
+    return rest.withColumn("selected", F.coalesce(F.col("score") > least, F.lit(False))).unionByName(edge)
 
 
 def gumbel(u: Column) -> Column:
