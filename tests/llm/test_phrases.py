@@ -67,22 +67,30 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("block", [1, 7, 50, 10_000])
-def test_blocks(monkeypatch, block):
+def test_blocks(block):
     """Texts cut into blocks hold each phrase once."""
-    monkeypatch.setattr(phrases, "BLOCK", block)
     texts = [t for _, t in corpus(3, 20)] + ["", "x" * 40, "a b c d e f g h. i", "." * 30]
-    got, want = Counter(), Counter()
-    for words, skip in phrases.blocks([t.encode() for t in texts]):
-        for k, found, n in phrases.counted(words, skip, np.uint64(3), (1, 2, 3, 4, 5), None, None):
-            got.update({(k, p): int(c) for p, c in zip(found, n)})
+    got, want, words = Counter(), Counter(), phrases.Words()
+    blocks = [b for t in texts for b in words.put(t.encode().lower().translate(phrases._SPLIT), block)] + [words.block()]
+    assert len(blocks) > 10 or block > 50
+    for word, names, skip in blocks:
+        for k, rows, n in phrases.counted(word, names, skip, np.uint64(3), (1, 2, 3, 4, 5), None, None, 5):
+            for r, c in zip(rows.tolist(), n.tolist()):
+                got[k, b" ".join(names[i] for i in r)] += c
     for t in texts:
         for w in pieces(t):
-            want[0, None] += len(w)
+            want[0, b""] += len(w)
             for k in range(1, 6):
                 want.update((k, " ".join(w[i : i + k]).encode()) for i in range(len(w) - k + 1))
     assert got == want
 
 
+def test_sample():
+    text = b".".join(b"piece %d" % i for i in range(4000))
+    some = phrases.sampled(text, 4)
+    assert some == phrases.sampled(text, 4) and 900 < len(some.split(b".")) < 1100 and phrases.sampled(b"", 4) == b""
+
+
 def test_filter_loses_nothing(spark):
     rows = [("en" if i % 2 else "fr", f"w{i} w{i % 7}") for i in range(3000)]
     bits = phrases.filter_of(spark.createDataFrame(rows, "lang string, phrase string"))

@@ -1,6 +1,6 @@
 """Collocations by Toivonen's mining.
 
-A sample of the documents proposes phrases: those that are frequent there at a lowered threshold. One pass over all documents
+A sample of the texts' pieces proposes phrases: those that are frequent there at a lowered threshold. One pass over all documents
 counts these and their negative border exactly: the phrases that aren't proposed but whose two phrases of one word less are. If
 some of the border is frequent, its extensions may be as well: a further pass counts those that a new frequent phrase borders on,
 until a pass finds none. So every frequent phrase is counted, whatever the sample held.
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, saved, small, table
 from .hashing import mix
 
-#: Share of the documents in the sample: one in so many.
-SAMPLE = 8
+#: Share of the pieces in the sample: one in so many.
+SAMPLE = 4
 #: Bytes of texts counted together; bits a phrase in a filter, and bits of the smallest and the largest filter.
-BLOCK, BITS, FILTER = 4 << 20, 16, (1 << 16, 1 << 27)
+BLOCK, BITS, FILTER = 16 << 20, 16, (1 << 16, 1 << 27)
 #: Parts that a language's candidates are ranked in first.
 PARTS = 64
 LONGEST = 5
@@ -89,119 +90,137 @@ def filter_of(phrases: DataFrame) -> np.ndarray:
 # --- counting
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
-    """Words of texts and full stops between pieces, BLOCK bytes at a time, and how many of them at the head were in the block before:
-    a longer text goes on with the LONGEST - 1 words that a phrase across the cut begins with."""
-    held, size = [], 0
-    for text in texts:
-        text = text.lower().translate(_SPLIT)
-        if len(text) <= BLOCK:
-            held.append(text)
-            size += len(text)
-            if size > BLOCK:
-                yield b".".join(held).replace(b".", b" . ").split(), 0
-                held, size = [], 0
-            continue
-        at, before = 0, []
+class Words:
+    """Texts as numbers of their words, 0 between pieces, until BLOCK bytes are together. The next block begins with the last
+    LONGEST - 1 words, so phrases across a cut are found where they end."""
+
+    def __init__(self) -> None:
+        self.begin([])
+
+    def begin(self, before: list[bytes]) -> None:
+        self.ids: dict[bytes, int] = {b".": 0}
+        self.parts, self.skip, self.size = [], len(before), 0
+        self.add(before)
+
+    def add(self, words: list[bytes]) -> None:
+        ids = self.ids
+        self.parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
+
+    def block(self) -> tuple[np.ndarray, list[bytes], int]:
+        """The words' numbers, what each number stands for, and how many words at the head were in the block before."""
+        word, names, skip = np.concatenate(self.parts), list(self.ids), self.skip
+        self.begin([names[i] for i in word[len(word) - LONGEST + 1 :].tolist()] if len(word) >= LONGEST else [names[i] for i in word.tolist()])
+        return word, names, skip
+
+    def put(self, text: bytes, block: int) -> Iterator[tuple[np.ndarray, list[bytes], int]]:
+        """Add a text that _SPLIT has gone over; blocks that become full."""
+        at = 0
         while at < len(text):
             cut = len(text)
-            if at + BLOCK < cut:
-                cut = max(text.rfind(b" ", at + 1, at + BLOCK), text.rfind(b".", at + 1, at + BLOCK))
+            if at + block < cut:
+                cut = max(text.rfind(b" ", at + 1, at + block), text.rfind(b".", at + 1, at + block))
                 if cut < 0:  # a word longer than a block stays whole
-                    cut = min((c for c in (text.find(b" ", at + BLOCK), text.find(b".", at + BLOCK)) if c >= 0), default=len(text))
-            words = before + text[at:cut].replace(b".", b" . ").split()
-            yield words, len(before)
-            at, before = cut, words[-(LONGEST - 1) :]
-    if held:
-        yield b".".join(held).replace(b".", b" . ").split(), 0
+                    cut = min((c for c in (text.find(b" ", at + block), text.find(b".", at + block)) if c >= 0), default=len(text))
+            self.add(text[at:cut].replace(b".", b" . ").split())
+            self.size += cut - at
+            at = cut
+            if self.size >= block:
+                yield self.block()
+        self.add([b"."])
 
 
-def counted(words: list[bytes], skip: int, seed: np.uint64, lengths: tuple[int, ...], known: np.ndarray | None, fresh: np.ndarray | None) -> Iterator[tuple[int, list, np.ndarray]]:
-    """Length, phrases and counts of a block's phrases of the `lengths` that don't end among the first `skip` words.
+def sampled(text: bytes, sample: int) -> bytes:
+    """One piece of a text in `sample`, by a hash of the text and the piece's place."""
+    pieces = text.split(b".")
+    keep = mix(np.arange(len(pieces), dtype=np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(text))) % np.uint64(sample) == 0
+    return b".".join([pieces[i] for i in np.flatnonzero(keep).tolist()])
 
-    A phrase of k words counts if both of its phrases of k - 1 words are in the filter `known` (if there is one), and one of them in
-    `fresh` (if there is one). Phrases are told apart by numbers of their words: (number of the first k - 1, word).
+
+def counted(word: np.ndarray, names: list[bytes], skip: int, seed: np.uint64, lengths: tuple[int, ...], known: np.ndarray | None, fresh: np.ndarray | None, known_to: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, words (a row of numbers each) and counts of a block's phrases of the `lengths` that don't end among the first `skip` words.
+
+    A phrase of k words counts if both of its phrases of k - 1 words are in the filter `known` (if there is one; longer ones than
+    `known_to` words pass), and one of them in `fresh` (if there is one). Phrases are told apart by (number of the first k - 1 words, word).
     """
-    ids: dict[bytes, int] = {}
-    word = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    stop, names = ids.get(b".", -1), list(ids)
-    yield 0, [None], np.array([np.count_nonzero(word[skip:] != stop)])
-    hashes = _word_hashes(names)
-    counts = np.bincount(word[skip:], minlength=len(names))
-    if stop >= 0:
-        counts[stop] = 0
+    own = word[skip:]
+    yield 0, np.zeros((1, 0), np.int32), np.array([np.count_nonzero(own)])
+    counts = np.bincount(own, minlength=len(names))
+    counts[0] = 0
     if 1 in lengths:
         some = np.flatnonzero(counts)
-        yield 1, [names[i] for i in some.tolist()], counts[some]
-    here, h = np.where(word == stop, -1, word), mix(hashes ^ seed)
+        yield 1, some[:, None], counts[some]
+    hashes = _word_hashes(names)
+    here, h = np.where(word == 0, -1, word).astype(np.int64), mix(hashes ^ seed)
     for k in range(2, max(lengths) + 1):
         good = here >= 0
-        if known is not None:
+        if known is not None and k - 1 <= known_to:
             good &= holds(known, h)[here]
         at = np.flatnonzero(good[:-1] & good[1:])
         if not len(at):
             return
-        key, first, number = np.unique(here[at] * len(names) + word[at + k - 1], return_index=True, return_inverse=True)
-        head, tail, last = key // len(names), here[at[first] + 1], key % len(names)
+        key = here[at] * len(names) + word[at + k - 1]
+        order = np.argsort(key)
+        new = np.diff(key[order], prepend=-1) != 0
+        heads = np.flatnonzero(new)
+        number = np.empty(len(at), np.int64)
+        number[order] = np.cumsum(new) - 1
+        place, key = at[order[heads]], key[order[heads]]  # where each phrase occurs, once
+        head, last = key // len(names), key % len(names)
         if k in lengths:
             counts = np.bincount(number[at + k - 1 >= skip], minlength=len(key))
             want = counts > 0
             if fresh is not None:
                 new = holds(fresh, h)
-                want &= new[head] | new[tail]
+                want &= new[head] | new[here[place + 1]]
             some = np.flatnonzero(want)
-            yield k, [b" ".join(words[p : p + k]) for p in at[first[some]].tolist()], counts[some]
-        here, h = np.full(max(0, len(here) - 1), -1), _longer(h[head], hashes[last])
-        here[at] = number
+            yield k, word[place[some][:, None] + np.arange(k)], counts[some]
+        if k < max(lengths):
+            here, h = np.full(len(here) - 1, -1), _longer(h[head], hashes[last])
+            here[at] = number
 
 
-def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None = None, fresh: np.ndarray | None = None) -> DataFrame:
-    """lang, k, phrase, n: counts of the phrases of `lengths` words in all of `docs` (lang, text), see counted(); and with k = 0, phrase
-    null, those of all words. A task sends a count a phrase of a block; they are added before they are moved."""
+def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None = None, fresh: np.ndarray | None = None, known_to: int = LONGEST, sample: int = 1) -> DataFrame:
+    """lang, k, phrase, n: counts of the phrases of `lengths` words in `docs` (lang, text), or in one piece in `sample`, see counted(); and
+    with k = 0, phrase null, those of all words. A task sends a count a phrase of a block; they are added before they are moved."""
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     known, fresh = (None if f is None else sc.broadcast(f) for f in (known, fresh))  # of a bounded size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (None if f is None else f.value for f in (known, fresh))
-        held: dict[str, list[bytes]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                for words, skip in blocks(texts):
-                    for k, phrases, n in counted(words, skip, _seed(lang), lengths, a, b):
-                        for i in range(0, len(phrases), 50_000):
-                            some = pa.array(phrases[i : i + 50_000], pa.binary()).cast(pa.string())
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), k, np.int32)), some, pa.array(n[i : i + 50_000].astype(np.int64))], ["lang", "k", "phrase", "n"]
-                            )
-            held.clear()
+        held: dict[str, Words] = {}
+
+        def out(lang: str, word: np.ndarray, names: list[bytes], skip: int) -> Iterator[pa.RecordBatch]:
+            strings = pa.array(names, pa.binary()).cast(pa.string())
+            for k, rows, n in counted(word, names, skip, _seed(lang), lengths, a, b, known_to):
+                for i in range(0, len(rows), 50_000):
+                    some = rows[i : i + 50_000]
+                    phrase = pc.binary_join_element_wise(*(strings.take(pa.array(some[:, j])) for j in range(k)), " ") if k else pa.nulls(len(some), pa.string())
+                    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(some), np.int32))), pa.array(np.full(len(some), k, np.int32)), phrase, pa.array(n[i : i + 50_000].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text")):
-                text = text.as_py().encode()
-                held.setdefault(lang.as_py(), []).append(text)
-                size += len(text)
-                if size > BLOCK:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                lang, text = lang.as_py(), text.as_py().encode().lower().translate(_SPLIT)
+                words = held.setdefault(lang, Words())
+                for block in words.put(sampled(text, sample) if sample > 1 else text, BLOCK):
+                    yield from out(lang, *block)
+                if len(held) > 1 and sum(w.size for w in held.values()) > BLOCK:  # few bytes of very many languages, or of some
+                    largest = max(held, key=lambda x: held[x].size)
+                    yield from out(largest, *held.pop(largest).block())
+        for lang, words in held.items():
+            yield from out(lang, *words.block())
 
     return docs.mapInArrow(count, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def proposed(docs: DataFrame, least: int, sample: int = SAMPLE) -> DataFrame:
-    """lang, phrase: phrases of up to LONGEST - 1 words frequent in a sample of `docs`, one document in `sample` by a hash, at a threshold
-    two deviations below what `least` would come to there. With every phrase its parts are proposed."""
-    low = max(1, math.floor(least / sample - 2 * math.sqrt(least / sample)))
-    some = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(sample)) == 0)
-    found = saved(phrase_counts(some, (1, 2)).where((F.col("k") > 0) & (F.col("n") >= low)))
-    for k in range(3, LONGEST):
-        longer = phrase_counts(some, (k,), filter_of(found))
-        longer = saved(longer.where((F.col("k") == k) & (F.col("n") >= low)))
-        found = found.unionByName(longer)
-    return found.select("lang", "phrase")
+    """lang, phrase: phrases of up to LONGEST - 1 words frequent in a sample of `docs`, one piece in `sample` by a hash, at a threshold
+    three deviations below what `least` would come to there. With every phrase its parts are proposed."""
+    low = max(1, math.floor(least / sample - 3 * math.sqrt(least / sample)))
+    found = saved(phrase_counts(docs, (1, 2), sample=sample).where((F.col("k") > 0) & (F.col("n") >= low)))
+    longer = phrase_counts(docs, tuple(range(3, LONGEST)), filter_of(found), known_to=2, sample=sample)
+    return found.unionByName(saved(longer.where((F.col("k") > 0) & (F.col("n") >= low)))).select("lang", "phrase")
 
 
 def frequent_phrases(docs: DataFrame, least: int, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
