@@ -12,6 +12,8 @@ from .tables import COLS, ROWS
 
 P, S = (tables.text(f"({q})") for q in (tables.PIXELS, tables.SOUNDINGS))
 TOTAL = ROWS * COLS
+#: Added before rounding: means of numbers with few digits often lie between two roundings.
+OFF = 3.7e-8
 # The flagship's own pixels: one grid of 50 x 50 and four surveys.
 FLAG_POINTS = """SELECT CAST(l_suppkey % 4 AS BIGINT) AS cdi, CAST((l_orderkey * 7 + l_linenumber * 13) % 50 AS INT) AS row,
   CAST((l_partkey * 11 + l_linenumber * 5) % 50 AS INT) AS col, CAST(2000 + 3 * (l_suppkey % 4) AS INT) AS year,
@@ -50,11 +52,19 @@ def unordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("cell", older["cdi"].alias("id_old"), newer["cdi"].alias("id_new"), (newer["year"] - older["year"]).alias("dt"))
 
 
+def _tile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.tile_pairs(raster.to_tiles(tables.pixels(spark, sf_dir), ROWS, COLS, ("cell", "cdi", "year")))
+
+
 def best_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shift of up to three pixels at which the mean difference of the first two surveys is smallest."""
-    p = tables.pixels(spark, sf_dir)
-    found = change.least_shift(change.shifts(p.where("cdi = 0"), p.where("cdi = 1"), 3))
-    return found.select("cell", "dr", "dc", "n", F.round("mean", 9).alias("mean"))
+    """Of each two surveys of a cell, the shift of up to 30 pixels each way at which the mean difference is smallest."""
+    return change.best_shifts(_tile_pairs(spark, sf_dir)).withColumn("mean", F.round(F.col("mean") + OFF, 6))
+
+
+def shift_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each two surveys of a cell: shifts at which pixels meet, how many do in all, and the least and the largest mean difference."""
+    s = change.shift_scores(_tile_pairs(spark, sf_dir)).groupBy(*change.PAIR)
+    return s.agg(F.count(F.lit(1)).alias("shifts"), F.sum("n").alias("met"), F.round(F.min("mean") + OFF, 6).alias("least"), F.round(F.max("mean") + OFF, 6).alias("most"))
 
 
 def survey_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +130,7 @@ def bounded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pair_change_stats, pair_rates, unordered_pairs, best_shift, survey_angles, layered_cost, flagged_shares, label_reduction, feature_scaling, bounded_clusters)
+    for f in (pair_change_stats, pair_rates, unordered_pairs, best_shift, shift_range, survey_angles, layered_cost, flagged_shares, label_reduction, feature_scaling, bounded_clusters)
 }
 
 _F = tables.text(f"({FLAG_POINTS})")
@@ -136,15 +146,19 @@ _BASE = _placed(f"(SELECT cell, row, col, avg(v) AS v FROM {P} GROUP BY ALL)")
 _AMP = _placed(f"(SELECT cell, row, col, max(abs(diff - m) / dt) AS v FROM {_PAIRS} GROUP BY ALL)")
 _SPREAD = _placed(f"(SELECT cell, row, col, log10(sqrt(var_pop(v)) + 1) AS v FROM {P} GROUP BY ALL)")
 _LAB = f"(SELECT cdi, cell, row, col, CASE WHEN v > 80 THEN 1 WHEN v > 5 THEN 0 ELSE -1 END AS v FROM {P})"
+_SHIFTED = f"""WITH p AS (SELECT cell, cdi, year, row, col, v FROM {P}), m AS (SELECT cell, cdi, avg(v) AS m FROM p GROUP BY ALL),
+  o AS (SELECT a.cell, a.cdi AS id_old, b.cdi AS id_new, b.m - a.m AS m FROM m a JOIN m b ON a.cell = b.cell),
+  s AS (SELECT a.cell, a.cdi AS id_old, b.cdi AS id_new, b.year - a.year AS dt, b.row - a.row AS dy, b.col - a.col AS dx, count(*) AS n, avg(b.v - a.v) AS mean
+        FROM p a JOIN p b ON a.cell = b.cell AND b.year > a.year AND b.row BETWEEN a.row - 30 AND a.row + 30 AND b.col BETWEEN a.col - 30 AND a.col + 30 GROUP BY ALL)"""
 ORACLES = {
     "pair_change_stats": f"""WITH p AS (SELECT cdi, year, row, col, depth AS v FROM (SELECT *, row_number() OVER (PARTITION BY cdi, row, col ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC, depth DESC) AS rn FROM {_F}) WHERE rn = 1),
       d AS (SELECT a.cdi AS s_old, b.cdi AS s_new, b.v - a.v AS d FROM p a JOIN p b ON a.row = b.row AND a.col = b.col AND b.year > a.year)
       SELECT s_old, s_new, count(*) AS n, round(avg(d), 4) AS bias, round(stddev_pop(d), 4) AS sd, round(sqrt(avg(d * d)), 4) AS rmse, round(quantile_cont(abs(d), 0.95), 4) AS p95 FROM d GROUP BY ALL""",
     "pair_rates": f"""SELECT cell, id_old, id_new, dt, count(*) AS n, round(avg(abs(diff - m) / dt), 9) AS amplitude, round(max(abs(diff - m) / dt), 9) AS most, round(greatest(-min((diff - m) / dt), max((diff - m) / dt)), 9) AS "limit" FROM {_PAIRS} GROUP BY ALL""",
     "unordered_pairs": f"WITH t AS (SELECT DISTINCT cell, cdi, year FROM {P}) SELECT a.cell, a.cdi AS id_old, b.cdi AS id_new, b.year - a.year AS dt FROM t a JOIN t b ON a.cell = b.cell AND a.year < b.year",
-    "best_shift": f"""WITH s AS (SELECT unnest(range(-3, 4)) AS x), m AS (SELECT a.cell, r.x AS dr, c.x AS dc, count(*) AS n, avg(b.v - a.v) AS mean FROM (SELECT * FROM {P} WHERE cdi = 0) a, s r, s c,
-        (SELECT * FROM {P} WHERE cdi = 1) b WHERE a.cell = b.cell AND b.row = a.row - r.x AND b.col = a.col - c.x GROUP BY ALL)
-      SELECT cell, CAST(dr AS INT) AS dr, CAST(dc AS INT) AS dc, n, round(mean, 9) AS mean FROM m QUALIFY row_number() OVER (PARTITION BY cell ORDER BY mean, dc, dr) = 1""",
+    "best_shift": f"""{_SHIFTED} SELECT cell, id_old, id_new, dt, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, n, round(round(mean - m, 9) + CAST({OFF} AS DOUBLE), 6) AS mean FROM s JOIN o USING (cell, id_old, id_new)
+      QUALIFY row_number() OVER (PARTITION BY cell, id_old, id_new ORDER BY round(mean - m, 9), dx, dy) = 1""",
+    "shift_range": f"""{_SHIFTED} SELECT cell, id_old, id_new, dt, count(*) AS shifts, CAST(sum(n) AS BIGINT) AS met, round(min(mean) + CAST({OFF} AS DOUBLE), 6) AS least, round(max(mean) + CAST({OFF} AS DOUBLE), 6) AS most FROM s GROUP BY ALL""",
     "survey_angles": f"""SELECT cdi, count(*) AS n, string_agg(concat(cell, ':', CAST(round(angle) AS INT)), ',' ORDER BY cell) AS angles FROM
       (SELECT cdi, cell, round(degrees(atan2(covar_pop(row, v), covar_pop(col, v))), 6) AS angle FROM {P} GROUP BY ALL) GROUP BY cdi""",
     "layered_cost": f"""WITH b AS {_BASE}, t AS (SELECT row, col, sum(v) AS v FROM (SELECT row, col, CAST(1 AS DOUBLE) AS v FROM b UNION ALL SELECT row, col, CASE WHEN v > 9 THEN 1 END FROM {_AMP}
