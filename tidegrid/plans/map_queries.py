@@ -78,7 +78,7 @@ def polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soundings inside each polygon."""
     p = tables.soundings(spark, sf_dir).select(F.col("e").alias("x"), (F.col("n") + 0.05).alias("y"), "k1", "k2", "k3", "k4", "depth")
-    found = vector.inside(p, vector.edges(_rings(spark, sf_dir)), 100.0)
+    found = vector.inside(p, vector.edges(_rings(spark, sf_dir)), 10.0)
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
