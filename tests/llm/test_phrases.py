@@ -87,8 +87,8 @@ def test_blocks(block):
 
 def test_sample():
     text = b".".join(b"piece %d" % i for i in range(4000))
-    some = phrases.sampled(text, 4)
-    assert some == phrases.sampled(text, 4) and 900 < len(some.split(b".")) < 1100 and phrases.sampled(b"", 4) == b""
+    some = phrases.sampled(text, 4, 1)
+    assert some == phrases.sampled(text, 4, 1) != phrases.sampled(text, 4, 2) and 900 < len(some.split(b".")) < 1100 and phrases.sampled(b"", 4, 7) == b""
 
 
 def test_filter_loses_nothing(spark):

@@ -129,10 +129,10 @@ class Words:
         self.add([b"."])
 
 
-def sampled(text: bytes, sample: int) -> bytes:
-    """One piece of a text in `sample`, by a hash of the text and the piece's place."""
+def sampled(text: bytes, sample: int, row: int) -> bytes:
+    """One piece of a text in `sample`, by a hash of its row and the piece's place: texts alike aren't sampled alike."""
     pieces = text.split(b".")
-    keep = mix(np.arange(len(pieces), dtype=np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(text))) % np.uint64(sample) == 0
+    keep = mix(mix(np.array([row], np.uint64)) ^ np.arange(len(pieces), dtype=np.uint64)) % np.uint64(sample) == 0
     return b".".join([pieces[i] for i in np.flatnonzero(keep).tolist()])
 
 
@@ -200,10 +200,10 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray |
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text")):
+            for lang, text, row in zip(batch.column("lang"), batch.column("text"), batch.column("row").to_pylist()):
                 lang, text = lang.as_py(), text.as_py().encode().lower().translate(_SPLIT)
                 words = held.setdefault(lang, Words())
-                for block in words.put(sampled(text, sample) if sample > 1 else text, BLOCK):
+                for block in words.put(sampled(text, sample, row) if sample > 1 else text, BLOCK):
                     yield from out(lang, *block)
                 if len(held) > 1 and sum(w.size for w in held.values()) > BLOCK:  # few bytes of very many languages, or of some
                     largest = max(held, key=lambda x: held[x].size)
@@ -211,6 +211,7 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray |
         for lang, words in held.items():
             yield from out(lang, *words.block())
 
+    docs = docs.select("lang", "text", F.monotonically_increasing_id().alias("row"))
     return docs.mapInArrow(count, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
