@@ -86,9 +86,11 @@ def test_blocks(block):
 
 
 def test_sample():
-    text = b".".join(b"piece %d" % i for i in range(4000))
+    text = b".".join(b"piece %d" % i for i in range(40000))
     some = phrases.sampled(text, 4, 1)
-    assert some == phrases.sampled(text, 4, 1) != phrases.sampled(text, 4, 2) and 900 < len(some.split(b".")) < 1100 and phrases.sampled(b"", 4, 7) == b""
+    assert some == phrases.sampled(text, 4, 1) != phrases.sampled(text, 4, 2) and 9000 < len(some.split(b".")) < 11_000 and phrases.sampled(b"", 4, 7) == b""
+    assert set(some.replace(b".", b" ").split()) <= set(text.replace(b".", b" ").split())
+    assert phrases.sampled(text, 1, 3).replace(b".", b" ").split() == text.replace(b".", b" ").split() and phrases.sampled(b"x" * 9999, 1, 3).strip(b".") == b"x" * 9999
 
 
 def test_filter_loses_nothing(spark):

@@ -1,6 +1,6 @@
 """Collocations by Toivonen's mining.
 
-A sample of the texts' pieces proposes phrases: those that are frequent there at a lowered threshold. One pass over all documents
+A sample of stretches of the texts proposes phrases: those that are frequent there at a lowered threshold. One pass over all documents
 counts these and their negative border exactly: the phrases that aren't proposed but whose two phrases of one word less are. If
 some of the border is frequent, its extensions may be as well: a further pass counts those that a new frequent phrase borders on,
 until a pass finds none. So every frequent phrase is counted, whatever the sample held.
@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, saved, small, table
 from .hashing import mix
 
-#: Share of the pieces in the sample: one in so many.
-SAMPLE = 4
+#: Share of the stretches of texts in the sample, one in so many, and their bytes.
+SAMPLE, STRETCH = 4, 256
 #: Bytes of texts counted together; bits a phrase in a filter, and bits of the smallest and the largest filter.
 BLOCK, BITS, FILTER = 16 << 20, 16, (1 << 16, 1 << 27)
 #: Parts that a language's candidates are ranked in first.
@@ -130,10 +130,24 @@ class Words:
 
 
 def sampled(text: bytes, sample: int, row: int) -> bytes:
-    """One piece of a text in `sample`, by a hash of its row and the piece's place: texts alike aren't sampled alike."""
-    pieces = text.split(b".")
-    keep = mix(mix(np.array([row], np.uint64)) ^ np.arange(len(pieces), dtype=np.uint64)) % np.uint64(sample) == 0
-    return b".".join([pieces[i] for i in np.flatnonzero(keep).tolist()])
+    """Stretches of whole words, one in `sample` by a hash of the row and the place: neither copies of a text nor repeats in it are
+    sampled alike."""
+    keep = mix(mix(np.array([row], np.uint64)) ^ np.arange(len(text) // STRETCH + 1, dtype=np.uint64)) % np.uint64(sample) == 0
+    edge = lambda at: min((c for c in (text.find(b" ", at), text.find(b".", at)) if c >= 0), default=len(text)) if at else 0
+    return b".".join([text[edge(i * STRETCH) : edge((i + 1) * STRETCH)] for i in np.flatnonzero(keep).tolist()])
+
+
+def _around(word: np.ndarray, hashes: np.ndarray, seed: np.uint64, fresh: np.ndarray, longest: int) -> np.ndarray:
+    """Which words are in a phrase of up to `longest` words that a phrase in `fresh` makes up but for the first or last word."""
+    own, near = hashes[word], np.zeros(len(word) + 1, np.int64)
+    whole, h = word != 0, mix(own ^ seed)
+    for k in range(1, longest):
+        at = np.flatnonzero(whole)
+        at = at[holds(fresh, h[at])]
+        np.add.at(near, np.maximum(at - 1, 0), 1)
+        np.add.at(near, np.minimum(at + k + 1, len(word)), -1)
+        whole, h = whole[:-1] & (word[k:] != 0), _longer(h[:-1], own[k:])
+    return np.cumsum(near)[:-1] > 0
 
 
 def counted(word: np.ndarray, names: list[bytes], skip: int, seed: np.uint64, lengths: tuple[int, ...], known: np.ndarray | None, fresh: np.ndarray | None, known_to: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -150,6 +164,10 @@ def counted(word: np.ndarray, names: list[bytes], skip: int, seed: np.uint64, le
         some = np.flatnonzero(counts)
         yield 1, some[:, None], counts[some]
     hashes = _word_hashes(names)
+    if fresh is not None:
+        word = np.where(_around(word, hashes, seed, fresh, max(lengths)), word, 0)
+        if not word.any():
+            return
     here, h = np.where(word == 0, -1, word).astype(np.int64), mix(hashes ^ seed)
     for k in range(2, max(lengths) + 1):
         good = here >= 0
@@ -180,7 +198,7 @@ def counted(word: np.ndarray, names: list[bytes], skip: int, seed: np.uint64, le
 
 
 def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None = None, fresh: np.ndarray | None = None, known_to: int = LONGEST, sample: int = 1) -> DataFrame:
-    """lang, k, phrase, n: counts of the phrases of `lengths` words in `docs` (lang, text), or in one piece in `sample`, see counted(); and
+    """lang, k, phrase, n: counts of the phrases of `lengths` words in `docs` (lang, text), or in one stretch in `sample`, see counted(); and
     with k = 0, phrase null, those of all words. A task sends a count a phrase of a block; they are added before they are moved."""
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -195,9 +213,8 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray |
             for k, rows, n in counted(word, names, skip, _seed(lang), lengths, a, b, known_to):
                 for i in range(0, len(rows), 50_000):
                     some = rows[i : i + 50_000]
-                    phrase = pc.binary_join_element_wise(*(strings.take(pa.array(some[:, j])) for j in range(k)), " ") if k else pa.nulls(len(some), pa.string())
-                    columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(some), np.int32))), pa.array(np.full(len(some), k, np.int32)), phrase, pa.array(n[i : i + 50_000].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "phrase", "n"])
+                    phrase = pc.binary_join_element_wise(*(strings.take(pa.array(some[:, j])) for j in range(k)), " ") if k else pa.array([""] * len(some))
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, phrase, "\t"), pa.array(n[i : i + 50_000].astype(np.int64))], ["key", "n"])
 
         for batch in batches:
             for lang, text, row in zip(batch.column("lang"), batch.column("text"), batch.column("row").to_pylist()):
@@ -212,13 +229,18 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray |
             yield from out(lang, *words.block())
 
     docs = docs.select("lang", "text", F.monotonically_increasing_id().alias("row"))
-    return docs.mapInArrow(count, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    # the language, a tab, which no phrase holds, and the phrase are one key: rows are short
+    counts = docs.mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\t", -1)
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+    k = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
+    return counts.select(lang.alias("lang"), k.alias("k"), F.when(phrase != "", phrase).alias("phrase"), "n")
 
 
 def proposed(docs: DataFrame, least: int, sample: int = SAMPLE) -> DataFrame:
-    """lang, phrase: phrases of up to LONGEST - 1 words frequent in a sample of `docs`, one piece in `sample` by a hash, at a threshold
-    three deviations below what `least` would come to there. With every phrase its parts are proposed."""
-    low = max(1, math.floor(least / sample - 3 * math.sqrt(least / sample)))
+    """lang, phrase: phrases of up to LONGEST - 1 words frequent in a sample of `docs`, one stretch in `sample` by a hash, at a threshold
+    two deviations below nine tenths (phrases over an edge are lost) of what `least` would come to there. With every phrase its parts are proposed."""
+    low = max(1, math.floor(0.9 * least / sample - 2 * math.sqrt(least / sample)))
     found = saved(phrase_counts(docs, (1, 2), sample=sample).where((F.col("k") > 0) & (F.col("n") >= low)))
     longer = phrase_counts(docs, tuple(range(3, LONGEST)), filter_of(found), known_to=2, sample=sample)
     return found.unionByName(saved(longer.where((F.col("k") > 0) & (F.col("n") >= low)))).select("lang", "phrase")
