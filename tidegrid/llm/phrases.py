@@ -2,8 +2,9 @@
 
 A sample of stretches of the texts proposes phrases: those that are frequent there at a lowered threshold. One pass over all documents
 counts these and their negative border exactly: the phrases that aren't proposed but whose two phrases of one word less are. If
-some of the border is frequent, its extensions may be as well: a further pass counts those that a new frequent phrase borders on,
-until a pass finds none. So every frequent phrase is counted, whatever the sample held.
+some of the border is frequent, its extensions may be as well: an expansion pass counts every longer phrase that holds a failure of
+the border and otherwise frequent ones, of all lengths at once, which closes the search. So every frequent phrase is counted,
+whatever the sample held.
 """
 
 from __future__ import annotations
@@ -138,14 +139,14 @@ def sampled(text: bytes, sample: int, row: int) -> bytes:
 
 
 def _around(word: np.ndarray, hashes: np.ndarray, seed: np.uint64, fresh: np.ndarray, longest: int) -> np.ndarray:
-    """Which words are in a phrase of up to `longest` words that a phrase in `fresh` makes up but for the first or last word."""
+    """Which words are in a phrase of up to `longest` words that holds one in `fresh`."""
     own, near = hashes[word], np.zeros(len(word) + 1, np.int64)
     whole, h = word != 0, mix(own ^ seed)
     for k in range(1, longest):
         at = np.flatnonzero(whole)
         at = at[holds(fresh, h[at])]
-        np.add.at(near, np.maximum(at - 1, 0), 1)
-        np.add.at(near, np.minimum(at + k + 1, len(word)), -1)
+        np.add.at(near, np.maximum(at - longest + k, 0), 1)
+        np.add.at(near, np.minimum(at + longest, len(word)), -1)
         whole, h = whole[:-1] & (word[k:] != 0), _longer(h[:-1], own[k:])
     return np.cumsum(near)[:-1] > 0
 
@@ -154,7 +155,7 @@ def counted(word: np.ndarray, names: list[bytes], skip: int, seed: np.uint64, le
     """Length, words (a row of numbers each) and counts of a block's phrases of the `lengths` that don't end among the first `skip` words.
 
     A phrase of k words counts if both of its phrases of k - 1 words are in the filter `known` (if there is one; longer ones than
-    `known_to` words pass), and one of them in `fresh` (if there is one). Phrases are told apart by (number of the first k - 1 words, word).
+    `known_to` words pass). If there is a filter `fresh`, they may also hold one in it, and one of them does. Phrases are told apart by (number of the first k - 1 words, word).
     """
     own = word[skip:]
     yield 0, np.zeros((1, 0), np.int32), np.array([np.count_nonzero(own)])
@@ -169,31 +170,34 @@ def counted(word: np.ndarray, names: list[bytes], skip: int, seed: np.uint64, le
         if not word.any():
             return
     here, h = np.where(word == 0, -1, word).astype(np.int64), mix(hashes ^ seed)
+    new = None if fresh is None else holds(fresh, h)  # phrases that hold a fresh one
     for k in range(2, max(lengths) + 1):
         good = here >= 0
         if known is not None and k - 1 <= known_to:
-            good &= holds(known, h)[here]
+            good &= (holds(known, h) if new is None else holds(known, h) | new)[here]
         at = np.flatnonzero(good[:-1] & good[1:])
         if not len(at):
             return
         key = here[at] * len(names) + word[at + k - 1]
         order = np.argsort(key)
-        new = np.diff(key[order], prepend=-1) != 0
-        heads = np.flatnonzero(new)
+        first = np.diff(key[order], prepend=-1) != 0
+        heads = np.flatnonzero(first)
         number = np.empty(len(at), np.int64)
-        number[order] = np.cumsum(new) - 1
+        number[order] = np.cumsum(first) - 1
         place, key = at[order[heads]], key[order[heads]]  # where each phrase occurs, once
         head, last = key // len(names), key % len(names)
         if k in lengths:
             counts = np.bincount(number[at + k - 1 >= skip], minlength=len(key))
             want = counts > 0
-            if fresh is not None:
-                new = holds(fresh, h)
+            if new is not None:
                 want &= new[head] | new[here[place + 1]]
             some = np.flatnonzero(want)
             yield k, word[place[some][:, None] + np.arange(k)], counts[some]
         if k < max(lengths):
-            here, h = np.full(len(here) - 1, -1), _longer(h[head], hashes[last])
+            longer = _longer(h[head], hashes[last])
+            if new is not None:
+                new = new[head] | new[here[place + 1]] | holds(fresh, longer)
+            here, h = np.full(len(here) - 1, -1), longer
             here[at] = number
 
 
@@ -254,10 +258,11 @@ def frequent_phrases(docs: DataFrame, least: int, sample: int = SAMPLE) -> tuple
     totals, found = out.where("k = 0"), out.where("k > 0")
     # the border's failures: frequent, but not proposed
     new = saved(found.where(F.col("k") < LONGEST).join(guess, ["lang", "phrase"], "left_anti"))
-    while new.limit(1).count():
+    if new.limit(1).count():
+        # a frequent phrase not counted so far holds a failure, and its parts are frequent or hold one as well: this counts them all
         more = phrase_counts(docs, tuple(range(2, LONGEST + 1)), filter_of(found), filter_of(new)).where((F.col("k") > 0) & (F.col("n") >= least))
         more = saved(more.join(found, ["lang", "phrase"], "left_anti").select(*found.columns))
-        found, new = found.unionByName(more), more.where(F.col("k") < LONGEST)
+        found = found.unionByName(more)
     return found, totals
 
 
