@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import raster
+from tidegrid.operators import quantiles, raster
 
 from . import tables
 from .tables import COLS, ROWS, SIZE
@@ -35,8 +35,12 @@ def raster_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds, extent and median point of each survey."""
-    s = tables.soundings(spark, sf_dir).groupBy("cdi")
-    return s.agg(F.min("e").alias("x0"), F.max("e").alias("x1"), F.min("n").alias("y0"), F.max("n").alias("y1"), (F.max("e") - F.min("e")).alias("width"), F.median("e").alias("mid_e"), F.median("n").alias("mid_n"), F.count(F.lit(1)).alias("n_points"))
+    s = tables.soundings(spark, sf_dir)
+    places = s.select("cdi", F.explode(F.array(F.struct(F.lit("mid_e").alias("axis"), F.col("e").alias("v")), F.struct(F.lit("mid_n").alias("axis"), F.col("n").alias("v")))).alias("p"))
+    mid = quantiles.quantiles(places.select("cdi", "p.*"), "v", (0.5,), ("cdi", "axis"))
+    mid = mid.groupBy("cdi").agg(*(F.max(F.when(F.col("axis") == a, F.col("value"))).alias(a) for a in ("mid_e", "mid_n")))
+    about = s.groupBy("cdi").agg(F.min("e").alias("x0"), F.max("e").alias("x1"), F.min("n").alias("y0"), F.max("n").alias("y1"), (F.max("e") - F.min("e")).alias("width"), F.count(F.lit(1)).alias("n_points"))
+    return about.join(mid, "cdi")
 
 
 def survey_count_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +99,11 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles for scaling, and how far 60 lies above the median in deviations."""
-    v = F.col("v")
-    return tables.pixels(spark, sf_dir).groupBy("cdi").agg(*(F.round(F.percentile(v, F.lit(q / 100)), 9).alias(f"p{q}") for q in (1, 2, 90, 98, 99)), F.round((F.lit(60.0) - F.median(v)) / F.stddev_pop(v), 9).alias("sigmas"))
+    p = tables.pixels(spark, sf_dir).select("cdi", "v")
+    found = quantiles.quantiles(p, "v", (0.01, 0.02, 0.5, 0.9, 0.98, 0.99), ("cdi",))
+    found = quantiles.wide(found, ("cdi",), {0.01: "p1", 0.02: "p2", 0.5: "mid", 0.9: "p90", 0.98: "p98", 0.99: "p99"})
+    both = found.join(p.groupBy("cdi").agg(F.stddev_pop("v").alias("sd")), "cdi")
+    return both.select("cdi", *(F.round(f"p{q}", 9).alias(f"p{q}") for q in (1, 2, 90, 98, 99)), F.round((F.lit(60.0) - F.col("mid")) / F.col("sd"), 9).alias("sigmas"))
 
 
 def gap_filling(spark: SparkSession, sf_dir: str) -> DataFrame:

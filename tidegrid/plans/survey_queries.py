@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import change, focal, kernels, labels, raster, routes
+from tidegrid.operators import change, focal, kernels, labels, quantiles, raster, routes
 
 from . import focal_queries, map_queries, tables
 from .tables import COLS, ROWS
@@ -46,7 +46,8 @@ def closing_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many deviations each threshold lies from a cell's median, and the share of its pixels above."""
     p = _pixels(spark, sf_dir)
-    about = p.groupBy("cell").agg(F.median("v").alias("mid"), F.stddev_pop("v").alias("sd"))
+    mid = quantiles.wide(quantiles.quantiles(p, "v", (0.5,), ("cell",)), ("cell",), {0.5: "mid"})
+    about = p.groupBy("cell").agg(F.stddev_pop("v").alias("sd")).join(mid, "cell")
     t = p.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS)))).groupBy("cell", "threshold").agg(F.avg((F.col("v") > F.col("threshold")).cast("double")).alias("share"))
     return t.join(about, "cell").select("cell", "threshold", F.round((F.col("threshold") - F.col("mid")) / F.col("sd"), 8).alias("sigmas"), F.round("share", 9).alias("share"))
 
