@@ -44,11 +44,17 @@ def file_name(local_id) -> Column:
     return F.concat(F.lit("000574_XYZ_"), F.replace(F.replace(local_id, F.lit("/"), F.lit("_")), F.lit("v"), F.lit("V")), F.lit(".txt"))
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, fields: the first line of each file, cut at tabs if it has one, else at spaces."""
-    first = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("i"))
-    first = first.groupBy("file").agg(F.min_by("value", F.struct("at", "i")).alias("value"))
-    return first.select("file", F.split("value", F.when(F.col("value").contains("\t"), F.lit("\t")).otherwise(F.lit(" +"))).alias("fields"))
+def _fields(line: str) -> Column:
+    """Parts of a line, cut at tabs if it has one, else at spaces outside quotes."""
+    return F.when(F.col(line).contains("\t"), F.split(line, "\t")).otherwise(F.regexp_extract_all(line, F.lit('("[^"]*"|[^ ]+)'), F.lit(1)))
+
+
+def headers(spark: SparkSession, path: str, files: Column | None = None) -> DataFrame:
+    """file, fields, value: the first line of each file, its parts and the line itself; `files` as for any_soundings()."""
+    first = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = first.where(F.lit(True) if files is None else files).where("at = 0").withColumn("i", F.monotonically_increasing_id())
+    first = first.groupBy("file").agg(F.min_by("value", "i").alias("value"))
+    return first.select("file", F.transform(_fields("value"), lambda x: F.regexp_replace(x, '^"|"$', "")).alias("fields"), "value")
 
 
 # Column names in the files.
@@ -65,6 +71,30 @@ def soundings(spark: SparkSession, path: str, tab: bool, surveys: DataFrame | No
     df = df.select(*(F.col(f"`{c}`").alias(NAMES[c]) for c in df.columns if c in NAMES), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("seq"))
     for c in set(NAMES.values()) - set(df.columns):
         df = df.withColumn(c, F.lit(None).cast("string"))
+    return _placed(df, surveys)
+
+
+def any_soundings(spark: SparkSession, path: str, surveys: DataFrame | None = None, files: Column | None = None) -> DataFrame:
+    """As soundings(), of files of either delimiter and either set of columns side by side: each file's first line tells. Names and
+    values may stand in quotes; lines with fewer values than names end in nulls.
+
+    `files`: a condition on `file`, the file's name; files that don't meet it are never opened, as Spark prunes them when it lists
+    the folder. Lines are split where they are read, and files may be split over tasks.
+    """
+    kept = F.lit(True) if files is None else files
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(kept).withColumn("seq", F.monotonically_increasing_id())
+    heads = headers(spark, path, files).select(F.col("file").alias("_file"), "fields", "value")
+    fields = lambda v: F.transform(_fields(v), lambda x: F.regexp_replace(x, '^"|"$', ""))
+    rows = lines.join(heads.withColumnRenamed("value", "_head"), F.col("file") == F.col("_file")).where("value <> _head AND trim(value) <> ''")
+    rows = rows.select("file", "seq", "fields", fields("value").alias("_v"))
+    # the value under each of a name's spellings; 0 is no such name
+    under = lambda name: F.get("_v", F.nullif(F.array_position("fields", F.lit(name)), F.lit(0)).cast("int") - 1)
+    columns = {n: F.coalesce(*(under(k) for k, v in NAMES.items() if v == n)) for n in dict.fromkeys(NAMES.values())}
+    return _placed(rows.select("file", "seq", *(c.alias(n) for n, c in columns.items())), surveys)
+
+
+def _placed(df: DataFrame, surveys: DataFrame | None) -> DataFrame:
+    """Degrees and positions in zone 31 of rows with the columns of NAMES."""
     lat, lon = coords.dms(F.col("lat_text")), coords.dms(F.col("lon_text"))
     if surveys is not None:
         s = surveys.select(file_name(F.col("local_id")).alias("file"), "datum")
@@ -84,8 +114,11 @@ def area(spark: SparkSession, path: str) -> DataFrame:
     return t.select("seq", line[0].cast("double").alias("x"), line[1].cast("double").alias("y"))
 
 
-def npy_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """cell, cdi, h, w, data of .npy files named cell_<cell>_..._<cdi>[_...].npy; NaN is NULL."""
+def npy_tiles(spark: SparkSession, path: str, which: Column | None = None) -> DataFrame:
+    """cell, cdi, h, w, data of .npy files named cell_<cell>_..._<cdi>[_...].npy; NaN is NULL.
+
+    `which`: a condition on cell and cdi. Both are in the files' names, so Spark prunes the others when it lists the folder: they are
+    never opened. A condition on the result would come after reading."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +131,13 @@ def npy_tiles(spark: SparkSession, path: str) -> DataFrame:
                     ["cell", "cdi", "h", "w", "data"],
                 )
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInArrow(load, "cell int, cdi long, h int, w int, data array<double>")
+    part = lambda i: F.split(F.substring_index("_metadata.file_name", ".", 1), "_")[i]
+    files = spark.read.format("binaryFile").load(path)
+    if which is not None:
+        files = files.select("content", F.col("_metadata.file_name").alias("name"), part(1).cast("int").alias("cell"), part(3).cast("long").alias("cdi")).where(which)
+    else:
+        files = files.select("content", F.col("_metadata.file_name").alias("name"))
+    return files.select("name", "content").mapInArrow(load, "cell int, cdi long, h int, w int, data array<double>")
 
 
 def shapes(spark: SparkSession, path: str) -> DataFrame:
