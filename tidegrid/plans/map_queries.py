@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import coords
-from tidegrid.operators import change, costmap, raster, routes, vector
+from tidegrid.operators import change, costmap, raster, routes, thinning, vector
 
 from . import tables
 from .tables import COLS, ROWS
@@ -163,6 +163,20 @@ def route_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(routes.mask_cost(cells, _layer(spark, sf_dir)), "run_id").withColumn("cost", F.round("cost", 6))
 
 
+def _wide_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels within one of each route's line."""
+    cells = vector.line_cells(_segments(spark, sf_dir)).withColumnRenamed("id", "run_id")
+    near = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
+    return cells.select("run_id", "row", "col", near.alias("s")).select("run_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).distinct()
+
+
+def thin_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of each route's wide mask, and of the mask thinned to lines of one pixel."""
+    wide = _wide_masks(spark, sf_dir)
+    thin = thinning.thinned(wide, ("run_id",)).groupBy("run_id").agg(F.count(F.lit(1)).alias("thin"))
+    return wide.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).join(thin, "run_id")
+
+
 def route_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean signed rate of change, over all survey pairs, at the cells of each route."""
     rates = change.rates(change.pairs(tables.pixels(spark, sf_dir)), signed=True)
@@ -197,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         utm_to_degrees, degrees_to_utm, parsed_degrees, grid_positions, polygon_areas, points_in_polygons, survey_hulls, clipped_routes,
-        depth_profiles, route_measures, route_frequency, turn_legality, heading_changes, heat_grid, route_masks, route_change, noisy_routes, consensus_route,
+        depth_profiles, route_measures, route_frequency, turn_legality, heading_changes, heat_grid, route_masks, thin_routes, route_change, noisy_routes, consensus_route,
     )
 }
 
