@@ -85,6 +85,26 @@ def test_whole_blocks_only(spark):
     assert grid(raster.block_reduce(pixels(spark, b), 4, "max"), (1, 1)).tolist() == [[3]]
 
 
+def test_smooth_filled_until_nothing_is_missing(spark):
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(30, 40)) + 50
+    a[5:25, 3:37] = np.nan  # beyond the reach of one pass
+    got = grid(focal.smooth_filled(pixels(spark, a), 1.0, 30, 40), a.shape)
+    ok, want = np.isfinite(a), a.copy()
+    w = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    kernel, passes = np.outer(w, w) / w.sum() ** 2, 0
+    while not np.isfinite(want).all():
+        wide, before, passes = np.pad(want, 4, mode="edge"), want.copy(), passes + 1
+        for r, c in np.argwhere(~np.isfinite(before)):
+            box = wide[r : r + 9, c : c + 9]
+            some = np.isfinite(box)
+            if some.any():
+                want[r, c] = (box[some] * kernel[some]).sum() / kernel[some].sum()
+    assert passes > 1 and np.allclose(got, want, atol=1e-9) and np.array_equal(got[ok], a[ok])
+    empty = focal.smooth_filled(pixels(spark, np.full((3, 4), np.nan)), 1.0, 3, 4)
+    assert empty.count() == 12 and empty.where("v IS NOT NULL").count() == 0
+
+
 def test_gaussian_is_the_kernel(spark):
     a = np.random.default_rng(0).normal(size=(14, 11))
     got = grid(focal.gaussian(pixels(spark, a), 1.3, 14, 11), a.shape)

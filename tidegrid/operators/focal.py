@@ -7,7 +7,10 @@ are the partitions, so a frame never leaves a task, and a task holds a row or co
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,22 +107,54 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian(pixels: DataFrame, sigma: float, rows: int, cols: int, normalise: bool = True, keys: tuple[str, ...] = TILE) -> DataFrame:
+def smooth(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
+    """Gaussian filter of a raster; beyond its edges it goes on as `mode` of numpy's pad says."""
+    w = np.array(gaussian_weights(sigma))
+    for axis in (0, 1):
+        wide = np.pad(a, [(len(w) // 2,) * 2 if x == axis else (0, 0) for x in (0, 1)], mode=mode)
+        a = np.lib.stride_tricks.sliding_window_view(wide, len(w), axis) @ w[::-1]
+    return a
+
+
+def _on_rasters(pixels: DataFrame, f: Callable[[np.ndarray], np.ndarray], rows: int, cols: int, keys: tuple[str, ...]) -> DataFrame:
+    """`pixels` (keys, row, col, v) with v = f(raster), a tile in a group; missing values are NaN inside and NULL outside."""
+    names, kinds = [*keys, "row", "col"], dict(pixels.dtypes)
+
+    def mapped(t: pa.Table) -> pa.Table:
+        row, col = (t.column(c).to_numpy() for c in ("row", "col"))
+        a = np.full((rows, cols), np.nan)
+        a[row, col] = t.column("v").to_numpy()
+        out = f(a)[row, col]
+        return t.select(names).append_column("v", pa.array(out, mask=~np.isfinite(out)))
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", v double"
+    return pixels.select(*names, F.col("v").cast("double").alias("v")).groupBy(*keys).applyInArrow(mapped, schema)
+
+
+def _weighted(a: np.ndarray, sigma: float, mode: str) -> np.ndarray:
+    """Weighted values over the weights there are; NaN where there is none within reach."""
+    ok = np.isfinite(a)
+    value, weight = smooth(np.where(ok, a, 0.0), sigma, mode), smooth(ok.astype(float), sigma, mode)
+    return np.divide(value, weight, out=np.full(a.shape, np.nan), where=weight > 0)
+
+
+def gaussian(pixels: DataFrame, sigma: float, rows: int, cols: int, normalise: bool = True, keys: tuple[str, ...] = TILE, mode: str = "symmetric") -> DataFrame:
     """Gaussian filter, mirrored at the edges. With `normalise`, missing values count for nothing: weighted
-    values over the weights there are; else a missing value is 0.
+    values over the weights there are; else a missing value is 0. A tile, whose size is bounded, is filtered as one array."""
+    return _on_rasters(pixels, lambda a: _weighted(a, sigma, mode) if normalise else smooth(np.nan_to_num(a), sigma, mode), rows, cols, keys)
 
-    Along an axis a pixel gets the values of its window as one array, so no row is multiplied.
-    """
-    weights = gaussian_weights(sigma)
-    arm = len(weights) // 2
-    p = pixels.withColumns({"a": F.coalesce("v", F.lit(0.0)), "b": F.col("v").isNotNull().cast("double") if normalise else F.lit(1.0)})
-    for axis, n, other in (("row", rows, "col"), ("col", cols, "row")):
-        lines = p.groupBy(*keys, other).agg(F.sort_array(F.collect_list(F.struct(axis, "a", "b"))).alias("line"))
-        at = f"CASE WHEN i + k < 0 THEN -1 - i - k WHEN i + k >= {n} THEN {2 * n - 1} - i - k ELSE i + k END"
-        ws = "array(" + ", ".join(f"{w!r}D" for w in weights) + ")"
-        total = lambda f: f"aggregate(transform({ws}, (w, j) -> w * get(line, {at.replace('k', f'(j - {arm})')}).{f}), 0D, (s, x) -> s + x)"
-        p = lines.select(*keys, other, F.explode(F.expr(f"transform(line, (x, i) -> struct(x.{axis} AS {axis}, {total('a')} AS a, {total('b')} AS b))")).alias("x")).select(*keys, other, "x.*")
-    return p.select(*keys, "row", "col", (F.col("a") / F.nullif(F.col("b"), F.lit(0.0))).alias("v"))
+
+def smooth_filled(pixels: DataFrame, sigma: float, rows: int, cols: int, keys: tuple[str, ...] = TILE, mode: str = "edge") -> DataFrame:
+    """Dense tiles whose missing pixels get the weighted mean of the values within reach of a Gaussian; where none is in reach, of those
+    filled before, until none is missing. Values stay as they are; filling keeps to the mean, as weights are shares. A tile without a
+    value stays empty."""
+
+    def fill(a: np.ndarray) -> np.ndarray:
+        while not (ok := np.isfinite(a)).all() and ok.any():
+            a = np.where(ok, a, _weighted(a, sigma, mode))
+        return a
+
+    return _on_rasters(pixels, fill, rows, cols, keys)
 
 
 def relative_height(responses: DataFrame, n: int, keys: tuple[str, ...] = TILE) -> DataFrame:

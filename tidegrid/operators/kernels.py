@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .focal import gaussian_weights, relative_height
+from .focal import relative_height, smooth
 
 TILE = ("cell", "cdi")
 
@@ -37,14 +37,6 @@ def on_tiles(tiles: DataFrame, f: Callable[..., np.ndarray], keys: tuple[str, ..
     return tiles.select(*names, "data", *(c for c in extra if c not in names)).mapInArrow(mapped, schema)
 
 
-def smooth(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
-    w = np.array(gaussian_weights(sigma))
-    for axis in (0, 1):
-        wide = np.pad(a, [(len(w) // 2,) * 2 if x == axis else (0, 0) for x in (0, 1)], mode=mode)
-        a = np.lib.stride_tricks.sliding_window_view(wide, len(w), axis) @ w[::-1]
-    return a
-
-
 def nearest(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distance to the nearest valid pixel, and its flat index; exact, first along rows, then over the rows, one column at a time."""
     h, w = valid.shape

@@ -60,6 +60,11 @@ def gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_row(focal.gaussian(_dense(spark, sf_dir), 1.5, ROWS, COLS))
 
 
+def smooth_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing pixels filled from what lies within reach of a Gaussian; where nothing does, from what was filled before."""
+    return _by_row(focal.smooth_filled(_dense(spark, sf_dir), 1.5, ROWS, COLS))
+
+
 def relative_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response of 180 angles above that of the angles around, and the angle where it is largest."""
     e = tables.soundings(spark, sf_dir).groupBy("cdi", (F.floor(F.col("e")) % 180).cast("int").alias("angle")).agg(F.avg("depth").alias("v"))
@@ -121,7 +126,7 @@ def fill_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        local_spread, local_variance, local_extremes, sobel, gradient, gaussian, relative_response, label_regions, closed_labels,
+        local_spread, local_variance, local_extremes, sobel, gradient, gaussian, smooth_fill, relative_response, label_regions, closed_labels,
         cleaned_labels, filled_tiles, stripe_angles, destriped, fill_parameters,
     )
 }
@@ -135,10 +140,10 @@ def _digest(q: str) -> str:
     return f"SELECT cell, cdi, count(*) AS n, round(avg(v), 7) AS mean, round(sum(v * (row * 50 + col)) / 50 / 50, 5) AS moment FROM ({q}) WHERE v IS NOT NULL GROUP BY ALL"
 
 
-def _mirror(q: str, a: int) -> str:
-    """All pixels, and those mirrored beyond the edges by up to `a`."""
+def _mirror(q: str, a: int, edge: bool = False) -> str:
+    """All pixels, and those mirrored beyond the edges by up to `a`, or the edge's own."""
     ext = lambda axis: f"(SELECT unnest(range(-{a}, {50 + a})) AS {axis}_to)"
-    fold = lambda x: f"CASE WHEN {x} < 0 THEN -1 - {x} WHEN {x} > 49 THEN 99 - {x} ELSE {x} END"
+    fold = lambda x: f"CASE WHEN {x} < 0 THEN {0 if edge else f'-1 - {x}'} WHEN {x} > 49 THEN {49 if edge else f'99 - {x}'} ELSE {x} END"
     return f"(SELECT cell, cdi, row_to AS row, col_to AS col, v FROM {q} p JOIN {ext('row')} r ON p.row = {fold('row_to')} JOIN {ext('col')} c ON p.col = {fold('col_to')})"
 
 
@@ -172,6 +177,9 @@ ORACLES = {
     "gaussian": f"""WITH g AS {_GAUSS}, m AS {_mirror(P, 6)}, r AS (SELECT cell, cdi, row + d AS row, col, sum(v * w) AS a, sum(w) AS b FROM m, g GROUP BY ALL),
       c AS (SELECT cell, cdi, row, col + d AS col, sum(a * w) AS a, sum(b * w) AS b FROM r, g WHERE row BETWEEN 0 AND 49 GROUP BY ALL)
       {_digest('SELECT cell, cdi, row, col, a / b AS v FROM c WHERE col BETWEEN 0 AND 49')}""",
+    "smooth_fill": f"""WITH g AS {_GAUSS}, m AS {_mirror(P, 6, True)}, r AS (SELECT cell, cdi, row + d AS row, col, sum(v * w) AS a, sum(w) AS b FROM m, g GROUP BY ALL),
+      c AS (SELECT cell, cdi, row, col + d AS col, sum(a * w) AS a, sum(b * w) AS b FROM r, g WHERE row BETWEEN 0 AND 49 GROUP BY ALL)
+      {_digest(f'SELECT c.cell, c.cdi, c.row, c.col, coalesce(p.v, a / b) AS v FROM c LEFT JOIN {P} p ON c.cell = p.cell AND c.cdi = p.cdi AND c.row = p.row AND c.col = p.col WHERE c.col BETWEEN 0 AND 49')}""",
     "relative_response": tables.text(f"""WITH r AS (SELECT cdi, CAST(floor(e) % 180 AS INT) AS angle, avg(depth) AS v FROM ({tables.SOUNDINGS}) GROUP BY ALL),
       h AS (SELECT a.cdi, a.angle, a.v - avg(b.v) AS height FROM r a JOIN r b ON a.cdi = b.cdi AND (b.angle - a.angle + 364) % 180 < 8 GROUP BY a.cdi, a.angle, a.v)
       SELECT cdi, angle, round(height, 9) AS height FROM h QUALIFY row_number() OVER (PARTITION BY cdi ORDER BY round(height, 9) DESC, angle) = 1"""),
