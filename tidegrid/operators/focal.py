@@ -144,13 +144,15 @@ def gaussian(pixels: DataFrame, sigma: float, rows: int, cols: int, normalise: b
     return _on_rasters(pixels, lambda a: _weighted(a, sigma, mode) if normalise else smooth(np.nan_to_num(a), sigma, mode), rows, cols, keys)
 
 
-def smooth_filled(pixels: DataFrame, sigma: float, rows: int, cols: int, keys: tuple[str, ...] = TILE, mode: str = "edge") -> DataFrame:
+def smooth_filled(pixels: DataFrame, sigma: float, rows: int, cols: int, keys: tuple[str, ...] = TILE, mode: str = "edge", most: int | None = None) -> DataFrame:
     """Dense tiles whose missing pixels get the weighted mean of the values within reach of a Gaussian; where none is in reach, of those
-    filled before, until none is missing. Values stay as they are; filling keeps to the mean, as weights are shares. A tile without a
+    filled before, until none is missing or `most` passes are over. Values stay as they are; filling keeps to the mean, as weights are shares. A tile without a
     value stays empty."""
 
     def fill(a: np.ndarray) -> np.ndarray:
-        while not (ok := np.isfinite(a)).all() and ok.any():
+        passes = 0
+        while passes != most and not (ok := np.isfinite(a)).all() and ok.any():
+            passes += 1
             a = np.where(ok, a, _weighted(a, sigma, mode))
         return a
 

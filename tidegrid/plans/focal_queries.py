@@ -61,8 +61,8 @@ def gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smooth_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing pixels filled from what lies within reach of a Gaussian; where nothing does, from what was filled before."""
-    return _by_row(focal.smooth_filled(_dense(spark, sf_dir), 1.5, ROWS, COLS))
+    """Missing pixels filled once from what lies within reach of a Gaussian."""
+    return _by_row(focal.smooth_filled(_dense(spark, sf_dir), 1.5, ROWS, COLS, most=1))
 
 
 def relative_response(spark: SparkSession, sf_dir: str) -> DataFrame:
