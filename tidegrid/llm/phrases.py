@@ -243,8 +243,8 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: np.ndarray |
 
 def proposed(docs: DataFrame, least: int, sample: int = SAMPLE) -> DataFrame:
     """lang, phrase: phrases of up to LONGEST - 1 words frequent in a sample of `docs`, one stretch in `sample` by a hash, at a threshold
-    two deviations below nine tenths (phrases over an edge are lost) of what `least` would come to there. With every phrase its parts are proposed."""
-    low = max(1, math.floor(0.9 * least / sample - 2 * math.sqrt(least / sample)))
+    a deviation below nine tenths (phrases over an edge are lost) of what `least` would come to there. With every phrase its parts are proposed."""
+    low = max(1, math.floor(0.9 * least / sample - math.sqrt(least / sample)))
     found = saved(phrase_counts(docs, (1, 2), sample=sample).where((F.col("k") > 0) & (F.col("n") >= low)))
     longer = phrase_counts(docs, tuple(range(3, LONGEST)), filter_of(found), known_to=2, sample=sample)
     return found.unionByName(saved(longer.where((F.col("k") > 0) & (F.col("n") >= low)))).select("lang", "phrase")
