@@ -105,6 +105,30 @@ def test_smooth_filled_until_nothing_is_missing(spark):
     assert empty.count() == 12 and empty.where("v IS NOT NULL").count() == 0
 
 
+def test_prominence_of_stripes(spark):
+    rng = np.random.default_rng(12)
+    y, x = np.mgrid[:60, :60]
+    noise = rng.normal(size=(60, 60))
+    tiles = raster.to_tiles(pixels(spark, noise + 4 * np.sin(x * 2.2)).unionByName(pixels(spark, noise, 1)), 60, 60)
+    angles = spark.createDataFrame([(c, 0, a) for c in (0, 1) for a in (0, 90)], "cell int, cdi long, angle int")
+    got = {}
+    for a in (0, 90):
+        for r in kernels.prominence(tiles, angles.where(f"angle = {a}")).collect():
+            got[r.cell, a] = r.v
+    along = max(got[0, 0], got[0, 90])  # the stripes' own direction stands out, in noise neither does
+    others = [min(got[0, 0], got[0, 90]), got[1, 0], got[1, 90]]
+    assert along > max(others) + 0.05, got
+
+
+def test_positions_must_be_valid(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(52.0, 4.0), (52.3, 4.0), (52.3, 4.01), (nan, 4.0), (52.0, None)], "lat double, lon double")
+    assert {(r.row, r.col): r.n for r in raster.position_grid(df, 0.25).collect()} == {(0, 0): 1, (1, 0): 2}
+    for points, size in ((df, 0.0), (df.where("lon IS NULL"), 0.25)):
+        with pytest.raises(ValueError):
+            raster.position_grid(points, size)
+
+
 def test_gaussian_is_the_kernel(spark):
     a = np.random.default_rng(0).normal(size=(14, 11))
     got = grid(focal.gaussian(pixels(spark, a), 1.3, 14, 11), a.shape)

@@ -80,6 +80,11 @@ def noisy(layer: DataFrame, sigma: float, seed: int) -> DataFrame:
     return layer.withColumn("v", F.when(F.col("v") != 0, F.col("v") + sigma * z).otherwise(F.col("v")))
 
 
+def cost_at(places: DataFrame, layer: DataFrame) -> DataFrame:
+    """`places` (row, col and others) with v, the layer's cost there; those beside the map are left out."""
+    return places.join(layer.select("row", "col", "v"), ["row", "col"]).select(*places.columns, "v")
+
+
 def passable(v: Column) -> Column:
     return (v > 0) & (v < float("inf"))
 

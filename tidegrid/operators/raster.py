@@ -134,6 +134,19 @@ def point_counts(points: DataFrame, size: float, x0: float, y0: float, rows: int
     return at.groupBy(last("n", y0, rows).alias("row"), last("e", x0, cols).alias("col")).agg(F.count(F.lit(1)).alias("v"))
 
 
+def position_grid(points: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """row, col, n: positions (lat, lon) with both coordinates, neither NULL nor NaN, in bins of `size` degrees from the least ones less
+    `margin` on. An error if the size isn't positive or there is no such position."""
+    if size <= 0:
+        raise ValueError("the size of a bin must be positive")
+    good = points.where("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
+    low = good.agg(F.min("lat"), F.min("lon")).first()
+    if low[0] is None:
+        raise ValueError("no position has both coordinates")
+    at = lambda c, v: F.floor((F.col(c) - (F.lit(v) - F.lit(float(margin)))) / size).cast("int")
+    return good.groupBy(at("lat", low[0]).alias("row"), at("lon", low[1]).alias("col")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram(df: DataFrame, v: str, low: float, high: float, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts of equal bins; the last one holds its upper edge."""
     at = F.least(F.floor((F.col(v) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")

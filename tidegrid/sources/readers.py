@@ -166,6 +166,11 @@ def shapes(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(vertices, "file string, id long, part int, seq int, x double, y double")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header, a file a partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_tiles(pixels: DataFrame, path: str) -> None:
     """Pixels as Parquet, a folder a cell, so that a read of some cells skips the others."""
     pixels.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
