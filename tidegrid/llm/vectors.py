@@ -77,7 +77,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame
     Each row of `candidates` is a candidate, but for one alike in vec_id and embedding, which is the query itself; rows with its
     vec_id and another embedding, and further copies of it, are others. Ties go to the smaller vec_id. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows without vec_id, take no part; vectors meet only those of their length.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Products beyond the range of doubles, and of vectors with no component above 1e-305, which
+    single precision can't hold either, aren't found.
 
     Rows alike are computed once and counted. Queries and candidates are dealt to blocks by a hash, so that a tile is one block of
     each, and every tile returns at most k candidates a query. Work and rows moved follow queries x candidates.
