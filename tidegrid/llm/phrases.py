@@ -254,7 +254,6 @@ def frequent_phrases(docs: DataFrame, least: int, sample: int = SAMPLE) -> tuple
     """lang, k, phrase, n of all phrases of up to LONGEST words that occur `least` times in a language of `docs` (lang, text); and the
     same with all words of a language, k = 0."""
     guess = saved(proposed(docs, least, sample))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # Spark drops shuffle files when the driver's JVM collects what refers to them: the sample's go now
     out = saved(phrase_counts(docs, tuple(range(1, LONGEST + 1)), filter_of(guess)).where((F.col("k") == 0) | (F.col("n") >= least)))
     totals, found = out.where("k = 0"), out.where("k > 0")
     # the border's failures: frequent, but not proposed
