@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegrid.operators import mosaic
+from tidegrid.operators import mosaic, raster
 
 
 def cells(spark, a, key=None):
@@ -132,3 +132,14 @@ def test_filled(spark, most, side):
     for r in mosaic.filled(cells(spark, a), most, side).collect():
         got[r.row, r.col] = np.nan if r.v is None else r.v
     assert np.array_equal(got, want, equal_nan=True)
+
+
+def test_dense_without_a_join(spark):
+    """Tiles are made whole in place: a joined grid packs so well that Spark takes it for small and sends it through the driver."""
+    rows = [(0, 0, 1, 2.5), (0, 2, 0, None), (1, 1, 1, None), (2, 5, 0, 1.0), (2, 0, -1, 1.0), (2, 1, 2, 3.0)]
+    p = spark.createDataFrame(rows, "cell int, row int, col int, v double")
+    got = raster.dense(p, 3, 3, ("cell",))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.cell, r.row, r.col): r.v for r in got.collect()}
+    assert sorted(got) == [(c, y, x) for c in range(3) for y in range(3) for x in range(3)]
+    assert {k: v for k, v in got.items() if v is not None} == {(0, 0, 1): 2.5, (2, 1, 2): 3.0}

@@ -73,7 +73,7 @@ def regions(cells: DataFrame, side: int = SIDE, keys: tuple[str, ...] = ()) -> D
         roots = roots.join(least, "root").select(*keys, "label", "region")
     else:
         roots = smallest_reached(links).select(F.col("node").alias("label"), F.col("root").alias("region"))
-    out = found.join(roots, [*keys, "label"], "left")
+    out = found.join(roots.hint("merge"), [*keys, "label"], "left")  # as many as there are borders: never through the driver
     return out.select(*names, F.coalesce("region", "label").alias("region"))
 
 

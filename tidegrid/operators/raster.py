@@ -74,24 +74,34 @@ def demeaned(pixels: DataFrame, keys: tuple[str, ...] = TILE) -> DataFrame:
 
 
 def dense(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """Every pixel of the tiles that have any; NULL where there is no value."""
-    grid = pixels.select(*keys).distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    return grid.join(pixels, [*keys, "row", "col"], "left")
+    """Every pixel of the tiles that have any; NULL where there is no value. `pixels` has each place of a tile once.
+
+    Pixels are gathered by tile and the gaps between them filled in there: no grid is shuffled or joined, and what follows finds a
+    tile's pixels in one place.
+    """
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    return to_pixels(_arrays(pixels, rows, cols, keys, F.col("v").isNotNull() & inside), keys)
 
 
 def to_tiles(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
     """keys, h, w, data: a row a tile, row by row, NULL where there is no value; `pixels` has each place of a tile once.
 
-    Tiles are spread over all shuffle partitions, as what follows takes long for the bytes of a tile. The array is put together from
-    the sorted values and the gaps after each, in one pass.
+    Tiles are spread over all shuffle partitions, as what follows takes long for the bytes of a tile.
     """
+    return _arrays(pixels.where("v IS NOT NULL"), rows, cols, keys)
+
+
+def _arrays(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...], where: Column | None = None) -> DataFrame:
+    """to_tiles() of the pixels that meet a condition, and an empty tile where none does. The array is put together from the sorted
+    values and the gaps after each, in one pass."""
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(None).cast(dict(pixels.dtypes)["v"])
-    place = (F.col("row") * cols + F.col("col")).cast("int").alias("k")
-    tiles = pixels.where("v IS NOT NULL").repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place, "v"))).alias("_s"))
+    place = F.struct((F.col("row") * cols + F.col("col")).cast("int").alias("k"), "v")
+    tiles = pixels.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(place if where is None else F.when(where, place))).alias("_s"))
     after = lambda i: F.coalesce(F.get("_s", i + 1)["k"], F.lit(rows * cols))
     parts = F.transform("_s", lambda x, i: F.concat(F.array(x["v"]), F.array_repeat(none, after(i) - x["k"] - 1)))
-    data = F.flatten(F.concat(F.array(F.array_repeat(none, F.get("_s", F.lit(0))["k"])), parts))
+    first = F.coalesce(F.get("_s", F.lit(0))["k"], F.lit(rows * cols))
+    data = F.flatten(F.concat(F.array(F.array_repeat(none, first)), parts))
     return tiles.select(*keys, F.lit(rows).alias("h"), F.lit(cols).alias("w"), data.alias("data"))
 
 

@@ -24,7 +24,7 @@ def _map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of deep pixels over all cells, and their sizes."""
     found = saved(mosaic.regions(_map(spark, sf_dir).where(F.col("v") > HIGH), 50))
-    return found.join(mosaic.region_sizes(found), "region").select("row", "col", "region", "size")
+    return found.join(mosaic.region_sizes(found).hint("merge"), "region").select("row", "col", "region", "size")
 
 
 def map_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
