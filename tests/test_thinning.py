@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegrid.operators import thinning
+from tidegrid.operators import labels, thinning
 from tidegrid.plans import map_queries
 
 
@@ -59,6 +59,23 @@ def shapes():
     return [block, ring, line, stairs, rng.random((20, 20)) < 0.6, np.ones((1, 9), bool), np.ones((7, 9), bool)]
 
 
+@pytest.mark.parametrize("side, rounds", [(256, 8), (16, 1), (10, 2)])
+def test_thinned_in_tiles(spark, side, rounds):
+    """Masks of many tiles, some left of 0 and wider than the margin, come out as from one piece."""
+    for m in [shapes()[1], shapes()[2], shapes()[4], np.ones((31, 42), bool)]:
+        d = mask_of(spark, m).selectExpr("run", "row - 7 AS row", "col - 20 AS col")
+        got = {(r.row + 7, r.col + 20) for r in thinning.thinned(d.union(d.limit(5)), ("run",), side, rounds).collect()}
+        assert got == slow(m)
+
+
+def test_small_masks_in_one_pass(spark, monkeypatch):
+    """Masks within a tile are written once; before, once a round."""
+    written = []
+    monkeypatch.setattr(thinning, "saved", lambda df: written.append(1) or labels.saved(df))
+    assert thinning.thinned(mask_of(spark, np.ones((20, 30), bool)), ("run",)).count()
+    assert len(written) == 1
+
+
 def test_thinned_masks(spark):
     every = None
     for i, m in enumerate(shapes()):
