@@ -143,3 +143,17 @@ def test_dense_without_a_join(spark):
     got = {(r.cell, r.row, r.col): r.v for r in got.collect()}
     assert sorted(got) == [(c, y, x) for c in range(3) for y in range(3) for x in range(3)]
     assert {k: v for k, v in got.items() if v is not None} == {(0, 0, 1): 2.5, (2, 1, 2): 3.0}
+
+
+def test_gaps_filled_without_copies(spark):
+    """Only single gaps inside are filled, and no pixel is sent to its neighbours as a row of its own."""
+    a = np.arange(20.0).reshape(4, 5)
+    a[1, 1] = a[2, 3] = a[2, 4] = a[0, 3] = np.nan
+    got = raster.gaps_filled(cells(spark, a, 0), ("map",))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = a.copy()
+    want[1, 1] = (1 + 11 + 5 + 7) / 4
+    found = np.full(a.shape, np.nan)
+    for r in got.collect():
+        found[r.row, r.col] = np.nan if r.v is None else r.v
+    assert np.array_equal(found, want, equal_nan=True)
