@@ -190,9 +190,8 @@ def scenario_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of each cell's route in both scenarios, and by how many per cent it is below that of the proposed way along the diagonal."""
     maps = _scenarios(spark, sf_dir)
     found = routes.routes(maps, ROWS, COLS, START, GOAL, turn=1, momentum=2).groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"), F.max("g").alias("cost"))
-    straight = maps.where("run_id % 2 = 0 AND row = col AND row BETWEEN 3 AND 45").groupBy(F.floor(F.col("run_id") / 2).alias("cell")).agg((F.sum("v") * 2**0.5).alias("diagonal"))
-    end = maps.where(f"run_id % 2 = 0 AND row = {GOAL[0]} AND col = {GOAL[1]}").select(F.floor(F.col("run_id") / 2).alias("cell"), F.col("v").alias("last"))
-    proposed = straight.join(end, "cell").select("cell", (F.col("diagonal") + F.col("last")).alias("proposed"))
+    diagonal, last = F.when(F.expr("row = col AND row BETWEEN 3 AND 45"), F.col("v")), F.when((F.col("row") == GOAL[0]) & (F.col("col") == GOAL[1]), F.col("v"))
+    proposed = maps.where("run_id % 2 = 0").groupBy(F.floor(F.col("run_id") / 2).alias("cell")).agg((F.sum(diagonal) * 2**0.5 + F.max(last)).alias("proposed"))
     out = found.withColumn("cell", F.floor(F.col("run_id") / 2)).join(proposed, "cell")
     return _rounded(out.select("cell", (F.col("run_id") % 2).cast("int").alias("scenario"), "steps", "cost", "proposed", (100 * (F.col("proposed") - F.col("cost")) / F.col("proposed")).alias("reduction")))
 
@@ -200,9 +199,7 @@ def scenario_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of each cell's recorded search, one every 500 states: pixels seen so far and the dearest state settled."""
     seen = routes.searches(_scenarios(spark, sf_dir).where("run_id % 2 = 0"), ROWS, COLS, START, GOAL, turn=1, momentum=2)
-    first = routes.first_visits(seen).groupBy("run_id", F.floor(F.col("first") / 500).alias("frame")).agg(F.count(F.lit(1)).alias("new"))
-    top = seen.groupBy("run_id", F.floor(F.col("step") / 500).alias("frame")).agg(F.round(F.max("g"), 6).alias("g"))
-    return top.join(first, ["run_id", "frame"], "left").select("run_id", "frame", F.coalesce("new", F.lit(0)).alias("new"), "g")
+    return seen.groupBy("run_id", F.floor(F.col("step") / 500).alias("frame")).agg(F.count_if("new").alias("new"), F.round(F.max("g"), 6).alias("g"))
 
 
 def traced_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
