@@ -1,11 +1,12 @@
 """Steps whose work must not outgrow their input: searches of all states at once, tiles in place, cells of routes, hulls before the shuffle."""
 
 import heapq
+import re
 
 import numpy as np
 import pytest
 
-from tidegrid.operators import routes
+from tidegrid.operators import crossings, routes
 
 
 def settled_in_turn(cost, start, goal, momentum):
@@ -39,3 +40,21 @@ def test_searches_tell_new_places(spark):
     seen = routes.searches(maps, 9, 8, (0, 0), (8, 7), momentum=2)
     first = {(r.row, r.col): r.first for r in routes.first_visits(seen).collect()}
     assert {(r.row, r.col): r.step for r in seen.where("new").collect()} == first
+
+
+def exchanges(df) -> int:
+    """Shuffles in the plan that ran."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    return len(re.findall(r"(?<!Reused)Exchange (?:hash|range|single)", re.sub(r"ReusedExchange", "", final)))
+
+
+def test_cells_of_a_line_stay_with_it(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, k, *map(float, rng.uniform(0, 50, 4))) for i in range(5) for k in range(30)]
+    s = spark.createDataFrame(rows, "id long, seq int, ax double, ay double, bx double, by double")
+    whole = crossings.cells_along(s.repartition(4, "id"), 10.0)
+    assert exchanges(whole) == 1
+    cells = {(r.id, r.row, r.col) for r in whole.collect()}
+    assert cells == {tuple(r) for r in crossings.touched(s, 10.0).collect()}

@@ -109,16 +109,23 @@ def areas(vertices: DataFrame) -> DataFrame:
     return e.groupBy("id").agg((F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("area"))
 
 
-def clipped(segments: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
-    """Segments (ax, ay, bx, by) cut to a box by Liang and Barsky's limits t0 <= t1; those outside go."""
+def clip_limits(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column, Column]:
+    """Where segments (ax, ay, bx, by) enter and leave a box, as shares of their length, by Liang and Barsky's limits, and whether they do."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     lows, highs, ok = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
-    for d, a, lo, hi in ((dx, F.col("ax"), F.col(x0), F.col(x1)), (dy, F.col("ay"), F.col(y0), F.col(y1))):
+    for d, a, lo, hi in ((dx, F.col("ax"), x0, x1), (dy, F.col("ay"), y0, y1)):
         s, e = F.when(d != 0, (lo - a) / d), F.when(d != 0, (hi - a) / d)
         lows.append(F.coalesce(F.least(s, e), F.lit(0.0)))
         highs.append(F.coalesce(F.greatest(s, e), F.lit(1.0)))
         ok = ok & ((d != 0) | a.between(lo, hi))
-    out = segments.withColumns({"t0": F.greatest(*lows), "t1": F.least(*highs)}).where(ok).where("t0 <= t1")
+    return F.greatest(*lows), F.least(*highs), ok & (F.greatest(*lows) <= F.least(*highs))
+
+
+def clipped(segments: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """Segments (ax, ay, bx, by) cut to a box; those outside go."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t0, t1, ok = clip_limits(*map(F.col, (x0, y0, x1, y1)))
+    out = segments.withColumns({"t0": t0, "t1": t1}).where(ok)
     x, y = (lambda t: F.col("ax") + F.col(t) * dx), (lambda t: F.col("ay") + F.col(t) * dy)
     return out.withColumns({"cx": x("t0"), "cy": y("t0"), "dx": x("t1"), "dy": y("t1")})
 
