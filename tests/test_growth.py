@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from tidegrid.operators import crossings, routes
+from pyspark.sql import functions as F
+
+from tidegrid.operators import crossings, focal, labels, routes
 
 
 def settled_in_turn(cost, start, goal, momentum):
@@ -58,3 +60,53 @@ def test_cells_of_a_line_stay_with_it(spark):
     assert exchanges(whole) == 1
     cells = {(r.id, r.row, r.col) for r in whole.collect()}
     assert cells == {tuple(r) for r in crossings.touched(s, 10.0).collect()}
+
+
+def sparse(spark, rng, n=9, m=11, tiles=3, share=0.5):
+    a = np.where(rng.random((tiles, n, m)) < share, rng.uniform(1, 100, (tiles, n, m)), np.nan)
+    rows = [(k, 0, r, c, float(v)) for (k, r, c), v in np.ndenumerate(a) if v == v]
+    return a, spark.createDataFrame(rows, "cell int, cdi long, row int, col int, v double")
+
+
+def test_windows_of_several_sizes_send_pixels_once(spark):
+    a, p = sparse(spark, np.random.default_rng(7))
+    got = focal.local_stds(p.repartition(4, "cell"), (3, 4), 9, 11)
+    assert exchanges(got) == 1 and len(got.collect()) == np.isfinite(a).sum()
+    for r in got.collect():
+        for size in (3, 4):
+            low, high = focal.frame(size)
+            mirror = lambda i, n: -1 - i if i < 0 else 2 * n - 1 - i if i >= n else i
+            b = a[r.cell]
+            # a column's values count where the row of the pixel has one in it
+            cols = [mirror(c, 11) for c in range(r.col + low, r.col + high + 1)]
+            v = [b[mirror(i, 9), c] for c in cols if np.isfinite(b[r.row, c]) for i in range(r.row + low, r.row + high + 1)]
+            assert abs(r[f"s{size}"] - np.nanstd(v)) < 1e-6
+
+
+def test_closings_in_one_pass(spark):
+    mask = (np.random.default_rng(8).random((2, 12, 10)) < 0.1).astype(int)
+    m = spark.createDataFrame([(k, 0, r, c, int(v)) for (k, r, c), v in np.ndenumerate(mask)], "cell int, cdi long, row int, col int, v int")
+    got = {(r.cell, r.times): (r.dilated, r.after) for r in labels.closings(m, (1, 2), 12, 10).collect()}
+    for k, times in got:
+        pad = lambda x, v: np.lib.stride_tricks.sliding_window_view(np.pad(x, times, constant_values=v), (2 * times + 1,) * 2)
+        wide = pad(mask[k], 0).max(axis=(2, 3))
+        edge = np.ones_like(wide)
+        edge[times:-times, times:-times] = wide[times:-times, times:-times]
+        assert got[k, times] == (wide.sum(), pad(edge, 1).min(axis=(2, 3)).sum())
+    assert "Window" not in labels.closed(m, 2, 12, 10)._jdf.queryExecution().executedPlan().toString() and len(got) == 4
+
+
+def test_gradients_send_pixels_once(spark):
+    a, p = sparse(spark, np.random.default_rng(9), share=0.8)
+    moved = p.withColumn("row", F.col("row") + 4).withColumn("col", F.col("col") - 2)
+    got = focal.sobel_magnitude(moved.repartition(4, "cell"))
+    assert exchanges(got) == 1
+    want = {}
+    for k in range(3):
+        for r in range(1, 8):
+            for c in range(1, 10):
+                x, y = (sum(w * a[k, r + i, c + j] for (i, j), w in s.items()) for s in (focal.SOBEL, {(j, i): w for (i, j), w in focal.SOBEL.items()}))
+                if np.isfinite(np.hypot(x, y)):
+                    want[k, r + 4, c - 2] = np.hypot(x, y)
+    have = {(r.cell, r.row, r.col): r.v for r in got.collect()}
+    assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)

@@ -1,7 +1,7 @@
 """Neighbourhoods of pixels, separable wherever the operator is.
 
-A raster is filtered along its columns and then along its rows, by window frames over the pixel number. Tiles
-are the partitions, so a frame never leaves a task, and a task holds a row or column at a time.
+A raster is filtered along its columns and then along its rows. Tiles, whose size is bounded, are the groups: one is
+filtered as an array, so its pixels are sent once whatever the filter, and all that is wanted of a tile is found in one pass.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,34 +23,38 @@ def frame(size: int) -> tuple[int, int]:
     return -(size // 2), size - size // 2 - 1
 
 
-def mirrored(pixels: DataFrame, axis: str, n: int, width: int, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """`pixels` with `width` more beyond both ends of an axis of n, mirrored at the edge (the edge pixel twice)."""
-    i = F.col(axis)
-    places = F.filter(F.array(i, F.when(i < width, -1 - i), F.when(i >= n - width, 2 * n - 1 - i)), lambda x: x.isNotNull())
-    return pixels.withColumn(axis, F.explode(places))
+def _summed(a: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Sums over a moving window along an axis, beyond whose ends the array is mirrored; in the order of the window."""
+    n, arm = a.shape[axis], size // 2
+    at = np.arange(-arm, n + arm)
+    at = np.where(at < 0, -1 - at, np.where(at >= n, 2 * n - 1 - at, at))
+    inside = (at >= 0) & (at < n)  # a mirror shows no more than the array
+    wide = np.take(a, np.where(inside, at, 0), axis) * np.expand_dims(inside, 1 - axis)
+    return sum(np.take(wide, np.arange(d, d + n), axis) for d in range(size))
 
 
-def along(pixels: DataFrame, axis: str, size: int, values: dict[str, Column], keys: tuple[str, ...] = TILE) -> DataFrame:
-    """Aggregates over a moving window of `size` pixels along an axis."""
-    other = "col" if axis == "row" else "row"
-    w = Window.partitionBy(*keys, other).orderBy(axis).rangeBetween(*frame(size))
-    return pixels.select(*keys, "row", "col", *(v.over(w).alias(n) for n, v in values.items()))
+def _moments(a: np.ndarray, there: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, mean and variance of the values in windows; a window's rows are summed at the pixels that are `there`."""
+    ok = np.isfinite(a)
+    v = np.where(ok, a, 0.0)
+    s, q, k = (_summed(np.where(there, _summed(x, size, 0), 0.0), size, 1) for x in (v, v * v, ok.astype(float)))
+    n = np.where(k > 0, k, np.nan)
+    return k, s / n, np.maximum(q / n - (s / n) * (s / n), 0.0)
 
 
 def local_moments(pixels: DataFrame, size: int, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
     """keys, row, col, n, mean, var: of the values in size x size windows, mirrored at the edges.
 
-    Sums of value, square and count are separable, so the work is two window passes whatever the size.
+    Sums of value, square and count are separable, so the work is two passes over a tile's array whatever the size.
     """
-    arm = size // 2
-    p = mirrored(mirrored(pixels, "row", rows, arm, keys), "col", cols, arm, keys)
-    p = p.withColumns({"s": F.coalesce("v", F.lit(0.0)), "q": F.coalesce(F.col("v") * F.col("v"), F.lit(0.0)), "k": F.col("v").isNotNull().cast("long")})
-    sums = {c: F.sum(c) for c in ("s", "q", "k")}
-    p = along(along(p, "row", size, sums, keys), "col", size, sums, keys)
-    p = p.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
-    n = F.nullif(F.col("k"), F.lit(0))
-    mean = F.col("s") / n
-    return p.select(*keys, "row", "col", F.col("k").alias("n"), mean.alias("mean"), F.greatest(F.col("q") / n - mean * mean, F.lit(0.0)).alias("var"))
+    f = lambda a, there: dict(zip(("n", "mean", "var"), _moments(a, there, size)))
+    return _of_rasters(pixels, f, {"n": "long", "mean": "double", "var": "double"}, rows, cols, keys)
+
+
+def local_stds(pixels: DataFrame, sizes: tuple[int, ...], rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
+    """keys, row, col, v and s<size> for each of the sizes: local_std() of all in one pass."""
+    f = lambda a, there: {"v": a, **{f"s{s}": np.sqrt(_moments(a, there, s)[2]) for s in sizes}}
+    return _of_rasters(pixels, f, {"v": "double", **{f"s{s}": "double" for s in sizes}}, rows, cols, keys)
 
 
 def local_std(pixels: DataFrame, size: int, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
@@ -61,19 +65,25 @@ def local_variance(pixels: DataFrame, size: int, rows: int, cols: int, keys: tup
     return local_moments(pixels, size, rows, cols, keys).select(*keys, "row", "col", F.col("var").alias("v"))
 
 
-def extreme(pixels: DataFrame, size: int, how: str, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """`min` or `max` of size x size windows; repeating the edge changes neither, so none is."""
-    f = {"min": F.min, "max": F.max}[how]
-    return along(along(pixels, "row", size, {"v": f("v")}, keys), "col", size, {"v": f("v")}, keys)
+def _extreme(a: np.ndarray, there: np.ndarray, size: int, how: str) -> np.ndarray:
+    """`min` or `max` over the values in windows, NaN where there is none; a window's rows are looked at where pixels are `there`."""
+    least = -np.inf if how == "max" else np.inf
+    f = np.maximum if how == "max" else np.minimum
+    a = np.where(np.isnan(a), least, a)
+    for axis in (0, 1):
+        low, high = -frame(size)[0], frame(size)[1]
+        wide = np.pad(np.where(there, a, least), [(low, high) if x == axis else (0, 0) for x in (0, 1)], constant_values=least)
+        n = a.shape[axis]
+        a = np.take(wide, np.arange(n), axis)
+        for d in range(1, size):
+            a = f(a, np.take(wide, np.arange(d, d + n), axis))
+    return np.where(np.isinf(a), np.nan, a)
 
 
-def stencil(pixels: DataFrame, weights: dict[tuple[int, int], float], keys: tuple[str, ...] = TILE, names: str = "v") -> DataFrame:
-    """Weighted sums of neighbours; NULL where one is missing. Each pixel sends its value to those that read it."""
-    cells = F.array(*(F.struct(F.lit(-r).alias("r"), F.lit(-c).alias("c"), F.lit(float(x)).alias("x")) for (r, c), x in weights.items()))
-    sent = pixels.where("v IS NOT NULL").select(*keys, "row", "col", "v", F.explode(cells).alias("s"))
-    sent = sent.groupBy(*keys, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    out = sent.agg(F.sum(F.col("v") * F.col("s.x")).alias(names), F.count(F.lit(1)).alias("_n"))
-    return out.where(F.col("_n") == len(weights)).drop("_n")
+def extreme(pixels: DataFrame, size: int, how: str, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
+    """`min` or `max` of size x size windows; repeating the edge changes neither, so none is."""
+    kind = dict(pixels.dtypes)["v"]
+    return _of_rasters(pixels, lambda a, there: {"v": _extreme(a, there, size, how)}, {"v": "double"}, rows, cols, keys).withColumn("v", F.col("v").cast(kind))
 
 
 # Sobel's weights.
@@ -81,24 +91,41 @@ SOBEL = {(-1, -1): 1, (-1, 1): -1, (0, -1): 2, (0, 1): -2, (1, -1): 1, (1, 1): -
 
 
 def sobel_magnitude(pixels: DataFrame, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """Gradient of the inner pixels whose eight neighbours have values."""
-    x = stencil(pixels, {k: v for k, v in SOBEL.items()}, keys, "gx")
-    y = stencil(pixels, {(c, r): v for (r, c), v in SOBEL.items()}, keys, "gy")
-    return x.join(y, [*keys, "row", "col"]).select(*keys, "row", "col", F.hypot("gx", "gy").alias("v"))
+    """Gradient of the inner pixels whose eight neighbours have values, wherever in the tile they lie."""
+    names, kinds = [*keys, "row", "col"], dict(pixels.dtypes)
 
+    def mapped(t: pa.Table) -> pa.Table:
+        row, col = (t.column(c).to_numpy() for c in ("row", "col"))
+        r0, c0 = row.min(), col.min()
+        a = np.full((max(3, row.max() - r0 + 1), max(3, col.max() - c0 + 1)), np.nan)
+        a[row - r0, col - c0] = t.column("v").to_numpy()
+        h, w = a.shape
+        gx, gy = (sum(x * a[1 + y : h - 1 + y, 1 + z : w - 1 + z] for (y, z), x in k.items()) for k in (SOBEL, {(c, r): v for (r, c), v in SOBEL.items()}))
+        out = np.hypot(gx, gy)
+        r, c = np.nonzero(np.isfinite(out))
+        own = {k: t.column(k).slice(0, 1).take(pa.array(np.zeros(len(r), np.int64))) for k in keys}
+        at = {k: pa.array(x).cast(t.schema.field(k).type) for k, x in (("row", r + 1 + r0), ("col", c + 1 + c0))}
+        return pa.table({**own, **at, "v": pa.array(out[r, c])})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", v double"
+    return pixels.where("v IS NOT NULL").select(*names, F.col("v").cast("double").alias("v")).groupBy(*keys).applyInArrow(mapped, schema)
 
-def gradient_magnitude(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
-    """Central differences, one-sided at the edges of dense tiles; NULL where a neighbour has no value."""
 
-    def slope(axis: str, n: int) -> Column:
-        other = "col" if axis == "row" else "row"
-        w = Window.partitionBy(*keys, other).orderBy(axis)
-        before, after = F.lag("v").over(w), F.lead("v").over(w)
-        return F.when(F.col(axis) == 0, after - F.col("v")).when(F.col(axis) == n - 1, F.col("v") - before).otherwise((after - before) / 2)
+def slopes(a: np.ndarray) -> np.ndarray:
+    """Length of the gradient of a raster by central differences, one-sided at the edges."""
+    each = []
+    for axis in (0, 1):
+        b = np.moveaxis(a, axis, 0)
+        g = np.full(b.shape, np.nan)
+        if len(b) > 1:
+            g[0], g[-1], g[1:-1] = b[1] - b[0], b[-1] - b[-2], (b[2:] - b[:-2]) / 2
+        each.append(np.moveaxis(g, 0, axis))
+    return np.hypot(*each)
 
-    p = pixels.select(*keys, "row", "col", "v", slope("row", rows).alias("gr"))
-    p = p.select(*keys, "row", "col", "gr", slope("col", cols).alias("gc"))
-    return p.select(*keys, "row", "col", F.hypot("gr", "gc").alias("v"))
+
+def gradient_magnitude(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
+    """Central differences, one-sided at the edges of dense tiles; NULL where a neighbour has no value."""
+    return on_rasters(pixels, slopes, rows, cols, keys)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -116,22 +143,31 @@ def smooth(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
     return a
 
 
-def _on_rasters(pixels: DataFrame, f: Callable[[np.ndarray], np.ndarray], rows: int, cols: int, keys: tuple[str, ...]) -> DataFrame:
+def on_rasters(pixels: DataFrame, f: Callable[[np.ndarray], np.ndarray], rows: int, cols: int, keys: tuple[str, ...]) -> DataFrame:
     """`pixels` (keys, row, col, v) with v = f(raster), a tile in a group; missing values are NaN inside and NULL outside."""
+    return _of_rasters(pixels, lambda a, _: {"v": f(a)}, {"v": "double"}, rows, cols, keys)
+
+
+def _of_rasters(pixels: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: dict[str, str], rows: int, cols: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys, row, col and the columns that f(raster, which pixels there are) gives: several results of a tile in one pass."""
     names, kinds = [*keys, "row", "col"], dict(pixels.dtypes)
+    whole = {c: pa.int64() for c, k in columns.items() if k == "long"}
 
     def mapped(t: pa.Table) -> pa.Table:
         row, col = (t.column(c).to_numpy() for c in ("row", "col"))
-        a = np.full((rows, cols), np.nan)
-        a[row, col] = t.column("v").to_numpy()
-        out = f(a)[row, col]
-        return t.select(names).append_column("v", pa.array(out, mask=~np.isfinite(out)))
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", v double"
+        a, there = np.full((rows, cols), np.nan), np.zeros((rows, cols), bool)
+        a[row, col], there[row, col] = t.column("v").to_numpy(), True
+        found, out = f(a, there), t.select(names)
+        for c in columns:
+            x = found[c][row, col]
+            out = out.append_column(c, pa.array(x, mask=~np.isfinite(x)).cast(whole.get(c, pa.float64())))
+        return out
+
+    schema = ", ".join(f"{c} {k}" for c, k in [*((c, kinds[c]) for c in names), *columns.items()])
     return pixels.select(*names, F.col("v").cast("double").alias("v")).groupBy(*keys).applyInArrow(mapped, schema)
 
 
-def _weighted(a: np.ndarray, sigma: float, mode: str) -> np.ndarray:
+def weighted(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
     """Weighted values over the weights there are; NaN where there is none within reach."""
     ok = np.isfinite(a)
     value, weight = smooth(np.where(ok, a, 0.0), sigma, mode), smooth(ok.astype(float), sigma, mode)
@@ -141,7 +177,7 @@ def _weighted(a: np.ndarray, sigma: float, mode: str) -> np.ndarray:
 def gaussian(pixels: DataFrame, sigma: float, rows: int, cols: int, normalise: bool = True, keys: tuple[str, ...] = TILE, mode: str = "symmetric") -> DataFrame:
     """Gaussian filter, mirrored at the edges. With `normalise`, missing values count for nothing: weighted
     values over the weights there are; else a missing value is 0. A tile, whose size is bounded, is filtered as one array."""
-    return _on_rasters(pixels, lambda a: _weighted(a, sigma, mode) if normalise else smooth(np.nan_to_num(a), sigma, mode), rows, cols, keys)
+    return on_rasters(pixels, lambda a: weighted(a, sigma, mode) if normalise else smooth(np.nan_to_num(a), sigma, mode), rows, cols, keys)
 
 
 def smooth_filled(pixels: DataFrame, sigma: float, rows: int, cols: int, keys: tuple[str, ...] = TILE, mode: str = "edge", most: int | None = None) -> DataFrame:
@@ -153,10 +189,10 @@ def smooth_filled(pixels: DataFrame, sigma: float, rows: int, cols: int, keys: t
         passes = 0
         while passes != most and not (ok := np.isfinite(a)).all() and ok.any():
             passes += 1
-            a = np.where(ok, a, _weighted(a, sigma, mode))
+            a = np.where(ok, a, weighted(a, sigma, mode))
         return a
 
-    return _on_rasters(pixels, fill, rows, cols, keys)
+    return on_rasters(pixels, fill, rows, cols, keys)
 
 
 def relative_height(responses: DataFrame, n: int, keys: tuple[str, ...] = TILE) -> DataFrame:

@@ -94,13 +94,30 @@ def _among_largest(df: DataFrame, v: str, order: list[str], k: int):
     return (F.col(v) > low) | ((F.col(v) == low) & key)
 
 
+def _closed(a: np.ndarray, there: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """A mask dilated, and that eroded, `times` with a 3 x 3 square; beyond the edge is 1 for both."""
+    size = 2 * times + 1
+    wide = focal._extreme(a, there, size, "max")
+    shut = np.ones(a.shape)
+    inner = (slice(times, a.shape[0] - times), slice(times, a.shape[1] - times))
+    shut[inner] = wide[inner]
+    return wide, focal._extreme(shut, there, size, "min")
+
+
 def closed(mask: DataFrame, times: int, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
     """Dense masks (v 0 or 1) dilated and then eroded `times` with a 3 x 3 square; beyond the edge is 1 for both, so gaps
     between a region and the edge close. Repeats of a square are one larger square."""
-    size = 2 * times + 1
-    inner = F.col("row").between(times, rows - 1 - times) & F.col("col").between(times, cols - 1 - times)
-    wide = focal.extreme(mask, size, "max", keys).withColumn("v", F.when(inner, F.col("v")).otherwise(1))
-    return focal.extreme(wide, size, "min", keys)
+    out = focal._of_rasters(mask, lambda a, there: {"v": _closed(a, there, times)[1]}, {"v": "double"}, rows, cols, keys)
+    return out.withColumn("v", F.col("v").cast("int"))
+
+
+def closings(mask: DataFrame, times: tuple[int, ...], rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
+    """keys, times, dilated, after: pixels of each mask once dilated and once closed, for each number of times, in one pass over a tile."""
+    f = lambda a, there: {f"{n}{t}": x for t in times for n, x in zip("da", _closed(a, there, t))}
+    each = focal._of_rasters(mask, f, {f"{n}{t}": "double" for t in times for n in "da"}, rows, cols, keys)
+    sums = each.groupBy(*keys).agg(*(F.sum(c).cast("long").alias(c) for c in each.columns if c not in (*keys, "row", "col")))
+    rows_ = F.array(*(F.struct(F.lit(t).alias("times"), F.col(f"d{t}").alias("dilated"), F.col(f"a{t}").alias("after")) for t in times))
+    return sums.select(*keys, F.inline(rows_))
 
 
 def regions(cells: DataFrame, keys: tuple[str, ...] = TILE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +30,15 @@ def cells_along_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossings.cells_along(s, ROUTE_CELL).withColumnRenamed("id", "run_id")
 
 
-def _smooth_gradient(p: DataFrame) -> DataFrame:
-    return focal.gradient_magnitude(focal.gaussian(p, SIGMA, ROWS, COLS), ROWS, COLS)
+def _smooth_gradient(p: DataFrame, times: int = 1) -> DataFrame:
+    """Gradient of smoothed tiles, or of those gradients smoothed again."""
+
+    def f(a: np.ndarray) -> np.ndarray:
+        for _ in range(times):
+            a = focal.slopes(focal.weighted(a, SIGMA))
+        return a
+
+    return focal.on_rasters(p, f, ROWS, COLS, TILE)
 
 
 def smoothed_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +48,7 @@ def smoothed_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gradient_of_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the smoothed gradient of smoothed tiles."""
-    return focal_queries._by_row(_smooth_gradient(_smooth_gradient(focal_queries._dense(spark, sf_dir))))
+    return focal_queries._by_row(_smooth_gradient(focal_queries._dense(spark, sf_dir), 2))
 
 
 def cross_section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

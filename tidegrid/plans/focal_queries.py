@@ -22,9 +22,9 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.dense(_pixels(spark, sf_dir), ROWS, COLS)
 
 
-def _by_row(df: DataFrame) -> DataFrame:
+def _by_row(df: DataFrame, *more: str) -> DataFrame:
     """A digest of a raster: number, mean and weighted sum of each tile's values."""
-    return df.where("v IS NOT NULL").groupBy(*TILE).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 7).alias("mean"), F.round(F.sum(F.col("v") * (F.col("row") * COLS + F.col("col"))) / ROWS / COLS, 5).alias("moment"))
+    return df.where("v IS NOT NULL").groupBy(*TILE, *more).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 7).alias("mean"), F.round(F.sum(F.col("v") * (F.col("row") * COLS + F.col("col"))) / ROWS / COLS, 5).alias("moment"))
 
 
 def local_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def local_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def local_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range in windows of 15 pixels."""
     p = _dense(spark, sf_dir)
-    lo, hi = focal.extreme(p, 15, "min"), focal.extreme(p, 15, "max").withColumnRenamed("v", "hi")
+    lo, hi = focal.extreme(p, 15, "min", ROWS, COLS), focal.extreme(p, 15, "max", ROWS, COLS).withColumnRenamed("v", "hi")
     return _by_row(lo.join(hi, [*TILE, "row", "col"]).withColumn("v", F.col("hi") - F.col("v")))
 
 

@@ -32,15 +32,14 @@ def local_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard deviation in windows of several sizes: a digest of each tile and size."""
     p = _pixels(spark, sf_dir)
-    each = [focal_queries._by_row(focal.local_std(p, s, ROWS, COLS)).withColumn("size", F.lit(s)) for s in SIZES]
-    return reduce(DataFrame.unionByName, each)
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.col(f"s{s}").alias("v")) for s in SIZES))).alias("s")
+    return focal_queries._by_row(focal.local_stds(p, SIZES, ROWS, COLS).select(*TILE, "row", "col", each).select(*TILE, "row", "col", "s.*"), "size")
 
 
 def closing_by_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deep pixels after one, two and four closings, by tile."""
     m = focal_queries._dense(spark, sf_dir).withColumn("v", F.coalesce((F.col("v") > 70).cast("int"), F.lit(0)))
-    each = [labels.closed(m, t, ROWS, COLS).groupBy(*TILE).agg(F.sum("v").alias("after")).withColumn("times", F.lit(t)) for t in CLOSINGS]
-    return reduce(DataFrame.unionByName, each)
+    return labels.closings(m, CLOSINGS, ROWS, COLS).select(*TILE, "after", "times")
 
 
 def threshold_sigmas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,8 +129,7 @@ def angle_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two plain clusters of pixels by depth and roughness: how many, and their mean depth."""
     p = survey_queries._pixels(spark, sf_dir)
-    keys = [*TILE, "row", "col"]
-    f = p.join(focal.local_std(p, 5, ROWS, COLS).withColumnRenamed("v", "s5"), keys).join(focal.local_std(p, 10, ROWS, COLS).withColumnRenamed("v", "s10"), keys)
+    f = focal.local_stds(p, (5, 10), ROWS, COLS)
     found = labels.plain_clusters(labels.standardised(f.withColumn("depth", F.col("v")), ["v", "s5", "s10"]), ["v", "s5", "s10"])
     return _rounded(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("depth").alias("depth")))
 
@@ -150,12 +149,7 @@ def zoomed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def erosion_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deep pixels dilated and then eroded, several times over: pixels after each, and those eroded away."""
     m = focal_queries._dense(spark, sf_dir).withColumn("v", F.coalesce((F.col("v") > 70).cast("int"), F.lit(0)))
-    each = []
-    for t in TIMES:
-        wide = focal.extreme(m, 2 * t + 1, "max").groupBy(*TILE).agg(F.sum("v").alias("dilated"))
-        back = labels.closed(m, t, ROWS, COLS).groupBy(*TILE).agg(F.sum("v").alias("after"))
-        each.append(wide.join(back, list(TILE)).select(*TILE, F.lit(t).alias("times"), "dilated", "after", (F.col("dilated") - F.col("after")).alias("eroded")))
-    return reduce(DataFrame.unionByName, each)
+    return labels.closings(m, TIMES, ROWS, COLS).select(*TILE, "times", "dilated", "after", (F.col("dilated") - F.col("after")).alias("eroded"))
 
 
 def change_roughness(spark: SparkSession, sf_dir: str) -> DataFrame:
