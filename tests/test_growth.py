@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import crossings, focal, labels, routes
+from tidegrid.operators import crossings, focal, labels, raster, routes, vector
 
 
 def settled_in_turn(cost, start, goal, momentum):
@@ -110,3 +110,21 @@ def test_gradients_send_pixels_once(spark):
                     want[k, r + 4, c - 2] = np.hypot(x, y)
     have = {(r.cell, r.row, r.col): r.v for r in got.collect()}
     assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_enlarged_tiles_are_not_shuffled(spark):
+    a, p = sparse(spark, np.random.default_rng(10), 6, 5)
+    z = raster.zoomed(p, 3, 6, 5)
+    written = z.count()
+    assert written > 3 * 6 * 5 and exchanges(z) == 1  # of the pixels
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("RepartitionByExpression")  # enlarged above the shuffle, not below it
+
+
+def test_few_points_of_hulls_are_shuffled(spark):
+    pts = np.random.default_rng(11).normal(size=(4000, 2)).round(2)
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double").coalesce(1)
+    few = vector._hulls_of_batches(df, "id")
+    assert few.count() < 200
+    of = lambda d: {(r.id, r.x, r.y) for r in vector.hull(d, "id", 50).collect()}
+    assert of(df) == of(df.repartition(7)) and {r[0] for r in of(df)} == {0, 1, 2, None}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kernels import on_tiles
+
 TILE = ("cell", "cdi")
 
 
@@ -112,17 +115,20 @@ def to_pixels(tiles: DataFrame, keys: tuple[str, ...] = TILE) -> DataFrame:
 
 def zoomed(pixels: DataFrame, k: int, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
     """Rasters k times as large by bilinear interpolation, corner pixels on corner pixels; missing pixels count as 0, and what
-    only they make up is missing. Each pixel is sent to the places that it has weight in."""
-    def places(axis: str, n: int) -> tuple[Column, Column]:
-        scale = (n * k - 1) / max(1, n - 1)
-        at = F.sequence(F.greatest(F.ceil((F.col(axis) - 1) * scale), F.lit(0)).cast("int"), F.least(F.floor((F.col(axis) + 1) * scale), F.lit(n * k - 1)).cast("int"))
-        return at, 1 - F.abs(F.col("_at") * (max(1, n - 1) / (n * k - 1)) - F.col(axis))
-
-    out = pixels.where("v IS NOT NULL")
-    for axis, n in (("row", rows), ("col", cols)):
-        at, weight = places(axis, n)
-        out = out.withColumn("_at", F.explode(at)).withColumn("v", F.col("v") * weight).where("v <> 0").drop(axis).withColumnRenamed("_at", axis)
-    return out.groupBy(*keys, "row", "col").agg(F.sum("v").alias("v"))
+    only they make up is missing. A tile is enlarged where its pixels are gathered; what it is enlarged to isn't shuffled."""
+
+    def weights(n: int) -> np.ndarray:
+        return np.maximum(1 - np.abs(np.arange(n * k)[:, None] * (max(1, n - 1) / (n * k - 1)) - np.arange(n)), 0.0) if n * k > 1 else np.ones((1, 1))
+
+    down, across = weights(rows), weights(cols)
+
+    def enlarged(a: np.ndarray) -> np.ndarray:
+        v = np.nan_to_num(a)
+        some = (down > 0).astype(np.float32) @ (v != 0).astype(np.float32) @ (across > 0).T.astype(np.float32)
+        return np.where(some > 0, down @ v @ across.T, np.nan)
+
+    tiles = on_tiles(to_tiles(pixels, rows, cols, keys), enlarged, keys).withColumns({"h": F.lit(rows * k), "w": F.lit(cols * k)})
+    return to_pixels(tiles, keys).where("v IS NOT NULL")
 
 
 def flipped(pixels: DataFrame, rows: int) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -149,11 +154,12 @@ def line_cells(segments: DataFrame, per_pixel: int = 4) -> DataFrame:
 def hull(points: DataFrame, key: str, group: int = 500) -> DataFrame:
     """Vertices (key, seq, x, y) of the convex hull of each key's points, counter-clockwise from the left.
 
-    A vertex of the hull is one of the hull of any group that holds it: points are dealt to groups of about
-    `group`, the hulls of these dealt anew, until a key has one group. No array outgrows a group.
+    A vertex of the hull is one of the hull of any group that holds it: first of a key's points that lie side by side in the input,
+    so that few points are shuffled; then points are dealt to groups of about `group`, the hulls of these dealt anew, until a key has
+    one group. No array outgrows a group or a batch.
     """
+    points = saved(_hulls_of_batches(points.select(key, F.col("x").cast("double"), F.col("y").cast("double")).where("x IS NOT NULL AND y IS NOT NULL"), key).distinct())
     most = points.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    points = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
     while True:
         parts = -(-most // group)
         at = F.pmod(F.xxhash64("x", "y", F.lit(parts)), F.lit(max(1, parts)))
@@ -167,6 +173,41 @@ def hull(points: DataFrame, key: str, group: int = 500) -> DataFrame:
         most = min(most, parts * group // 2)
 
 
+def _hulls_of_batches(points: DataFrame, key: str) -> DataFrame:
+    """The vertices of the hulls of each key's points within a batch of rows."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = pc.fill_null(batch.column(key).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            x, y = (batch.column(c).to_numpy() for c in ("x", "y"))
+            at = np.lexsort((y, x, code))
+            # of the points of one x only the lowest and the highest can be vertices
+            new = (np.diff(code[at]) != 0) | (np.diff(x[at]) != 0)
+            at = at[np.r_[True, new] | np.r_[new, True]]
+            kept: list[int] = []
+            for part in np.split(at, np.flatnonzero(np.diff(code[at])) + 1):
+                xs, ys, rows = x[part].tolist(), y[part].tolist(), part.tolist()
+                kept += [rows[i] for i in {*_turns(xs, ys, 1), *_turns(xs, ys, -1)}]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return points.mapInArrow(mapped, points.schema)
+
+
+def _turns(xs: list[float], ys: list[float], sign: int) -> list[int]:
+    """The places of the points of the lower (1) or upper (-1) chain of a hull; points are sorted."""
+    chain: list[int] = []
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        while len(chain) > 1:
+            o, a = chain[-2], chain[-1]
+            if sign * ((xs[a] - xs[o]) * (y - ys[o]) - (ys[a] - ys[o]) * (x - xs[o])) > 0:
+                break
+            chain.pop()
+        chain.append(i)
+    return chain
+
+
 def _chain(ps: str, turn: str) -> str:
     """SQL of one chain of a hull: a fold over sorted points that drops the last ones while the turn is wrong."""
     o, a = "element_at(s, -2)", "element_at(s, -1)"
