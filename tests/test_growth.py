@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import crossings, focal, labels, raster, routes, vector
+from tidegrid.plans import map_queries, tables
 
 
 def settled_in_turn(cost, start, goal, momentum):
@@ -117,8 +118,8 @@ def test_enlarged_tiles_are_not_shuffled(spark):
     z = raster.zoomed(p, 3, 6, 5)
     written = z.count()
     assert written > 3 * 6 * 5 and exchanges(z) == 1  # of the pixels
-    plan = z._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Generate posexplode") < plan.index("RepartitionByExpression")  # enlarged above the shuffle, not below it
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning")  # enlarged above the shuffle, not below it
 
 
 def test_few_points_of_hulls_are_shuffled(spark):
@@ -128,3 +129,16 @@ def test_few_points_of_hulls_are_shuffled(spark):
     assert few.count() < 200
     of = lambda d: {(r.id, r.x, r.y) for r in vector.hull(d, "id", 50).collect()}
     assert of(df) == of(df.repartition(7)) and {r[0] for r in of(df)} == {0, 1, 2, None}
+
+
+def test_pixels_of_a_cell_stay_together(spark, sf):
+    p = tables.pixels(spark, sf)
+    assert exchanges(raster.dense(raster.combine(p, "mean"), 50, 50, ("cell",))) == 1
+    assert exchanges(raster.to_tiles(p, 50, 50)) == 1
+    assert exchanges(raster.shift_search(tables.soundings(spark, sf), 20.0, 50, 50)) == 1
+
+
+def test_tasks_take_so_many_steps_of_routes(spark, sf, monkeypatch):
+    monkeypatch.setattr(map_queries, "STEPS", 100)
+    s = map_queries._segments(spark, sf)
+    assert s.rdd.getNumPartitions() >= tables.read(spark, sf, "events").count() // 100 > 4

@@ -22,9 +22,8 @@ def hull_cells(hulls: DataFrame, key: str, size: float, across: int) -> DataFram
 
 
 def write_by_cell(df: DataFrame, path: str) -> None:
-    """`df` as Parquet, a folder a cell. The rows of a cell are dealt to several tasks, so that one with very many makes several files."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, "cell", F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(path)
+    """`df` as Parquet, a folder a cell: mostly one file, several of a cell with very many rows, which Spark deals to several tasks."""
+    df.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def of_cells(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:

@@ -19,20 +19,29 @@ def in_box(x0: float, y0: float, x1: float, y1: float, closed: bool = False) ->
     return e.between(x0, x1) & n.between(y0, y1) if closed else (e > x0) & (e < x1) & (n > y0) & (n < y1)
 
 
-def rasterise(points: DataFrame, order: Iterable[str], size: float, rows: int, cols: int, x0: float = 0.0, y0: float = 0.0, keys: tuple[str, ...] = TILE) -> DataFrame:
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt to all shuffle partitions by keys: aggregates and windows by these and others find their rows there, without a shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def rasterise(points: DataFrame, order: Iterable[str], size: float, rows: int, cols: int, x0: float = 0.0, y0: float = 0.0, keys: tuple[str, ...] = TILE, by: tuple[str, ...] = ()) -> DataFrame:
     """keys, row (0 north), col, v: the depth of the last sounding, by `order`, strictly inside each pixel's box.
 
-    One aggregation by pixel: partial maxima are taken before the shuffle.
+    One aggregation by pixel: partial maxima are taken before the shuffle. With `by`, some of the keys, soundings are gathered by these
+    instead, and the pixels stay there.
     """
     top = y0 + rows * size
     at = points.where(in_box(x0, y0, x0 + cols * size, top))
     at = at.select(*keys, "depth", *order, F.floor((F.lit(top) - F.col("n")) / size).cast("int").alias("row"), F.floor((F.col("e") - x0) / size).cast("int").alias("col"))
+    at = gathered(at, *by) if by else at
     return at.groupBy(*keys, "row", "col").agg(F.max_by("depth", F.struct(*order, "depth")).alias("v"))
 
 
 def shift_search(points: DataFrame, size: float, rows: int, cols: int, least: float = 0.8, most: int = 10, keys: tuple[str, ...] = TILE) -> DataFrame:
     """keys, shift, filled, points: the first shift of the box to west and south at which filled pixels / points
-    reaches `least`, else the last one. The box moves by whole metres, its top stays, so rows get taller."""
+    reaches `least`, else the last one. The box moves by whole metres, its top stays, so rows get taller. Soundings are gathered by
+    tile once; what the shifts make of them stays there."""
+    points = gathered(points.select(*keys, "e", "n"), *keys)
     c = F.col("shift")
     x0, height = -c.cast("double"), (F.lit(rows * size) + 0.0)
     moved = points.select(*keys, "e", "n", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("shift"))
@@ -89,7 +98,7 @@ def dense(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE)
 def to_tiles(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TILE) -> DataFrame:
     """keys, h, w, data: a row a tile, row by row, NULL where there is no value; `pixels` has each place of a tile once.
 
-    Tiles are spread over all shuffle partitions, as what follows takes long for the bytes of a tile.
+    Pixels that lie together by any of the keys, as those of tables.pixels() do, aren't shuffled.
     """
     return _arrays(pixels.where("v IS NOT NULL"), rows, cols, keys)
 
@@ -97,10 +106,9 @@ def to_tiles(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...] = TI
 def _arrays(pixels: DataFrame, rows: int, cols: int, keys: tuple[str, ...], where: Column | None = None) -> DataFrame:
     """to_tiles() of the pixels that meet a condition, and an empty tile where none does. The array is put together from the sorted
     values and the gaps after each, in one pass."""
-    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(None).cast(dict(pixels.dtypes)["v"])
     place = F.struct((F.col("row") * cols + F.col("col")).cast("int").alias("k"), "v")
-    tiles = pixels.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(place if where is None else F.when(where, place))).alias("_s"))
+    tiles = pixels.groupBy(*keys).agg(F.array_sort(F.collect_list(place if where is None else F.when(where, place))).alias("_s"))
     after = lambda i: F.coalesce(F.get("_s", i + 1)["k"], F.lit(rows * cols))
     parts = F.transform("_s", lambda x, i: F.concat(F.array(x["v"]), F.array_repeat(none, after(i) - x["k"] - 1)))
     first = F.coalesce(F.get("_s", F.lit(0))["k"], F.lit(rows * cols))

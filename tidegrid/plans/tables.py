@@ -36,8 +36,9 @@ def soundings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, cdi, year, row, col, v: cells of 50 x 50 pixels, as many as there are ranges of 1250 orders, and four surveys."""
-    return raster.rasterise(soundings(spark, sf_dir), ORDER, SIZE, ROWS, COLS, keys=("cell", "cdi", "year"))
+    """cell, cdi, year, row, col, v: cells of 50 x 50 pixels, as many as there are ranges of 1250 orders, and four surveys. A cell's
+    soundings are gathered, so that nothing by cell and others is shuffled after that."""
+    return raster.rasterise(soundings(spark, sf_dir), ORDER, SIZE, ROWS, COLS, keys=("cell", "cdi", "year"), by=("cell",))
 
 
 def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
