@@ -108,3 +108,30 @@ def test_exact_arithmetic(spark):
     totals = spark.createDataFrame([("en", 9 * 10**13 + 1)], "lang string, n long")
     (r,) = phrases.ranked(found, totals, 10).collect()
     assert r.score == 1000 * 3 * 10**12 * (9 * 10**13 + 1) // (20 * 10**24)
+
+
+def shuffled(spark, job):
+    """Bytes that `job` writes for shuffles."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        none = sc._jvm.java.util.ArrayList()
+        return sum(s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)))
+
+    before = total()
+    job()
+    return total() - before
+
+
+def test_rare_phrases_are_not_moved(spark):
+    """Pairs of frequent words, nearly all of them rare: what moves is a few bytes a phrase of a task, not the phrase."""
+    rng = np.random.default_rng(8)
+    rows = [("en", " ".join(f"frequentword{x}" for x in rng.integers(0, 400, 500))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    docs = spark.createDataFrame(docs.toArrow())  # so that only the search moves something
+    rare = len({(a, b) for _, t in rows for a, b in zip(t.split(), t.split()[1:])})
+    found = []
+    bytes_moved = shuffled(spark, lambda: found.extend(phrases.frequent_phrases(docs, 100)[0].collect()))
+    assert len(found) == 400 and rare > 100_000
+    assert bytes_moved < 10 * rare
