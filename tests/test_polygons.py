@@ -1,5 +1,7 @@
 """Points in polygons against the plain ray rule."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,28 @@ def test_places_tested_once(spark, sf, tmp_path, monkeypatch):
     assert one and two == {k: 2 * n for k, n in one.items()}
     assert tested[0] == tested[1]
     assert map_queries._cell_size(600_000) == 10 and map_queries._cell_size(25_000_000) == 1.25
+
+
+def test_large_tables_of_cells_are_not_broadcast(spark, monkeypatch):
+    """Few edges, spread over many cells: Spark takes the cells to be as few as the edges, so that it must be told; cells inside count too."""
+    monkeypatch.setattr(vector, "FEW", 1000)
+    diamond = ring(1, [(0, 50), (50, 0), (100, 50), (50, 100)])
+    points = [(x, y) for x in range(-5, 110, 5) for y in range(-5, 110, 5)]
+    p = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(points)], "n int, x double, y double")
+    e = spark.createDataFrame(diamond, "id long, x1 double, y1 double, x2 double, y2 double")
+    full, cut = vector.grid_of(e, 1.0)
+    assert cut.agg(F.sum(F.size("e"))).first()[0] < 1000 < full.count()
+    for size, large in ((1.0, True), (10.0, False)):
+        found = vector.inside(p, e, size)
+        assert {(r.id, r.n) for r in found.select("id", "n").collect()} == ray(points, diamond)
+        assert ("Broadcast" in found._jdf.queryExecution().executedPlan().toString()) != large
+
+
+def test_rows_of_a_polygon_go_to_several_tasks(spark, monkeypatch):
+    """One polygon: its cells are found row by row in all tasks, without a join, and its edges are dealt to them before they are spread."""
+    plans = []
+    monkeypatch.setattr(vector, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    e = spark.createDataFrame([(1, n, *map(float, xy)) for n, xy in enumerate(np.random.default_rng(3).integers(0, 99, (50, 2)))], "id long, seq int, x double, y double")
+    vector.grid_of(vector.edges(e), 10.0)
+    assert "Join" not in plans[0]
+    assert re.search(r"hashpartitioning\(id#\d+L?, r#", plans[0]) and plans[0].index("hashpartitioning(id") < plans[0].index("hashpartitioning(x1")

@@ -26,19 +26,23 @@ def _cell(v: str | Column, size: float) -> Column:
 
 
 def grid_of(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
-    """The cells of `size` inside polygons, as (id, r, c); and those that edges touch, as (id, r, c, chunk, chunks, k, e): edges in parts
-    of TOGETHER, each (x1, y1, x2, y2, g1, g2), and k, what to start counting with.
+    """The cells of `size` inside polygons, as (id, r, c); and those that edges touch, as (id, r, c, chunk, chunks, k, inner, e): edges in
+    parts of TOGETHER, each (x1, y1, x2, y2, g1, g2), k, what to start counting with, and how many cells right of it are inside.
 
     A point is inside if a ray to the right crosses an odd number of edges: those with (y1 > y) <> (y2 > y) and x < the edge's x at y.
     In a cell, the ray's parity is that of the cell's lower right corner, corrected by the edges that touch the cell: going from the
     corner up to the point's height, then left to the point, each of them changes sides as often as its ends and its x at both
     heights tell. Ends between these heights count in the two edges that meet there, so the result is that of the whole ray. g1
-    and g2 say whether an end is above the corner and to its right.
+    and g2 say whether an end is above the corner and to its right. No edge touches the cells up to the next that one does, so these
+    are inside if the corner is.
+
+    A row of a polygon is in one task, without a join: edges are dealt out before they are spread over rows, then gathered by row.
     """
     eps = size * 1e-6  # an edge this near touches a cell: more are listed than must be
     x_at = lambda t: (F.col("x2") - F.col("x1")) * (t - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = edges.select("id", "x1", "y1", "x2", "y2").withColumn("r", F.explode(F.sequence(F.floor((low - eps) / size), F.floor((high + eps) / size))))
+    dealt = edges.select("id", "x1", "y1", "x2", "y2").repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x1", "y1", "x2", "y2")
+    rows = dealt.withColumn("r", F.explode(F.sequence(F.floor((low - eps) / size), F.floor((high + eps) / size)))).repartition("id", "r")
     rows = rows.withColumn("y0", F.col("r") * F.lit(float(size)))
     flat = F.col("y1") == F.col("y2")
     within = lambda x: F.least(F.greatest(x, F.least("x1", "x2")), F.greatest("x1", "x2"))
@@ -47,27 +51,23 @@ def grid_of(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     spans = (F.col("y1") > F.col("y0")) != (F.col("y2") > F.col("y0"))
     rows = rows.withColumns({"xa": xa, "xb": xb, "x0": F.when(spans, x_at(F.col("y0")))})
     cut = rows.withColumn("c", F.explode(F.sequence(F.floor((F.least("xa", "xb") - eps) / size), F.floor((F.greatest("xa", "xb") + eps) / size))))
-    right = (F.col("c") + 1) * F.lit(float(size))
+    left, right = (F.col("c") * F.lit(float(size))), (F.col("c") + 1) * F.lit(float(size))
     above = lambda x, y: (F.col(y) > F.col("y0")) & (F.col(x) > right)
-    cut = cut.withColumns({"g1": above("x1", "y1"), "g2": above("x2", "y2"), "a0": F.coalesce((right < F.col("x0")).cast("long"), F.lit(0))})
+    number = lambda on: F.coalesce(on.cast("long"), F.lit(0))
+    cut = cut.withColumns({"g1": above("x1", "y1"), "g2": above("x2", "y2"), "a0": number(right < F.col("x0")), "x_in": number((left < F.col("x0")) & (F.col("x0") <= right))})
     nth = F.row_number().over(Window.partitionBy("id", "r", "c").orderBy("x1", "y1", "x2", "y2"))
     cut = cut.withColumn("chunk", F.floor((nth - 1) / TOGETHER))
-    cut = cut.groupBy("id", "r", "c", "chunk").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "g1", "g2")).alias("e"), F.sum("a0").alias("a0"))
-    cut = cut.withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy("id", "r", "c")))
-    # parity of the corners: edges that cross a row's lower line further right
-    crossings = rows.where("x0 IS NOT NULL").select("id", "r", "x0")
-    corners = cut.where("chunk = 0").select("id", "r", "c", right.alias("x0"), F.lit(0).alias("one"))
-    line = corners.unionByName(crossings.withColumns({"c": F.lit(None).cast("long"), "one": F.lit(1)}))
-    so_far = F.sum("one").over(Window.partitionBy("id", "r").orderBy(F.desc("x0"), "one").rowsBetween(Window.unboundedPreceding, 0))
-    corners = line.withColumn("k", so_far).where("one = 0").select("id", "r", "c", F.lit(0).cast("long").alias("chunk"), "k")
-    cut = cut.join(corners, ["id", "r", "c", "chunk"], "left")
-    cut = cut.select("id", "r", "c", "chunk", "chunks", (F.coalesce("k", F.lit(0)) + F.col("a0")).alias("k"), "e")
-    # cells between every other two crossings of the lower line, but for those that are cut
-    w = Window.partitionBy("id", "r").orderBy("x0")
-    runs = crossings.select("id", "r", "x0", F.lead("x0").over(w).alias("x1"), F.row_number().over(w).alias("n")).where("n % 2 = 1 AND x1 IS NOT NULL")
-    first, last = F.ceil(F.col("x0") / size) - 1, F.ceil(F.col("x1") / size) - 2
-    full = runs.where(first <= last).select("id", "r", F.explode(F.sequence(first, last)).alias("c"))
-    return full.join(cut.where("chunk = 0"), ["id", "r", "c"], "left_anti").select("id", "r", "c"), cut
+    cut = cut.groupBy("id", "r", "c", "chunk").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "g1", "g2")).alias("e"), F.sum("a0").alias("a0"), F.sum("x_in").alias("x_in"))
+    # parity of the corners: edges that cross a row's lower line further right; each does so in a cell that it touches
+    row = Window.partitionBy("id", "r").orderBy(F.desc("c"))
+    further = row.rangeBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumns({"corner": F.coalesce(F.sum("x_in").over(further), F.lit(0)), "next": F.min("c").over(further), "chunks": F.count(F.lit(1)).over(row.rangeBetween(0, 0))})
+    first = F.col("chunk") == 0
+    k = F.when(first, F.col("corner")).otherwise(0) + F.col("a0")
+    inner = F.when(first & (F.col("corner") % 2 == 1), F.col("next") - F.col("c") - 1)
+    cut = saved(cut.select("id", "r", "c", "chunk", "chunks", k.alias("k"), F.coalesce(inner, F.lit(0)).alias("inner"), "e"))
+    full = cut.where("inner > 0").select("id", "r", F.explode(F.expr("sequence(c + 1, c + inner)")).alias("c"))
+    return full, cut
 
 
 def inside(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
@@ -77,9 +77,9 @@ def inside(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     is tested, in one that edges touch only those edges are. Each row is a point; points without a place are in none.
     """
     full, cut = grid_of(edges, size)
-    cut = saved(cut)
-    many = cut.agg(F.sum(F.size("e").cast("long")), F.max("chunks")).first()
-    hint = F.broadcast if (many[0] or 0) <= FEW else (lambda df: df)
+    many = cut.agg(F.sum(F.size("e") + F.col("inner")), F.max("chunks")).first()
+    # Spark takes these tables to be as small as that of the edges: without a hint it would broadcast them whatever their size
+    hint = F.broadcast if (many[0] or 0) <= FEW else (lambda df: df.hint("merge"))
     p = points.withColumns({"_r": _cell("y", size), "_c": _cell("x", size)})
     names = [F.col(c) for c in points.columns]
     cells = lambda df: hint(df.withColumnsRenamed({"id": "_id", "r": "_r", "c": "_c"}))
@@ -93,10 +93,10 @@ def inside(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     if (many[1] or 0) > 1:  # cells with very many edges: counted part by part
         crowded = cut.where("chunks > 1")
         of = crowded.select(F.col("r").alias("_r"), F.col("c").alias("_c")).distinct()
-        some = saved(p.join(of, ["_r", "_c"], "left_semi").withColumn("_point", F.monotonically_increasing_id()))  # written: the numbers stay
+        some = saved(p.join(hint(of), ["_r", "_c"], "left_semi").withColumn("_point", F.monotonically_increasing_id()))  # written: the numbers stay
         parts = some.join(cells(crowded.select("id", "r", "c", "k", "e")), ["_r", "_c"]).select("_point", "_id", F.expr(turns).alias("_n"))
         odd = parts.groupBy("_point", "_id").agg(F.sum("_n").alias("_n")).where("_n % 2 = 1")
-        found = found.unionByName(some.join(odd, "_point").select(F.col("_id").alias("id"), *names))
+        found = found.unionByName(some.join(odd.hint("merge"), "_point").select(F.col("_id").alias("id"), *names))
     return found
 
 
